@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules
+from . import byte_bpe, license_scan, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_quality_classifier": quality_classifier.query,
+    "op4_license_scan": license_scan.query,
+    "op5_sharding": sharding.query,
+    "op6_toxicity": toxicity.query,
     "op8_quality_rules": quality_rules.query,
 }
-SQL = {"op8_quality_rules": quality_rules.SQL}
+SQL = {
+    "op4_license_scan": license_scan.SQL,
+    "op8_quality_rules": quality_rules.SQL,
+}
