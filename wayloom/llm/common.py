@@ -63,12 +63,12 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of fn over slices of at most SLICE_BYTES of the column text."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow of fn over slices of about ``most`` bytes of the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 yield fn(part)
 
     return df.mapInArrow(run, schema)

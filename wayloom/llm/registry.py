@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, license_scan, quality_classifier, quality_rules, sharding, toxicity
+from . import byte_bpe, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_quality_classifier": quality_classifier.query,
+    "op3_simhash": simhash.query,
     "op4_license_scan": license_scan.query,
     "op5_sharding": sharding.query,
     "op6_toxicity": toxicity.query,
     "op8_quality_rules": quality_rules.query,
+    "op10_packing": packing.query,
 }
 SQL = {
     "op4_license_scan": license_scan.SQL,
