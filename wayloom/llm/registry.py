@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import byte_bpe, embedding_dedup, language_model, license_scan, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -11,10 +11,13 @@ QUERIES = {
     "op4_license_scan": license_scan.query,
     "op5_sharding": sharding.query,
     "op6_toxicity": toxicity.query,
+    "op7_language_model": language_model.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_embedding_dedup": embedding_dedup.query,
     "op10_packing": packing.query,
 }
 SQL = {
     "op4_license_scan": license_scan.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op9_embedding_dedup": embedding_dedup.SQL,
 }
