@@ -1,6 +1,440 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries of the map-graph engine, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wayloom.functions import codes
+from wayloom.operators import diff, display, graph, integrity, oplog, routing, rules, search, transports
+from wayloom.plans import grid
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, **kinds: str):
+    """Registers a query by its function's name; kinds are its columns with their types."""
+
+    def add(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = fn(spark, sf_dir)
+            return out.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            names = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+            SQL[fn.__name__] = grid.SQL + ", result AS (" + sql + ") SELECT " + ", ".join(f"{c}::{names[k]} AS {c}" for c, k in kinds.items()) + " FROM result"
+        return fn
+
+    return add
+
+
+def _adjacency(spark, sf):
+    return graph.adjacency(grid.exits(spark, sf), grid.rooms(spark, sf))
+
+
+def _walk(spark, sf):
+    return graph.walkable(_adjacency(spark, sf))
+
+
+def _firsts(spark, sf):
+    return grid.rooms(spark, sf).groupBy("map_id").agg(F.min("id").alias("source"))
+
+
+_WALK = "SELECT * FROM adj WHERE NOT lk AND NOT dst_locked"
+
+
+# ---- graph ----
+
+
+@query("SELECT map_id, n_nationkey AS id, c_custkey AS room_ord FROM (SELECT 0 AS map_id, c_nationkey AS n_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS k FROM customer) WHERE k = 1", map_id="long", id="long", room_ord="long")
+def build_index_last_wins(spark, sf):
+    repeated = grid.rooms(spark, sf).select(F.lit(0).alias("map_id"), F.col("area_id").alias("id"), F.lit(0).alias("area_ord"), "room_ord")
+    return graph.indexed(repeated)
+
+
+@query("SELECT e.map_id, src, dst, CASE WHEN e.weight > 0 THEN e.weight ELSE greatest(coalesce(r.weight, 1), 1) END AS w, key FROM exits e LEFT JOIN rooms r ON r.map_id = e.map_id AND r.id = e.dst", map_id="long", src="long", dst="long", key="string", w="double")
+def neighbors_simple(spark, sf):
+    return graph.neighbors(grid.exits(spark, sf), grid.rooms(spark, sf))
+
+
+@query("SELECT map_id, src, dst, key, w, cls, lk FROM adj", map_id="long", src="long", dst="long", key="string", w="double", cls="long", lk="boolean")
+def adjacency_router(spark, sf):
+    return _adjacency(spark, sf)
+
+
+@query("SELECT cls, count(*) AS n, sum(w) AS total_w FROM adj GROUP BY cls", cls="long", n="long", total_w="double")
+def edge_weight(spark, sf):
+    return _adjacency(spark, sf).groupBy("cls").agg(F.count("*").alias("n"), F.sum("w").alias("total_w"))
+
+
+@query("SELECT map_id, src, dst, key FROM adj WHERE cls <= 0 AND NOT lk AND NOT dst_locked", map_id="long", src="long", dst="long", key="string")
+def dir_mode_cardinal(spark, sf):
+    return graph.walkable(_adjacency(spark, sf), "cardinal")
+
+
+@query("SELECT map_id, src, dst, key FROM adj WHERE cls <= 1 AND NOT lk", map_id="long", src="long", dst="long", key="string")
+def dir_mode_vertical_through_locked_rooms(spark, sf):
+    return graph.walkable(_adjacency(spark, sf), "vertical", avoid_locked=False)
+
+
+@query("SELECT map_id, src, dst, key FROM adj JOIN rooms r USING (map_id) WHERE r.id = adj.dst AND NOT lk AND r.weight <= 3", map_id="long", src="long", dst="long", key="string")
+def locked_by_predicate(spark, sf):
+    heavy = grid.rooms(spark, sf).select("map_id", F.col("id").alias("dst"), (F.col("weight") > 3).alias("heavy"))
+    return graph.walkable(_adjacency(spark, sf).join(heavy, ["map_id", "dst"]), is_locked=F.col("heavy"))
+
+
+@query("SELECT map_id, src_area, dst_area, min(w) AS min_w FROM adj WHERE src_area <> dst_area GROUP BY ALL", map_id="long", src_area="long", dst_area="long", min_w="double")
+def area_min_weight(spark, sf):
+    return graph.area_distances(_adjacency(spark, sf))
+
+
+@query("SELECT map_id, greatest(max(sqrt(((dx-sx)*(dx-sx)+(dy-sy)*(dy-sy)+(dz-sz)*(dz-sz))::DOUBLE)), 1) AS max_edge, min(w) AS min_w FROM adj GROUP BY map_id", map_id="long", max_edge="double", min_w="double")
+def astar_params(spark, sf):
+    return graph.astar_scale(_adjacency(spark, sf))
+
+
+@query("SELECT e.map_id, e.src, e.key, e.dst, EXISTS (SELECT 1 FROM exits b WHERE NOT b.special AND b.map_id = e.map_id AND b.src = e.dst AND b.dst = e.src AND b.key = i.opp) AS two_way FROM exits e LEFT JOIN idx i ON i.key = e.key WHERE NOT e.special", map_id="long", src="long", key="string", dst="long", two_way="boolean")
+def one_way_exits(spark, sf):
+    return graph.reciprocal(grid.exits(spark, sf))
+
+
+@query("""SELECT l.map_id, l.room_id AS room_a, l.key, e.dst AS room_b FROM lines l JOIN exits e ON e.map_id = l.map_id AND e.src = l.room_id AND e.key = l.key AND NOT e.special JOIN idx i ON i.key = l.key AND i.idx <= 8
+    JOIN exits b ON b.map_id = l.map_id AND b.src = e.dst AND b.dst = e.src AND b.key = i.opp AND NOT b.special JOIN rooms x ON x.map_id = l.map_id AND x.id = e.src JOIN rooms y ON y.map_id = l.map_id AND y.id = e.dst AND y.area_id = x.area_id AND y.z = x.z
+    WHERE l.drawn AND NOT EXISTS (SELECT 1 FROM lines m WHERE m.map_id = l.map_id AND m.room_id = e.dst AND m.key = i.opp)""", map_id="long", room_a="long", key="string", room_b="long")
+def suppressor_lint(spark, sf):
+    return graph.missing_suppressors(grid.lines(spark, sf), grid.exits(spark, sf), grid.rooms(spark, sf))
+
+
+# ---- routes ----
+
+_COSTS = f"""SELECT map_id, source, id, cost FROM spread"""
+_SPREAD = f"""walk AS ({_WALK}), spread(map_id, source, id, cost) USING KEY (map_id, source, id) AS (SELECT map_id, min(id), min(id), 0::DOUBLE FROM rooms GROUP BY map_id
+  UNION SELECT s.map_id, s.source, w.dst, min(s.cost + w.w) FROM spread s JOIN walk w ON w.map_id = s.map_id AND w.src = s.id LEFT JOIN recurring.spread r ON r.map_id = s.map_id AND r.source = s.source AND r.id = w.dst WHERE r.cost IS NULL OR s.cost + w.w < r.cost GROUP BY s.map_id, s.source, w.dst)"""
+
+
+@query(None, map_id="long", source="long", id="long", cost="double")
+def shortest_path_cost(spark, sf):
+    return routing.shortest(_walk(spark, sf), _firsts(spark, sf))
+
+
+@query(None, map_id="long", source="long", id="long", cost="double")
+def shortest_path_cost_by_rounds(spark, sf):
+    """The way of large maps, over the first two maps' worth of sources."""
+    return routing.shortest(_walk(spark, sf), _firsts(spark, sf), fits=0)
+
+
+for _name in ("shortest_path_cost", "shortest_path_cost_by_rounds"):
+    SQL[_name] = grid.SQL.rstrip() + ",\n" + _SPREAD + " SELECT map_id::BIGINT AS map_id, source::BIGINT AS source, id::BIGINT AS id, cost::DOUBLE AS cost FROM spread"
+
+
+def _waypoints(spark, sf):
+    """Each map's plan: rooms 1, 102, none, 203 and 304 of it."""
+    base = _firsts(spark, sf)
+    return base.select("map_id", F.lit(0).alias("plan"), F.posexplode(F.array(F.col("source"), F.col("source") + 101, F.lit(None).cast("long"), F.col("source") + 202, F.col("source") + 303)).alias("pos", "room"))
+
+
+@query(None, map_id="long", plan="long", leg="long", source="long", target="long", cost="double", steps="long")
+def plan_route_legs(spark, sf):
+    return routing.planned(_waypoints(spark, sf), _walk(spark, sf)).withColumn("steps", F.size("path") - 1)
+
+
+@query(None, map_id="long", plan="long", total_steps="long", complete="boolean")
+def plan_route_totals(spark, sf):
+    return routing.plan_totals(routing.planned(_waypoints(spark, sf), _walk(spark, sf)))
+
+
+@query(None, map_id="long", plan="long", leg="long", special_steps="long")
+def special_steps(spark, sf):
+    return routing.special_steps(routing.planned(_waypoints(spark, sf), _walk(spark, sf)), grid.exits(spark, sf))
+
+
+@query(None, map_id="long", source="long", id="long", steps="long")
+def k_hop_reach(spark, sf):
+    return routing.reach(_walk(spark, sf), _firsts(spark, sf), 4)
+
+
+SQL["k_hop_reach"] = grid.SQL.rstrip() + f""",
+walk AS ({_WALK}), hop(map_id, source, id, steps) AS (SELECT map_id, min(id), min(id), 0 FROM rooms GROUP BY map_id UNION SELECT h.map_id, source, dst, steps + 1 FROM hop h JOIN walk w ON w.map_id = h.map_id AND w.src = h.id WHERE steps < 4)
+SELECT map_id::BIGINT AS map_id, source::BIGINT AS source, id::BIGINT AS id, min(steps)::BIGINT AS steps FROM hop GROUP BY map_id, source, id"""
+
+_RIDES = """SELECT line, src, dst, cost, time FROM (SELECT *, min(ok) OVER ride AS all_ok, sum(leg_time) OVER ride AS time, sum(leg_time) OVER ride * {ratio} + {penalty} AS cost FROM (
+  SELECT f.line, f.pos AS begin, f.src, off, g.dst, CASE WHEN g.time > 0 THEN g.time ELSE 60 END AS leg_time, (g.src = coalesce(lag(g.dst) OVER (PARTITION BY f.line, f.pos ORDER BY off), f.src) AND g.dst <> f.src AND EXISTS (SELECT 1 FROM rooms r WHERE r.id = g.dst))::INT AS ok
+  FROM (SELECT *, count(*) OVER (PARTITION BY line) AS n FROM legs) f, LATERAL (SELECT unnest(range(f.n)) AS off) o JOIN legs g ON g.line = f.line AND g.pos = (f.pos + off) % f.n WHERE EXISTS (SELECT 1 FROM rooms r WHERE r.id = f.src)) WINDOW ride AS (PARTITION BY line, begin ORDER BY off)) WHERE all_ok = 1"""
+
+
+def _rides(spark, sf, mode):
+    known = grid.rooms(spark, sf).select(F.lit(0).cast("long").alias("map_id"), "id")
+    return transports.edges(grid.legs(spark, sf), known, mode)
+
+
+@query(_RIDES.format(ratio=0.5, penalty=30), line="long", src="long", dst="long", cost="double", time="double")
+def transport_edges(spark, sf):
+    return _rides(spark, sf, "normal")
+
+
+@query(_RIDES.format(ratio=0.1, penalty=10), line="long", src="long", dst="long", cost="double", time="double")
+def transport_edges_aggressive(spark, sf):
+    return _rides(spark, sf, "aggressive")
+
+
+# ---- search ----
+
+
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 25", id="long")
+def search_substring(spark, sf):
+    return search.rooms_like(grid.corpus(spark, sf), "The")
+
+
+@query("SELECT doc_id AS id, source AS area, CASE WHEN contains(lower(text), 'that') THEN 2 ELSE 1 END + CASE WHEN contains(lower(text), 'src1') THEN 2 ELSE 1 END AS score FROM documents WHERE (contains(lower(text), 'that') OR contains(lower(source), 'that')) AND (contains(lower(text), 'src1') OR contains(lower(source), 'src1'))", id="long", area="string", score="long")
+def search_scored(spark, sf):
+    return search.scored(grid.corpus(spark, sf), "that  SRC1", limit=None)
+
+
+@query("SELECT token, kind, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS token, 'n' AS kind FROM documents UNION ALL SELECT DISTINCT doc_id, unnest(string_split_regex(lower(source), '\\s+')), 'a' FROM documents) WHERE token <> '' GROUP BY ALL", token="string", kind="string", n="long")
+def token_index(spark, sf):
+    return search.tokens(grid.corpus(spark, sf)).groupBy("token", "kind").agg(F.count("*").alias("n"))
+
+
+# ---- rules ----
+
+
+@query("SELECT id FROM (SELECT c_nationkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k > 1", id="long")
+def validate_duplicates(spark, sf):
+    return rules.repeats(grid.rooms(spark, sf).withColumn("id", F.col("area_id")), ["id"], ["room_ord"])
+
+
+@query("SELECT e.map_id, e.src, e.key, e.dst FROM exits e WHERE NOT EXISTS (SELECT 1 FROM rooms r WHERE r.map_id = e.map_id AND r.id = e.dst)", map_id="long", src="long", key="string", dst="long")
+def validate_dangling(spark, sf):
+    return rules.dangling(grid.exits(spark, sf), grid.rooms(spark, sf))
+
+
+@query("SELECT map_id, unnest(list_filter([CASE WHEN env > 256 THEN 'ENV_OVER_PALETTE' END, CASE WHEN locked THEN 'LOCKED' END, CASE WHEN weight < 2 THEN 'LIGHT' END], lambda c: c IS NOT NULL)) AS code, id FROM rooms", map_id="long", code="string", id="string")
+def validate_ranges(spark, sf):
+    path = F.col("id").cast("string")
+    return rules.each(grid.rooms(spark, sf), [(F.col("env") > 256, path, "ENV_OVER_PALETTE"), (F.col("locked"), path, "LOCKED"), (F.col("weight") < 2, path, "LIGHT")]).withColumnRenamed("path", "id")
+
+
+@query("SELECT map_id, src, key FROM exits LEFT JOIN idx USING (key) WHERE NOT special AND idx IS NULL", map_id="long", src="long", key="string")
+def validate_keys(spark, sf):
+    from wayloom.schema import direction_number
+
+    return grid.exits(spark, sf).filter(~F.col("special") & direction_number(F.col("key")).isNull())
+
+
+# ---- diff ----
+
+
+@query("SELECT (SELECT count(*) FROM o0) AS n_before, (SELECT count(*) FROM o1) AS n_after, (SELECT count(*) FROM o0 JOIN o1 USING (id)) AS n_both, (SELECT count(*) FROM o0 JOIN o1 USING (id)) / greatest((SELECT count(*) FROM o0), (SELECT count(*) FROM o1)) AS overlap", n_before="long", n_after="long", n_both="long", overlap="double")
+def diff_overlap(spark, sf):
+    return diff.overlap(grid.snapshot(spark, sf, False), grid.snapshot(spark, sf, True), ["map_id", "id"])
+
+
+def _ops(spark, sf):
+    return diff.room_ops(grid.snapshot(spark, sf, False), grid.snapshot(spark, sf, True))
+
+
+@query("SELECT id, type FROM ops", id="long", type="string")
+def diff_rooms(spark, sf):
+    return _ops(spark, sf)
+
+
+@query("SELECT type, count(*) AS n FROM ops GROUP BY type", type="string", n="long")
+def diff_stats(spark, sf):
+    return diff.stats(_ops(spark, sf))
+
+
+@query("SELECT env_before, env_after, symbol_before, symbol_after, count(*) AS n_rooms, min(id) AS first_room, max(id) AS last_room FROM ops WHERE type = 'PAINT_BATCH' GROUP BY ALL", env_before="long", env_after="long", symbol_before="string", symbol_after="string", n_rooms="long", first_room="long", last_room="long")
+def diff_paint_groups(spark, sf):
+    return diff.paint_groups(_ops(spark, sf))
+
+
+@query("SELECT id, type, row_number() OVER (ORDER BY CASE type WHEN 'ADD_ROOM' THEN 1 WHEN 'MOVE_ROOM_TO_AREA' THEN 2 WHEN 'DELETE_ROOM' THEN 3 WHEN 'MOVE_ROOM' THEN 4 WHEN 'EDIT_ROOM' THEN 5 ELSE 6 END, id) AS seq FROM ops", id="long", type="string", seq="long")
+def diff_ordered(spark, sf):
+    return diff.ordered(_ops(spark, sf), ["id"])
+
+
+@query("SELECT src, key, unnest(list_filter([CASE WHEN d0 IS NOT NULL THEN 'DELETE_EXIT' END, CASE WHEN d1 IS NOT NULL THEN 'ADD_EXIT' END], lambda t: t IS NOT NULL)) AS type FROM (SELECT a.src, a.key, CASE WHEN a.dst % 9 <> 0 AND a.src % 9 <> 0 THEN a.dst END AS d0, CASE WHEN a.src % 9 <> 0 AND a.dst % 9 <> 0 THEN CASE WHEN a.src % 8 = 0 THEN a.dst + 1 ELSE a.dst END END AS d1 FROM exits a WHERE NOT special) WHERE d0 IS DISTINCT FROM d1", src="long", key="string", type="string")
+def diff_exits(spark, sf):
+    before = grid.exits(spark, sf).filter(~F.col("special"))
+    gone = grid.rooms(spark, sf).filter("id % 9 = 0")
+    last = grid.table(spark, sf, "customer").count()
+    gone = gone.select("map_id", "id").unionByName(before.filter(f"dst % 9 = 0 and dst > {last}").select("map_id", F.col("dst").alias("id"))).unionByName(before.filter("dst % 9 = 0").select("map_id", F.col("dst").alias("id"))).distinct()
+    after = before.filter("src % 9 <> 0 and dst % 9 <> 0").withColumn("dst", F.when(F.col("src") % 8 == 0, F.col("dst") + 1).otherwise(F.col("dst")))
+    return diff.exit_ops(before, after, gone)
+
+
+@query("SELECT r.id, NOT EXISTS (SELECT 1 FROM rooms o WHERE o.map_id = r.map_id AND o.area_id = r.area_id AND o.x = r.x + 1 AND o.y = r.y AND o.z = r.z) AS free FROM rooms r", id="long", free="boolean")
+def diff_move_targets(spark, sf):
+    rooms = grid.rooms(spark, sf)
+    return diff.blocked_moves(rooms.select("map_id", "id", "area_id", (F.col("x") + 1).alias("x"), "y", "z"), rooms)
+
+
+# ---- operation logs ----
+
+_CHAINS = """chained AS (SELECT *, sum(opens) OVER (PARTITION BY log_id, key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, (type = 'add' OR coalesce(lag(type) OVER (PARTITION BY log_id, key ORDER BY seq) = 'delete', false))::INT AS opens FROM log)),
+folded AS (SELECT *, CASE WHEN first_type = 'add' THEN 'add' ELSE last_type END AS type FROM (SELECT log_id, key, session, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, arg_min(type, seq) AS first_type, arg_max(type, seq) AS last_type, arg_min(before, seq) AS before, arg_max(after, seq) AS after FROM chained GROUP BY ALL)
+  WHERE NOT (first_type = 'add' AND last_type = 'delete') AND NOT (first_type = 'edit' AND last_type = 'edit' AND before = after))"""
+
+
+def _chain_sql(name: str, sql: str) -> None:
+    SQL[name] = grid.SQL.rstrip() + ",\n" + _CHAINS + "\n" + sql
+
+
+@query(None, log_id="long", key="long", session="long", first_seq="long", last_seq="long", n="long", type="string", before="long", after="long")
+def op_chain_fold(spark, sf):
+    return oplog.folded(grid.log(spark, sf))
+
+
+_chain_sql("op_chain_fold", "SELECT log_id::BIGINT AS log_id, key::BIGINT AS key, session::BIGINT AS session, first_seq, last_seq, n, type, before::BIGINT AS before, after::BIGINT AS after FROM folded")
+
+
+@query(None, log_id="long", key="long", seq="long")
+def op_renumber(spark, sf):
+    return oplog.renumbered(oplog.folded(grid.log(spark, sf)))
+
+
+_chain_sql("op_renumber", "SELECT log_id::BIGINT AS log_id, key::BIGINT AS key, row_number() OVER (PARTITION BY log_id ORDER BY first_seq, key)::BIGINT AS seq FROM folded")
+
+
+@query("SELECT log_id, key, seq, 'd:' || row_number() OVER (PARTITION BY log_id ORDER BY seq) AS sid FROM log WHERE type = 'add'", log_id="long", key="long", seq="long", sid="string")
+def op_symbolic_ids(spark, sf):
+    return oplog.symbolic(grid.log(spark, sf))
+
+
+@query("""SELECT log_id, key, seq, type, (SELECT arg_max(a.sid, a.seq) FROM (SELECT s.*, (SELECT min(d.seq) FROM log d WHERE d.type = 'delete' AND d.log_id = s.log_id AND d.key = s.key AND d.seq > s.seq) AS gone FROM (SELECT log_id, key, seq, 'd:' || row_number() OVER (PARTITION BY log_id ORDER BY seq) AS sid FROM log WHERE type = 'add') s) a
+    WHERE a.log_id = l.log_id AND a.key = l.key AND a.seq <= l.seq AND (a.gone IS NULL OR l.seq <= a.gone)) AS sid FROM log l""", log_id="long", key="long", seq="long", type="string", sid="string")
+def op_references(spark, sf):
+    return oplog.references(grid.log(spark, sf))
+
+
+@query("SELECT log_id, seq, expected FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS expected FROM log) WHERE seq <> expected", log_id="long", seq="long", expected="long")
+def op_sequence_errors(spark, sf):
+    return oplog.sequence_errors(grid.log(spark, sf).withColumn("pos", F.col("seq")))
+
+
+def _last_ops(spark, sf):
+    last = Window.partitionBy("log_id", "key").orderBy(F.desc("last_seq"))
+    return oplog.folded(grid.log(spark, sf)).withColumn("k", F.row_number().over(last)).filter("k = 1").withColumnRenamed("last_seq", "seq")
+
+
+def _base(spark, sf):
+    return grid.log(spark, sf).filter("key % 2 = 0").select(F.col("log_id").alias("map_id"), F.col("key").alias("id"), F.lit(99).cast("long").alias("state")).distinct()
+
+
+_LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id, key ORDER BY last_seq DESC) AS k FROM folded) WHERE k = 1), base AS (SELECT DISTINCT log_id, key, 99 AS state FROM log WHERE key % 2 = 0)"
+
+
+@query(None, map_id="long", id="long", state="long")
+def op_apply(spark, sf):
+    return oplog.applied(_base(spark, sf), _last_ops(spark, sf))
+
+
+SQL["op_apply"] = grid.SQL.rstrip() + ",\n" + _CHAINS + ",\n" + _LAST + "\nSELECT log_id::BIGINT AS map_id, key::BIGINT AS id, CASE WHEN type IS NULL THEN state ELSE after END::BIGINT AS state FROM base FULL JOIN last USING (log_id, key) WHERE type IS NULL OR type <> 'delete'"
+
+
+@query(None, map_id="long", id="long", seq="long", code="string")
+def op_apply_skipped(spark, sf):
+    return oplog.skipped(_base(spark, sf), _last_ops(spark, sf))
+
+
+SQL["op_apply_skipped"] = grid.SQL.rstrip() + ",\n" + _CHAINS + ",\n" + _LAST + "\nSELECT log_id::BIGINT AS map_id, key::BIGINT AS id, last_seq AS seq, CASE WHEN type <> 'add' AND state IS NULL THEN 'ROOM_MISSING' WHEN type = 'add' AND state IS NOT NULL THEN 'CELL_OCCUPIED' END AS code FROM last LEFT JOIN base USING (log_id, key) WHERE (type <> 'add' AND state IS NULL) OR (type = 'add' AND state IS NOT NULL)"
+
+
+# ---- integrity ----
+
+
+@query("SELECT id, CASE WHEN a.name IS NULL THEN 'missing' WHEN b.name IS NULL THEN 'extra' ELSE 'bad' END AS verdict FROM o0 a FULL JOIN o1 b USING (id) WHERE a.name IS DISTINCT FROM b.name", id="long", verdict="string")
+def verify_full_outer(spark, sf):
+    side = lambda new: grid.snapshot(spark, sf, new).select("id", F.md5("name").alias("hash"))
+    return integrity.verified(side(False), side(True), ["id"])
+
+
+@query("SELECT map_id, area_id, count(*) AS n, md5(array_to_string(list(md5(name) ORDER BY id), '')) AS hash FROM rooms GROUP BY ALL", map_id="long", area_id="long", n="long", hash="string")
+def hash_rollup_md5(spark, sf):
+    return integrity.rollup_md5(grid.rooms(spark, sf), ["map_id", "area_id"], "id", "name")
+
+
+@query(None, id="long", hash="string")
+def xxh3_names(spark, sf):
+    return grid.rooms(spark, sf).select("id", codes.xxh3_hex("name").alias("hash"))
+
+
+@query(None, map_id="long", code="string", error="string", n_ids="long")
+def route_codes(spark, sf):
+    code = codes.encode_route(F.array(F.col("source"), F.col("source") + 7, F.col("source") + 90), F.lit("astar"), F.lit("all"), F.lit("normal"))
+    return _firsts(spark, sf).select("map_id", code.alias("code")).withColumn("d", codes.decode_route(F.col("code"))).select("map_id", "code", "d.error", F.size("d.ids").alias("n_ids"))
+
+
+@query("SELECT k AS n, CASE WHEN k = 1 THEN 'one' WHEN k % 10 BETWEEN 2 AND 4 AND NOT k % 100 BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS pl, CASE WHEN k = 1 THEN 'one' ELSE 'many' END AS en FROM (SELECT c_custkey AS k FROM customer)", n="long", pl="string", en="string")
+def plural_messages(spark, sf):
+    n = F.col("c_custkey")
+    return grid.table(spark, sf, "customer").select(n.alias("n"), codes.plural_form(n, "pl").alias("pl"), codes.plural_form(n, "en").alias("en"))
+
+
+# ---- display ----
+
+_PALETTE = "pal AS (SELECT i, CASE WHEN i < 16 THEN [[0,0,0],[128,0,0],[0,128,0],[128,128,0],[0,0,128],[128,0,128],[0,128,128],[192,192,192],[128,128,128],[255,0,0],[0,255,0],[255,255,0],[0,0,255],[255,0,255],[0,255,255],[255,255,255]][i + 1] WHEN i < 232 THEN list_transform([(i - 16) // 36, (i - 16) // 6 % 6, (i - 16) % 6], lambda v: CASE WHEN v = 0 THEN 0 ELSE 55 + 40 * v END) ELSE [8 + (i - 232) * 10, 8 + (i - 232) * 10, 8 + (i - 232) * 10] END AS rgb FROM (SELECT unnest(range(256)) AS i))"
+
+
+def _colored(spark, sf):
+    rooms = grid.rooms(spark, sf)
+    ansi = spark.createDataFrame([(e, (e * 3) % 256) for e in range(0, 300, 2)], "env long, ansi int")
+    own = spark.createDataFrame([(e, [e % 256, 10, 20]) for e in range(257, 262, 2)], "env long, rgb array<int>")
+    maps = rooms.select("map_id").distinct()
+    return display.colored(rooms, ansi.crossJoin(F.broadcast(maps)), own.crossJoin(F.broadcast(maps)))
+
+
+@query(None, id="long", r="long", g="long", b="long", ink="string")
+def env_color_cascade(spark, sf):
+    rgb = F.col("rgb")
+    return _colored(spark, sf).select("id", rgb[0].alias("r"), rgb[1].alias("g"), rgb[2].alias("b"), display.contrast(rgb).alias("ink"))
+
+
+SQL["env_color_cascade"] = grid.SQL.rstrip() + ",\n" + _PALETTE + """,
+std AS (SELECT e AS env, rgb FROM (SELECT unnest(range(1, 256)) AS e) JOIN pal ON pal.i = CASE e WHEN 8 THEN 0 WHEN 16 THEN 8 ELSE e END),
+c AS (SELECT r.id, coalesce(CASE WHEN r.env IN (257, 259, 261) THEN [r.env % 256, 10, 20] END, a.rgb, s.rgb, [114, 1, 0]) AS rgb FROM rooms r LEFT JOIN std a ON r.env % 2 = 0 AND r.env < 300 AND a.env = r.env * 3 % 256 LEFT JOIN std s ON s.env = r.env)
+SELECT id::BIGINT AS id, rgb[1]::BIGINT AS r, rgb[2]::BIGINT AS g, rgb[3]::BIGINT AS b, CASE WHEN rgb[1] * 0.299::DOUBLE + rgb[2] * 0.587::DOUBLE + rgb[3] * 0.114::DOUBLE > 140 THEN 'black' ELSE 'white' END AS ink FROM c"""
+
+
+@query("""SELECT e.map_id, e.src, e.key, e.dst, CASE WHEN l.drawn THEN 'custom' WHEN NOT l.drawn THEN 'suppressed' WHEN i.idx IS NULL THEN 'skip' WHEN i.idx > 8 THEN 'udio' WHEN y.id IS NULL THEN 'skip' WHEN y.area_id <> x.area_id THEN 'cross' WHEN y.z <> x.z THEN 'crossZ'
+    WHEN NOT EXISTS (SELECT 1 FROM exits b WHERE NOT b.special AND b.map_id = e.map_id AND b.src = e.dst AND b.dst = e.src AND b.key = i.opp) THEN 'oneway' ELSE 'line' END AS kind FROM exits e LEFT JOIN lines l ON l.map_id = e.map_id AND l.room_id = e.src AND l.key = e.key LEFT JOIN idx i ON i.key = e.key
+    JOIN rooms x ON x.map_id = e.map_id AND x.id = e.src LEFT JOIN rooms y ON y.map_id = e.map_id AND y.id = e.dst WHERE NOT e.special""", map_id="long", src="long", key="string", dst="long", kind="string")
+def classify_exit(spark, sf):
+    return display.exit_kinds(grid.exits(spark, sf), grid.rooms(spark, sf), grid.lines(spark, sf))
+
+
+@query("SELECT map_id, area_id, CASE WHEN px >= 9 OR least(n, 500) <= 200 THEN 'full' WHEN px < 3 THEN 'raster' ELSE 'roomsOnly' END AS lod FROM (SELECT map_id, area_id, count(*) * 40 AS n, count(*) % 12 AS px FROM rooms GROUP BY ALL)", map_id="long", area_id="long", lod="string")
+def lod_mode(spark, sf):
+    n = grid.rooms(spark, sf).groupBy("map_id", "area_id").agg((F.count("*") * 40).alias("n"), (F.count("*") % 12).alias("px"))
+    return n.select("map_id", "area_id", display.level_of_detail(F.col("px"), F.col("n"), F.lit(500)).alias("lod"))
+
+
+_BOX = "SELECT {by}, min(x) AS min_x, max(x) AS max_x, min(-y) AS min_y, max(-y) AS max_y, min(z) AS min_z, max(z) AS max_z, count(DISTINCT z) AS n_levels, count(*) AS n_rooms FROM rooms GROUP BY ALL"
+_BOX_KINDS = dict.fromkeys(["min_x", "max_x", "min_y", "max_y", "min_z", "max_z", "n_levels", "n_rooms"], "long")
+
+
+@query(_BOX.format(by="map_id, area_id"), map_id="long", area_id="long", **_BOX_KINDS)
+def area_bbox(spark, sf):
+    return display.bounds(grid.rooms(spark, sf), ["map_id", "area_id"])
+
+
+@query(_BOX.format(by="map_id, area_id, z"), map_id="long", area_id="long", z="long", **_BOX_KINDS)
+def area_z_bbox(spark, sf):
+    return display.bounds(grid.rooms(spark, sf), ["map_id", "area_id", "z"])
+
+
+@query("SELECT e.map_id, x.area_id AS src_area, e.src, y.area_id AS dst_area, e.dst, CASE WHEN special THEN 13 ELSE idx END AS code FROM exits e LEFT JOIN idx USING (key) JOIN rooms x ON x.map_id = e.map_id AND x.id = e.src JOIN rooms y ON y.map_id = e.map_id AND y.id = e.dst WHERE x.area_id <> y.area_id", map_id="long", src_area="long", src="long", dst_area="long", dst="long", code="long")
+def inter_area_exits(spark, sf):
+    return display.cross_area_exits(grid.exits(spark, sf), grid.rooms(spark, sf))
+
+
+@query("""SELECT map_id, area_id, z, x, y, max(layer) AS layer FROM (SELECT map_id, area_id, z, x, y, 2 AS layer FROM rooms UNION ALL
+    SELECT map_id, area_id, z, CAST(x0 + floor((2 * i * (x1 - x0) + n) / greatest(2 * n, 1)) AS BIGINT), CAST(y0 + floor((2 * i * (y1 - y0) + n) / greatest(2 * n, 1)) AS BIGINT), 1 FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM (
+    SELECT DISTINCT e.map_id, a.area_id, a.z, CASE WHEN e.src < e.dst THEN a.x ELSE b.x END AS x0, CASE WHEN e.src < e.dst THEN a.y ELSE b.y END AS y0, CASE WHEN e.src < e.dst THEN b.x ELSE a.x END AS x1, CASE WHEN e.src < e.dst THEN b.y ELSE a.y END AS y1
+    FROM exits e JOIN rooms a ON a.map_id = e.map_id AND a.id = e.src JOIN rooms b ON b.map_id = e.map_id AND b.id = e.dst AND b.area_id = a.area_id AND b.z = a.z WHERE NOT special)))) GROUP BY ALL""", map_id="long", area_id="long", z="long", x="long", y="long", layer="long")
+def raster_cells(spark, sf):
+    return display.raster_cells(grid.rooms(spark, sf), grid.exits(spark, sf))
