@@ -47,9 +47,10 @@ def problems(lines: DataFrame) -> DataFrame:
     at = F.concat(F.lit("transports.lines["), F.col("pos").cast("string"), F.lit("]"))
     again = F.row_number().over(Window.partitionBy("map_id", "name").orderBy("pos")) > 1
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    lines = lines.withColumn("again", again)
     of_line = lines.select("map_id", F.explode(F.filter(F.array(
         F.when(blank("name"), F.struct(F.concat(at, F.lit(".name")).alias("path"), F.lit("must be a non-empty string").alias("message"))),
-        F.when(~blank("name") & again, F.struct(F.concat(at, F.lit(".name")).alias("path"), F.lit("duplicate line name").alias("message"))),
+        F.when(~blank("name") & F.col("again"), F.struct(F.concat(at, F.lit(".name")).alias("path"), F.lit("duplicate line name").alias("message"))),
         F.when(F.coalesce(F.size("board"), F.lit(0)) < 1, F.struct(F.concat(at, F.lit(".board")).alias("path"), F.lit("must be a non-empty array of strings").alias("message"))),
         F.when(blank("exit"), F.struct(F.concat(at, F.lit(".exit")).alias("path"), F.lit("must be a non-empty string").alias("message"))),
         F.when(F.coalesce(F.size("legs"), F.lit(0)) < 1, F.struct(F.concat(at, F.lit(".legs")).alias("path"), F.lit("must be a non-empty array").alias("message"))),
