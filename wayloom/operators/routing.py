@@ -55,15 +55,14 @@ def shortest(edges: DataFrame, sources: DataFrame, fits: int = FITS) -> DataFram
 
     ``edges`` has map_id, src, dst and w; ``sources`` has map_id and source.
     """
-    edges = edges.select(F.col("map_id").cast("long").alias("map_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w"))
+    edges = _checkpointed(edges.select(F.col("map_id").cast("long").alias("map_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
     sources = sources.select(F.col("map_id").cast("long").alias("map_id"), F.col("source").cast("long").alias("source")).distinct()
-    large = edges.groupBy("map_id").count().filter(F.col("count") > fits).select("map_id")
-    small = edges.join(large, "map_id", "left_anti")
-    few = sources.join(large, "map_id", "left_anti")
-    out = small.groupBy("map_id").cogroup(few.groupBy("map_id")).applyInArrow(_dijkstra, COSTS)
+    large = _checkpointed(edges.groupBy("map_id").count().filter(F.col("count") > fits).select("map_id"))
+    grouped = lambda e, s: e.groupBy("map_id").cogroup(s.groupBy("map_id")).applyInArrow(_dijkstra, COSTS)
     if large.isEmpty():
-        return out
-    return out.unionByName(relaxed(edges.join(large, "map_id", "left_semi"), sources.join(large, "map_id", "left_semi")))
+        return grouped(edges, sources)
+    small = grouped(edges.join(large, "map_id", "left_anti"), sources.join(large, "map_id", "left_anti"))
+    return small.unionByName(relaxed(edges.join(large, "map_id", "left_semi"), sources.join(large, "map_id", "left_semi")))
 
 
 def relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
