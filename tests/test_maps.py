@@ -138,6 +138,12 @@ def test_checksums_roll_up_and_verify(maps):
     assert found == {("room", "1"): "bad", ("area", "7"): "bad", ("file", ""): "bad", ("room", "4"): "missing"}
 
 
+def test_signed_documents_verify(spark, maps):
+    docs = integrity.signed(maps())
+    assert integrity.verified(integrity.stored_checksums(docs), integrity.checksums(docs), ["map_id", "level", "id"]).count() == 0
+    assert docs.select("checksums.alg").first()[0] == "v4"
+
+
 def test_canonical_bytes_and_text_hashes(spark):
     fields = "id x y z env name symbol notes hash weight locked hidden exits stubs exit_locks doors exit_weights special_exits special_exit_locks tags user_data custom_lines".split()
     bare = dict.fromkeys(fields) | {"id": 1, "x": 0, "y": 0, "z": 0, "env": 1}

@@ -116,6 +116,15 @@ def checksums(documents: DataFrame) -> DataFrame:
     return rooms.select("map_id", F.lit("room").alias("level"), as_id("id"), "hash").unionByName(areas.select("map_id", F.lit("area").alias("level"), as_id("id"), "hash")).unionByName(files.select("map_id", F.lit("file").alias("level"), F.lit("").alias("id"), "hash"))
 
 
+def signed(documents: DataFrame) -> DataFrame:
+    """Documents whose ``checksums`` hold the sums of what they have now."""
+    sums = checksums(documents)
+    entries = lambda level: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("level") == level, F.struct("id", "hash"))))).alias(f"{level}s")
+    by_map = sums.groupBy("map_id").agg(F.max(F.when(F.col("level") == "file", F.col("hash"))).alias("file"), entries("area"), entries("room"))
+    both = documents.join(by_map.withColumnsRenamed({"areas": "areas_sums", "rooms": "rooms_sums"}), "map_id")
+    return both.withColumn("checksums", F.struct(F.lit("v4").alias("alg"), F.col("file").alias("file"), F.lit(None).cast("string").alias("meta"), F.col("areas_sums").alias("areas"), F.col("rooms_sums").alias("rooms"))).drop("file", "areas_sums", "rooms_sums")
+
+
 def stored_checksums(documents: DataFrame) -> DataFrame:
     """The checksums that documents bring with them, in the same shape."""
     level = lambda n: documents.select("map_id", F.lit(n).alias("level"), F.explode(f"checksums.{n}s").alias("id", "hash"))

@@ -65,6 +65,12 @@ def shortest(edges: DataFrame, sources: DataFrame, fits: int = FITS) -> DataFram
     return small.unionByName(relaxed(edges.join(large, "map_id", "left_semi"), sources.join(large, "map_id", "left_semi")))
 
 
+def with_rides(edges: DataFrame, rides: DataFrame) -> DataFrame:
+    """Walkable edges and virtual ones (map_id, src, dst, cost), such as rides or a caller's own; these pass any filter."""
+    walk = edges.select("map_id", "src", "dst", "w")
+    return walk.unionByName(rides.filter(F.col("cost") >= 0).select("map_id", "src", "dst", F.col("cost").alias("w")))
+
+
 def relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """The same by rounds: rooms whose cost fell reach their neighbours, and the least cost stays."""
     best = _checkpointed(sources.select("map_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("previous")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import codes
-from wayloom.operators import diff, display, graph, integrity, oplog, routing, rules, search, transports
+from wayloom.operators import canonical, diff, display, graph, integrity, oplog, routing, rules, search, transports
 from wayloom.plans import grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,20 @@ def transport_edges_aggressive(spark, sf):
     return _rides(spark, sf, "aggressive")
 
 
+@query(None, source="long", id="long", cost="double")
+def route_transports(spark, sf):
+    """Costs from the first room over all maps as one, on foot and by rides."""
+    one = F.lit(0).cast("long").alias("map_id")
+    edges = routing.with_rides(_walk(spark, sf).withColumn("map_id", one), _rides(spark, sf, "normal"))
+    return routing.shortest(edges, spark.range(1).select(one, F.lit(1).cast("long").alias("source")))
+
+
+SQL["route_transports"] = grid.SQL.rstrip() + f""",
+step AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM adj WHERE NOT lk AND NOT dst_locked UNION ALL SELECT src, dst, cost FROM ({_RIDES.format(ratio=0.5, penalty=30)})) GROUP BY ALL),
+spread(id, cost) USING KEY (id) AS (SELECT 1::BIGINT, 0::DOUBLE UNION SELECT b.dst, min(s.cost + b.w) FROM spread s JOIN step b ON b.src = s.id LEFT JOIN recurring.spread r ON r.id = b.dst WHERE r.cost IS NULL OR s.cost + b.w < r.cost GROUP BY b.dst)
+SELECT 1::BIGINT AS source, id::BIGINT AS id, cost::DOUBLE AS cost FROM spread"""
+
+
 # ---- search ----
 
 
@@ -273,6 +287,12 @@ def diff_move_targets(spark, sf):
     return diff.blocked_moves(rooms.select("map_id", "id", "area_id", (F.col("x") + 1).alias("x"), "y", "z"), rooms)
 
 
+@query("SELECT id, list_filter([CASE WHEN a.area_id <> b.area_id THEN 'area_id' END, CASE WHEN a.x <> b.x THEN 'x' END, CASE WHEN a.env <> b.env THEN 'env' END, CASE WHEN a.name <> b.name THEN 'name' END], lambda f: f IS NOT NULL) AS f, array_to_string(list_sort(f), ',') AS fields FROM o0 a JOIN o1 b USING (id) WHERE len(f) > 0", id="long", fields="string")
+def canonical_changed_fields(spark, sf):
+    found = canonical.changed_rooms(grid.snapshot(spark, sf, False), grid.snapshot(spark, sf, True))
+    return found.select("id", F.array_join(F.array_sort("fields"), ",").alias("fields"))
+
+
 # ---- operation logs ----
 
 _CHAINS = """chained AS (SELECT *, sum(opens) OVER (PARTITION BY log_id, key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, (type = 'add' OR coalesce(lag(type) OVER (PARTITION BY log_id, key ORDER BY seq) = 'delete', false))::INT AS opens FROM log)),
