@@ -30,7 +30,7 @@ from .common import SPACE, discarded, fold, map_batches, split_words, stored, ta
 HEAD = 1024
 CLASSES = 32
 ROUNDS = 2
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: The end of a document among the words; no word holds white space.
 END = b"\n"
 

@@ -38,7 +38,7 @@ SAMPLE_PER_LEAF, LEVELS = 64, 10
 LEAF, TILE_HOMES, TILE_QUERIES = 4096, 8192, 32768
 #: Comparisons that are made at once.
 BLOCK = 1 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
