@@ -48,14 +48,20 @@ def hashes(words: Words, *stems: int) -> list[np.ndarray]:
         return [mixed((total[e] - total[a]) * back[a] + (e - a).astype(np.uint64)) for e in ends]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, features: Callable[[pa.Array], tuple[list, list]]) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, features: Callable[[pa.Array], tuple[list, list]], balanced: bool = False) -> DataFrame:
     """doc_id, y, ids and values of at most ``most`` labelled documents, those with the lowest hash of the id.
 
+    If ``balanced``, at most half of them are of either label, so that a rare one is well shown.
+
     The ids alone, of a fixed number, are broadcast; the texts that they choose are turned into
     features where they are read. Documents with one id count once.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    lowest = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    if balanced:
+        chosen = lowest(chosen.filter("y = 0"), most // 2).unionByName(lowest(chosen.filter("y <> 0"), most // 2))
+    else:
+        chosen = lowest(chosen, most)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
