@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 EMBED, HIDDEN = 12, 20
-LANES, TRAIN_LANES, STEPS = 256, 128, 32
+LANES, TRAIN_LANES, STEPS = 256, 256, 32
 #: AdaGrad's rate, and the squares that its sums start from.
 RATE, START = 0.1, 1e-6
 
@@ -156,9 +156,9 @@ def laid(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray,
     doc = np.repeat(np.arange(len(lengths)), lengths)
     within = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     t, k = step[doc] + within, lane[doc]
-    y, who = np.full((n, b), end, np.int64), np.full((n, b), -1, np.int64)
+    y, who = np.full((n, b), end, np.int32), np.full((n, b), -1, np.int32)
     y[t, k], who[t, k] = tokens, doc
-    x = np.full((n, b), end, np.int64)
+    x = np.full((n, b), end, np.int32)
     x[1:] = y[:-1]
     fresh = np.zeros((n, b), bool)
     fresh[step, lane] = True
@@ -183,7 +183,7 @@ def scored(w: dict, symbols: Symbols, tokens: np.ndarray, lengths: np.ndarray) -
 
 def streams(tokens: np.ndarray, lengths: np.ndarray, end: int, most: int = TRAIN_LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, documents' begins, targets and which are real, for training: equal lanes that may cut a document."""
-    b = int(min(most, max(1, len(tokens) // (8 * STEPS))))
+    b = int(min(most, max(1, len(tokens) // (64 * STEPS))))
     n = -(-len(tokens) // b)
     begins = np.zeros(n * b, bool)
     begins[np.cumsum(lengths) - lengths] = True

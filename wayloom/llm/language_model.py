@@ -4,7 +4,7 @@
    tokens and its distinct words with their counts in training documents.
 2. The counts of all words of all training documents are summed. Each chunk's distinct words are
    joined to them, a row for each word and chunk, so a frequent word is no hot key.
-3. Chunks meet their counts again and become the base scores and the symbols of their tokens.
+3. Chunks meet the counts that aren't their own alone and become the base scores and the symbols of their tokens.
    Symbols are the HEAD most frequent tokens; all other words share one, whose probability is
    divided among them in the proportion of their add-one counts.
 4. The recurrent model starts as the unigram distribution of the symbols. Every task trains on
@@ -30,7 +30,7 @@ from .common import SPACE, discarded, fold, map_batches, split_words, stored, ta
 HEAD = 1024
 CLASSES = 32
 ROUNDS = 2
-CHUNK = 4 << 20
+CHUNK = 10 << 20
 #: The end of a document among the words; no word holds white space.
 END = b"\n"
 
@@ -82,21 +82,22 @@ def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary]:
     ends = rows.select(F.explode("held").alias("held")).agg(F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()[0]
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     head = counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(HEAD).collect()  # a fixed number
-    return each.select("chunk", "at", "word"), counts, Vocabulary(total[0] + ends, total[1] + (ends > 0), ends, [(bytes(r.word), r.c) for r in head])
+    return each.select("chunk", "at", "word", "n"), counts, Vocabulary(total[0] + ends, total[1] + (ends > 0), ends, [(bytes(r.word), r.c) for r in head])
 
 
 def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
     """A row for each chunk: ids, held, lengths (ends included), known, base and rare sums, symbols."""
     symbol, rare, end = v.symbol, len(v.mass) - 1, v.symbol[END]
     base_all, base_end = np.log10(v.n_tokens + v.n_distinct + 1), np.log10(v.n_ends + 1)
-    found = words.join(counts, "word").select("chunk", "at", "c", F.when(F.col("c") >= v.least, F.col("word")).alias("word"))
+    # a word that stands in one chunk alone has the count that the chunk knows
+    found = words.join(counts, "word").filter((F.col("c") != F.col("n")) | (F.col("c") >= v.least)).select("chunk", "at", "c", F.when(F.col("c") >= v.least, F.col("word")).alias("word"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").combine_chunks().flatten()
         lengths = left.column("lengths").combine_chunks().flatten().to_numpy().astype(np.int64)
         code = left.column("codes").combine_chunks().flatten().to_numpy().astype(np.int64)
-        n = right.num_rows
-        at, c, sym = right.column("at").to_numpy(), np.zeros(n, np.int64), np.full(n, rare, np.int64)
+        c = left.column("times").combine_chunks().flatten().to_numpy().copy()
+        at, sym = right.column("at").to_numpy(), np.full(len(c), rare, np.int64)
         c[at] = right.column("c").to_numpy()
         sym[at] = [symbol.get(w, rare) if w is not None else rare for w in right.column("word").to_pylist()]
         doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -113,8 +114,7 @@ def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary
         })
 
     schema = f"ids {rows.schema['ids'].dataType.simpleString()}, held array<boolean>, lengths array<int>, known array<long>, base array<double>, outside array<double>, tokens binary"
-    # a chunk without words has no row on the right; its documents are still given
-    return rows.select(F.col("chunk").alias("part"), "ids", "held", "lengths", "codes").groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(run, schema)
+    return rows.select(F.col("chunk").alias("part"), "ids", "held", "lengths", "codes", "times").groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _documents(batch: pa.RecordBatch):
