@@ -1,7 +1,8 @@
 """Language-model scores of whole documents, by a gated recurrent model and a unigram base.
 
 1. Texts are cut into words and coded once, in chunks: a chunk holds the codes of its documents'
-   tokens and its distinct words with their counts in training documents.
+   tokens, compressed, and its distinct words, the most frequent first, with their counts in
+   training documents.
 2. The counts of all words of all training documents are summed. Each chunk's distinct words are
    joined to them, a row for each word and chunk, so a frequent word is no hot key.
 3. Chunks meet the counts that aren't their own alone and become the base scores and the symbols of their tokens.
@@ -35,24 +36,39 @@ CHUNK = 10 << 20
 END = b"\n"
 
 
+def squeezed(codes: np.ndarray) -> bytes:
+    """Codes as one compressed string, their low bytes first."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(codes) else b""
+
+
+def released(data: bytes, n: int) -> np.ndarray:
+    """The n codes that ``squeezed`` made a string of."""
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """chunk, ids, held, lengths and codes of documents, and words with their training counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(*text_bytes(batch.column("text")), SPACE, lower=True)
         code, distinct = words.coded()
+        order = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")
+        code, distinct = np.argsort(order)[code], distinct.take(pa.array(order))  # small codes compress well
         held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         trains = ~held[words.text]
         times = np.bincount(code[trains], minlength=len(distinct)).astype(np.int64)
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         return pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")), one(held, pa.bool_()), one(words.counts().astype(np.int32), pa.int32()), one(code.astype(np.int32), pa.int32()),
+            [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")), one(held, pa.bool_()), one(words.counts().astype(np.int32), pa.int32()), pa.array([squeezed(code)], pa.binary()),
              pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.binary())), one(times, pa.int64())],
             names=["ids", "held", "lengths", "codes", "words", "times"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"ids array<{kind}>, held array<boolean>, lengths array<int>, codes array<int>, words array<binary>, times array<long>"
+    schema = f"ids array<{kind}>, held array<boolean>, lengths array<int>, codes binary, words array<binary>, times array<long>"
     own = docs.select("doc_id", F.col("held_out").cast("boolean").alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_batches(own, run, schema, most=CHUNK).withColumn("chunk", F.monotonically_increasing_id())
 
@@ -95,7 +111,7 @@ def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").combine_chunks().flatten()
         lengths = left.column("lengths").combine_chunks().flatten().to_numpy().astype(np.int64)
-        code = left.column("codes").combine_chunks().flatten().to_numpy().astype(np.int64)
+        code = released(left.column("codes")[0].as_py(), int(lengths.sum()))
         c = left.column("times").combine_chunks().flatten().to_numpy().copy()
         at, sym = right.column("at").to_numpy(), np.full(len(c), rare, np.int64)
         c[at] = right.column("c").to_numpy()
