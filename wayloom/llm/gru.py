@@ -56,7 +56,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def run(w: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States after each step of symbols x (steps, lanes); fresh: where a document begins."""
     out = np.empty((*x.shape, HIDDEN), np.float32)
-    gates = w["emb"][x] @ w["wx"] + w["b"]
+    gates = (w["emb"] @ w["wx"] + w["b"])[x]
     for t in range(len(x)):
         h = h * ~fresh[t][:, None]
         hu = h @ w["u"]
@@ -77,7 +77,7 @@ def log_p(w: dict, symbols: Symbols, h: np.ndarray, y: np.ndarray, grad: dict |
     logits -= logits.max(1, keepdims=True)
     e = np.exp(logits)
     total = e.sum(1)
-    c = symbols.of[y]
+    c = symbols.of[y].astype(np.int16)  # sixteen bits sort by radix
     out = logits[at, c] - np.log(total)
     order = np.argsort(c, kind="stable")
     cuts = np.searchsorted(c[order], np.arange(len(symbols.size) + 1))
@@ -86,21 +86,29 @@ def log_p(w: dict, symbols: Symbols, h: np.ndarray, y: np.ndarray, grad: dict |
         p[at, c] -= 1
         grad["wc"], grad["bc"], grad["h"] = h.T @ p, p.sum(0), p @ w["wc"].T
         grad["ww"], grad["bw"] = np.zeros_like(w["ww"]), np.zeros_like(w["bw"])
+    h, y, within = h[order], y[order], np.zeros(len(y), logits.dtype)  # each class is one slice
+    dh = None if grad is None else np.zeros_like(h)
     for k, (a, b) in enumerate(zip(symbols.bounds, symbols.bounds[1:])):
-        own = order[cuts[k] : cuts[k + 1]]
-        if b - a == 1 or not len(own):
+        own = slice(cuts[k], cuts[k + 1])
+        n = cuts[k + 1] - cuts[k]
+        if b - a == 1 or not n:
             continue
-        logits = h[own] @ w["ww"][a:b].T + w["bw"][a:b]
+        logits = h[own] @ w["ww"][a:b].T
+        logits += w["bw"][a:b]
         logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
+        j = (np.arange(n), y[own] - a)
+        hit = logits[j]
+        e = np.exp(logits, out=logits)
         total = e.sum(1)
-        j = y[own] - a
-        out[own] += logits[np.arange(len(own)), j] - np.log(total)
+        within[own] = hit - np.log(total)
         if grad is not None:
-            p = e / total[:, None]
-            p[np.arange(len(own)), j] -= 1
-            grad["ww"][a:b], grad["bw"][a:b] = p.T @ h[own], p.sum(0)
-            grad["h"][own] += p @ w["ww"][a:b]
+            e /= total[:, None]
+            e[j] -= 1
+            grad["ww"][a:b], grad["bw"][a:b] = e.T @ h[own], e.sum(0)
+            dh[own] = e @ w["ww"][a:b]
+    out[order] += within
+    if grad is not None:
+        grad["h"][order] += dh
     return out
 
 
@@ -108,11 +116,15 @@ def gradient(w: dict, symbols: Symbols, x: np.ndarray, fresh: np.ndarray, h0: np
     """Gradient over one window (truncated at its begin), the last state, and the loss."""
     keep: list = []
     states = run(w, x, fresh, h0, keep)
-    t, b = np.nonzero(real)
     g: dict = {}
-    loss = -log_p(w, symbols, states[t, b], y[t, b], g).sum()
-    dh_out = np.zeros_like(states)
-    dh_out[t, b] = g.pop("h")
+    if real.all():
+        loss = -log_p(w, symbols, states.reshape(-1, HIDDEN), y.ravel(), g).sum()
+        dh_out = g.pop("h").reshape(states.shape)
+    else:
+        t, b = np.nonzero(real)
+        loss = -log_p(w, symbols, states[t, b], y[t, b], g).sum()
+        dh_out = np.zeros_like(states)
+        dh_out[t, b] = g.pop("h")
     dgate = np.empty((*x.shape, 3 * HIDDEN), np.float32)
     du = np.zeros_like(w["u"])
     dh = np.zeros_like(h0)
@@ -129,7 +141,7 @@ def gradient(w: dict, symbols: Symbols, x: np.ndarray, fresh: np.ndarray, h0: np
     flat, ids = dgate.reshape(-1, 3 * HIDDEN), x.ravel()
     emb = w["emb"][ids]
     demb = flat @ w["wx"].T
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
     g["emb"] = np.zeros_like(w["emb"])
     g["emb"][ids[order][first]] = np.add.reduceat(demb[order], first)
