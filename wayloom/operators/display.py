@@ -37,20 +37,20 @@ def colored(rooms: DataFrame, env_colors: DataFrame, custom_colors: DataFrame) -
 
 
 def contrast(rgb: Column) -> Column:
-    """black on light colours, white on dark ones."""
+    """Dark on light colours, white on dark ones."""
     light = rgb[0] * F.lit(0.299) + rgb[1] * F.lit(0.587) + rgb[2] * F.lit(0.114)
-    return F.when(light > 140, "black").otherwise("white")
+    return F.when(light > 140, "#111").otherwise("#fff")
 
 
 def exit_kinds(exits: DataFrame, rooms: DataFrame, lines: DataFrame) -> DataFrame:
-    """Regular exits with ``kind``: custom, suppressed, skip, udio, cross, crossZ, oneway or line; the first that applies."""
+    """Regular exits with ``kind``: custom, suppressed, skip, udio, cross (unknown targets too), crossZ, oneway or line; the first that applies."""
     line = lines.select("map_id", F.col("room_id").alias("src"), "key", (F.size("points") > 0).alias("drawn"))
     place = lambda p: rooms.select("map_id", F.col("id").alias(p), F.col("area_id").alias(f"{p}_area"), F.coalesce("z", F.lit(0)).alias(f"{p}_z"))
     normal = exits.filter(~F.col("special"))
     back = normal.select("map_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("key").alias("back"), F.lit(True).alias("two")).distinct()
     out = normal.withColumn("back", opposite(F.col("key"))).join(line, ["map_id", "src", "key"], "left").join(place("src"), ["map_id", "src"]).join(place("dst"), ["map_id", "dst"], "left").join(back, ["map_id", "src", "dst", "back"], "left")
     idx = direction_number(F.col("key"))
-    kind = F.when(F.col("drawn"), "custom").when(~F.col("drawn"), "suppressed").when(idx.isNull(), "skip").when(idx > 8, "udio").when(F.col("dst_area").isNull(), "skip").when(F.col("dst_area") != F.col("src_area"), "cross").when(F.col("dst_z") != F.col("src_z"), "crossZ").when(F.col("two").isNull(), "oneway").otherwise("line")
+    kind = F.when(F.col("drawn"), "custom").when(~F.col("drawn"), "suppressed").when(idx.isNull(), "skip").when(idx > 8, "udio").when(F.col("dst_area").isNull() | (F.col("dst_area") != F.col("src_area")), "cross").when(F.col("dst_z") != F.col("src_z"), "crossZ").when(F.col("two").isNull(), "oneway").otherwise("line")
     return out.select("map_id", "src", "key", "dst", kind.alias("kind"))
 
 
@@ -65,14 +65,15 @@ def bounds(rooms: DataFrame, by: list[str]) -> DataFrame:
     return rooms.groupBy(*by).agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.count_distinct("z").alias("n_levels"), F.count("*").alias("n_rooms"))
 
 
-def raster_cells(rooms: DataFrame, exits: DataFrame) -> DataFrame:
+def raster_cells(rooms: DataFrame, kinds: DataFrame) -> DataFrame:
     """map_id, area_id, z, x, y, layer (1 line, 2 room) and alpha: the cells of each plane.
 
-    A line's cells come from stepping its longer axis, rounded half up; a two-way exit is drawn
+    ``kinds`` are the exits of ``exit_kinds``; those of kind line and oneway are drawn. A line's
+    cells come from stepping its longer axis, rounded half up; a two-way exit is drawn
     once, from the lower id. Rooms cover lines.
     """
     p = lambda n: rooms.select("map_id", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("area_id", "x", "y", "z")))
-    on_plane = exits.filter(~F.col("special")).join(p("src"), ["map_id", "src"]).join(p("dst"), ["map_id", "dst"]).filter("src_area_id = dst_area_id and src_z = dst_z")
+    on_plane = kinds.filter(F.col("kind").isin("line", "oneway")).join(p("src"), ["map_id", "src"]).join(p("dst"), ["map_id", "dst"])
     pairs = on_plane.select("map_id", F.col("src_area_id").alias("area_id"), F.col("src_z").alias("z"), *(F.when(F.col("src") < F.col("dst"), F.col(f"src_{c}")).otherwise(F.col(f"dst_{c}")).alias(f"{c}0") for c in ("x", "y")), *(F.when(F.col("src") < F.col("dst"), F.col(f"dst_{c}")).otherwise(F.col(f"src_{c}")).alias(f"{c}1") for c in ("x", "y"))).distinct()
     n = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
     step = pairs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))

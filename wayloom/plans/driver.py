@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import codes
-from wayloom.operators import canonical, diff, display, graph, integrity, oplog, routing, rules, search, transports
+from wayloom.operators import canonical, diff, display, geometry, graph, integrity, oplog, routing, rules, search, transports
 from wayloom.plans import grid
+from wayloom.schema import DIRECTIONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -417,14 +418,21 @@ def env_color_cascade(spark, sf):
 SQL["env_color_cascade"] = grid.SQL.rstrip() + ",\n" + _PALETTE + """,
 std AS (SELECT e AS env, rgb FROM (SELECT unnest(range(1, 256)) AS e) JOIN pal ON pal.i = CASE e WHEN 8 THEN 0 WHEN 16 THEN 8 ELSE e END),
 c AS (SELECT r.id, coalesce(CASE WHEN r.env IN (257, 259, 261) THEN [r.env % 256, 10, 20] END, a.rgb, s.rgb, [114, 1, 0]) AS rgb FROM rooms r LEFT JOIN std a ON r.env % 2 = 0 AND r.env < 300 AND a.env = r.env * 3 % 256 LEFT JOIN std s ON s.env = r.env)
-SELECT id::BIGINT AS id, rgb[1]::BIGINT AS r, rgb[2]::BIGINT AS g, rgb[3]::BIGINT AS b, CASE WHEN rgb[1] * 0.299::DOUBLE + rgb[2] * 0.587::DOUBLE + rgb[3] * 0.114::DOUBLE > 140 THEN 'black' ELSE 'white' END AS ink FROM c"""
+SELECT id::BIGINT AS id, rgb[1]::BIGINT AS r, rgb[2]::BIGINT AS g, rgb[3]::BIGINT AS b, CASE WHEN rgb[1] * 0.299::DOUBLE + rgb[2] * 0.587::DOUBLE + rgb[3] * 0.114::DOUBLE > 140 THEN '#111' ELSE '#fff' END AS ink FROM c"""
 
 
-@query("""SELECT e.map_id, e.src, e.key, e.dst, CASE WHEN l.drawn THEN 'custom' WHEN NOT l.drawn THEN 'suppressed' WHEN i.idx IS NULL THEN 'skip' WHEN i.idx > 8 THEN 'udio' WHEN y.id IS NULL THEN 'skip' WHEN y.area_id <> x.area_id THEN 'cross' WHEN y.z <> x.z THEN 'crossZ'
+def _kinds(spark, sf):
+    return display.exit_kinds(grid.exits(spark, sf), grid.rooms(spark, sf), grid.lines(spark, sf))
+
+
+_KINDS = """SELECT e.map_id, e.src, e.key, e.dst, CASE WHEN l.drawn THEN 'custom' WHEN NOT l.drawn THEN 'suppressed' WHEN i.idx IS NULL THEN 'skip' WHEN i.idx > 8 THEN 'udio' WHEN y.id IS NULL OR y.area_id <> x.area_id THEN 'cross' WHEN y.z <> x.z THEN 'crossZ'
     WHEN NOT EXISTS (SELECT 1 FROM exits b WHERE NOT b.special AND b.map_id = e.map_id AND b.src = e.dst AND b.dst = e.src AND b.key = i.opp) THEN 'oneway' ELSE 'line' END AS kind FROM exits e LEFT JOIN lines l ON l.map_id = e.map_id AND l.room_id = e.src AND l.key = e.key LEFT JOIN idx i ON i.key = e.key
-    JOIN rooms x ON x.map_id = e.map_id AND x.id = e.src LEFT JOIN rooms y ON y.map_id = e.map_id AND y.id = e.dst WHERE NOT e.special""", map_id="long", src="long", key="string", dst="long", kind="string")
+    JOIN rooms x ON x.map_id = e.map_id AND x.id = e.src LEFT JOIN rooms y ON y.map_id = e.map_id AND y.id = e.dst WHERE NOT e.special"""
+
+
+@query(_KINDS, map_id="long", src="long", key="string", dst="long", kind="string")
 def classify_exit(spark, sf):
-    return display.exit_kinds(grid.exits(spark, sf), grid.rooms(spark, sf), grid.lines(spark, sf))
+    return _kinds(spark, sf)
 
 
 @query("SELECT map_id, area_id, CASE WHEN px >= 9 OR least(n, 500) <= 200 THEN 'full' WHEN px < 3 THEN 'raster' ELSE 'roomsOnly' END AS lod FROM (SELECT map_id, area_id, count(*) * 40 AS n, count(*) % 12 AS px FROM rooms GROUP BY ALL)", map_id="long", area_id="long", lod="string")
@@ -452,9 +460,74 @@ def inter_area_exits(spark, sf):
     return display.cross_area_exits(grid.exits(spark, sf), grid.rooms(spark, sf))
 
 
-@query("""SELECT map_id, area_id, z, x, y, max(layer) AS layer FROM (SELECT map_id, area_id, z, x, y, 2 AS layer FROM rooms UNION ALL
+@query(f"""WITH kinds AS ({_KINDS}) SELECT map_id, area_id, z, x, y, max(layer) AS layer FROM (SELECT map_id, area_id, z, x, y, 2 AS layer FROM rooms UNION ALL
     SELECT map_id, area_id, z, CAST(x0 + floor((2 * i * (x1 - x0) + n) / greatest(2 * n, 1)) AS BIGINT), CAST(y0 + floor((2 * i * (y1 - y0) + n) / greatest(2 * n, 1)) AS BIGINT), 1 FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM (
     SELECT DISTINCT e.map_id, a.area_id, a.z, CASE WHEN e.src < e.dst THEN a.x ELSE b.x END AS x0, CASE WHEN e.src < e.dst THEN a.y ELSE b.y END AS y0, CASE WHEN e.src < e.dst THEN b.x ELSE a.x END AS x1, CASE WHEN e.src < e.dst THEN b.y ELSE a.y END AS y1
-    FROM exits e JOIN rooms a ON a.map_id = e.map_id AND a.id = e.src JOIN rooms b ON b.map_id = e.map_id AND b.id = e.dst AND b.area_id = a.area_id AND b.z = a.z WHERE NOT special)))) GROUP BY ALL""", map_id="long", area_id="long", z="long", x="long", y="long", layer="long")
+    FROM kinds e JOIN rooms a ON a.map_id = e.map_id AND a.id = e.src JOIN rooms b ON b.map_id = e.map_id AND b.id = e.dst WHERE kind IN ('line', 'oneway'))))) GROUP BY ALL""", map_id="long", area_id="long", z="long", x="long", y="long", layer="long")
 def raster_cells(spark, sf):
-    return display.raster_cells(grid.rooms(spark, sf), grid.exits(spark, sf))
+    return display.raster_cells(grid.rooms(spark, sf), _kinds(spark, sf))
+
+
+# ---- geometry ----
+
+_AT = geometry.Scale(30)
+_STEPS = "st(key, dx, dy) AS (VALUES " + ", ".join(f"('{d[0]}', {d[3]}e0, {0 - d[4]}e0)" for d in DIRECTIONS) + ")"
+_ENDS = "kinds k JOIN st USING (key) JOIN rooms s ON s.map_id = k.map_id AND s.id = k.src"
+_FOUR = dict.fromkeys(["x1", "y1", "x2", "y2"], "double")
+_HALF, _TICK, _LONG, _WIDE = (f"{x!r}e0" for x in (_AT.half, _AT.units(_AT.room_px * 0.9, 4), _AT.units(_AT.room_px * 0.83, 6), _AT.units(_AT.room_px * 0.29, 3)))
+
+
+@query(f"""WITH kinds AS ({_KINDS}), {_STEPS},
+    a AS (SELECT k.*, s.x::DOUBLE + dx * {_HALF} AS x1, (0e0 - s.y) + dy * {_HALF} AS y1, CASE WHEN kind = 'oneway' THEN d.x::DOUBLE ELSE d.x::DOUBLE - dx * {_HALF} END AS x2, CASE WHEN kind = 'oneway' THEN 0e0 - d.y ELSE (0e0 - d.y) - dy * {_HALF} END AS y2
+      FROM {_ENDS} JOIN rooms d ON d.map_id = k.map_id AND d.id = k.dst WHERE kind IN ('line', 'oneway')),
+    b AS (SELECT *, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS far FROM a),
+    c AS (SELECT *, CASE WHEN far > 0 THEN (x2 - x1) / far ELSE 1e0 END AS ux, CASE WHEN far > 0 THEN (y2 - y1) / far ELSE 0e0 END AS uy FROM b)
+    SELECT map_id, src, key, kind, x1, y1, x2, y2, CASE WHEN kind = 'oneway' THEN mx END AS tip_x, CASE WHEN kind = 'oneway' THEN mx - ux * {_LONG} - uy * {_WIDE} END AS base_x, CASE WHEN kind = 'oneway' THEN my - uy * {_LONG} + ux * {_WIDE} END AS base_y FROM c""",
+    map_id="long", src="long", key="string", kind="string", **_FOUR, tip_x="double", base_x="double", base_y="double")
+def exit_lines(spark, sf):
+    out = geometry.exit_lines(_kinds(spark, sf), grid.rooms(spark, sf), _AT.cell_px)
+    return out.select("*", F.col("head_x")[0].alias("tip_x"), F.col("head_x")[1].alias("base_x"), F.col("head_y")[1].alias("base_y"))
+
+
+def _tinted(spark, sf):
+    return grid.rooms(spark, sf).withColumn("rgb", F.array((F.col("env") % 256).cast("int"), F.lit(10), F.lit(20)))
+
+
+@query(f"""WITH kinds AS ({_KINDS}), {_STEPS},
+    v AS (SELECT k.map_id, k.src, k.key, k.dst, false AS special, s.x::DOUBLE AS sx, 0e0 - s.y AS sy, dx AS vx, dy AS vy FROM {_ENDS} WHERE kind = 'cross' UNION ALL
+      SELECT map_id, src, key, dst, true, sx, sy, run / far, rise / far FROM (SELECT *, sqrt(run * run + rise * rise) AS far FROM (SELECT e.map_id, src, e.key, dst, s.x::DOUBLE AS sx, 0e0 - s.y AS sy, d.x::DOUBLE - s.x::DOUBLE AS run, (0e0 - s.y) - (0e0 - d.y) AS rise
+        FROM exits e JOIN rooms s ON s.map_id = e.map_id AND s.id = src JOIN rooms d ON d.map_id = e.map_id AND d.id = dst WHERE special AND s.area_id <> d.area_id AND NOT EXISTS (SELECT 1 FROM lines l WHERE l.map_id = e.map_id AND l.room_id = src AND l.key = e.key))) WHERE far > 0),
+    w AS (SELECT *, sx + vx * 0.325e0 AS x1, sy + vy * 0.325e0 AS y1 FROM v)
+    SELECT w.map_id, src, key, special, x1, y1, x1 + vx * {_TICK} AS x2, y1 + vy * {_TICK} AS y2, coalesce('rgb(' || d.env % 256 || ',10,20)', '#ff9f4a') AS color FROM w LEFT JOIN rooms d ON d.map_id = w.map_id AND d.id = dst""",
+    map_id="long", src="long", key="string", special="boolean", **_FOUR, color="string")
+def cross_arrows(spark, sf):
+    return geometry.cross_arrows(grid.exits(spark, sf), _kinds(spark, sf), _tinted(spark, sf), grid.lines(spark, sf), _AT.cell_px)
+
+
+@query(f"""WITH {_STEPS}, a AS (SELECT map_id, id, key, x::DOUBLE + dx * {_HALF} AS x1, (0e0 - y) + dy * {_HALF} AS y1, dx, dy FROM (SELECT *, unnest(['n', 'se', 'up']) AS key FROM rooms WHERE id % 3 = 0) JOIN st USING (key) WHERE dx <> 0 OR dy <> 0)
+    SELECT map_id, id, key, x1, y1, x1 + dx * 0.5e0 AS x2, y1 + dy * 0.5e0 AS y2 FROM a""", map_id="long", id="long", key="string", **_FOUR)
+def stub_lines(spark, sf):
+    rooms = grid.rooms(spark, sf).filter("id % 3 = 0").withColumn("stubs", F.array(*map(F.lit, ("n", "se", "up"))))
+    return geometry.stubs(rooms, _AT.cell_px)
+
+
+@query(f"""SELECT e.map_id, src AS id, key, r.x::DOUBLE - {_AT.room_px / 30 / 2!r}e0 + {_AT.units(_AT.room_px * 0.22, 2)!r}e0 AS x, (0e0 - r.y) - {_AT.room_px / 30 / 2!r}e0 - {_AT.units(_AT.room_px * 0.22, 2)!r}e0 AS y
+    FROM exits e JOIN rooms r ON r.map_id = e.map_id AND r.id = src WHERE NOT special AND key = 'up' AND dst <> 0""", map_id="long", id="long", key="string", x="double", y="double")
+def stack_shadows(spark, sf):
+    return geometry.stack_shadows(grid.exits(spark, sf), grid.rooms(spark, sf), _AT.cell_px)
+
+
+@query("""SELECT map_id, id, symbol, CASE length(symbol) WHEN 1 THEN 14e0 WHEN 2 THEN 10e0 WHEN 3 THEN 10e0 ELSE 8e0 END / 30e0 AS size,
+    CASE WHEN (greatest(env % 256, 20) / 255e0 + least(env % 256, 10) / 255e0) / 2 > 0.41e0 THEN 'rgb(25,25,25)' ELSE 'rgb(225,255,255)' END AS color FROM (SELECT * REPLACE (left(name, 1 + id % 4) AS symbol) FROM rooms)""", map_id="long", id="long", symbol="string", size="double", color="string")
+def room_symbols(spark, sf):
+    rooms = _tinted(spark, sf).withColumn("symbol", F.substring("name", F.lit(1), (1 + F.col("id") % 4).cast("int")))
+    return geometry.symbols(rooms, _AT.cell_px)
+
+
+@query(f"""SELECT map_id, id, 'rgb(' || env % 256 || ',10,20)' AS fill, CASE id % 7 WHEN 0 THEN '#aabbcc80' WHEN 1 THEN '#aabbcc' WHEN 2 THEN 'red' ELSE 'rgb(225,225,225)' END AS border, CASE WHEN id % 10 = 0 THEN 0.35e0 ELSE 1e0 END AS alpha,
+    CASE WHEN id % 7 <= 2 THEN greatest(0.4e0, least(greatest(id % 15, 1), 10)::DOUBLE * {_AT.zoom * 0.4875!r}e0) ELSE {_AT.zoom * 0.4875!r}e0 END / 30e0 AS border_width FROM rooms""", map_id="long", id="long", fill="string", border="string", alpha="double", border_width="double")
+def room_squares(spark, sf):
+    k = F.col("id") % 7
+    border = F.when(k == 0, "#80aabbcc").when(k == 1, "#FFaabbcc").when(k == 2, "red").otherwise("")
+    data = F.create_map(F.lit("system.fallback_hidden"), F.when(F.col("id") % 10 == 0, "True").otherwise("no"), F.lit("room.ui_borderColor"), border, F.lit("room.ui_borderThickness"), (F.col("id") % 15).cast("string"))
+    return geometry.room_squares(_tinted(spark, sf).withColumn("user_data", data), _AT.cell_px)
