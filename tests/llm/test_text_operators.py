@@ -218,6 +218,34 @@ def test_language_model(spark, docs):
     assert language_model.scored(empty(spark).withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_gradient_is_that_of_the_loss():
+    from wayloom.llm import gru
+
+    random = np.random.default_rng(5)
+    size = np.array([3, 4, 1])
+    symbols = gru.Symbols(size, 2)
+    w = {k: (v + random.normal(0, 0.3, v.shape)).astype(float) for k, v in gru.initial(symbols, np.arange(8, 0, -1.0)).items()}
+    x, y = random.integers(0, 8, (2, 6, 3))
+    fresh, h = random.random((6, 3)) < 0.3, random.normal(0, 0.3, (3, gru.HIDDEN))
+    for real in (np.ones((6, 3), bool), random.random((6, 3)) < 0.7):
+        g, _, _ = gru.gradient(w, symbols, x, fresh, h, y, real)
+        for name, value in w.items():
+            at = tuple(random.integers(0, n) for n in value.shape)
+            both = []
+            for step in (1e-2, -1e-2):
+                moved = dict(w, **{name: value.copy()})
+                moved[name][at] += step
+                both.append(gru.gradient(moved, symbols, x, fresh, h, y, real)[2])
+            assert abs((both[0] - both[1]) / 2e-2 - g[name][at]) < 2e-2, name
+
+
+def test_codes_are_released_as_they_were():
+    from wayloom.llm.language_model import released, squeezed
+
+    for codes in (np.zeros(0, np.int64), np.array([0, 255, 256, 70_000, 1 << 24])):
+        assert released(squeezed(codes), len(codes)).tolist() == codes.tolist()
+
+
 def test_state_is_carried_over_windows():
     r = np.random.default_rng(5)
     mass = 1 / np.arange(1, 21)
