@@ -159,6 +159,27 @@ def test_license_scan(spark, docs):
     assert license_scan.scanned(empty(spark)).count() == 0
 
 
+def test_license_notices_with_a_word_inserted_anywhere(spark):
+    rows = []
+    for text, label in license_scan.NOTICES.items():
+        w = text.split()
+        rows += [(len(rows) + i, " ".join([*w[:i], "indeed", *w[i:]]), label) for i in range(1, len(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    got = {r.doc_id: r for r in license_scan.scanned(df).collect()}
+    for i, text, label in rows:
+        lost = got[i].score < license_scan.COVER or label not in got[i].labels.split(",")
+        # words at either end that the new one cuts off alone stand in no gram
+        ends = text.split()[1] == "indeed" or text.split()[-2] == "indeed"
+        assert not lost or ends, (text, got[i])
+
+
+def test_license_copy_within_a_longer_run(spark):
+    text = next(x for x, label in license_scan.NOTICES.items() if label == "cc-by-nc")
+    df = spark.createDataFrame([(1, text + " 4 0" * 40), (2, "4 0 " * 40), (3, "4 0 " * 40 + text)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scanned(df).collect()}
+    assert got == {1: ("cc-by,cc-by-nc", 1.0), 2: ("", 0.0), 3: ("cc-by,cc-by-nc", 1.0)}
+
+
 def test_license_notice_with_inserted_word(spark):
     text = "this work is now licensed under the gnu general public license version 3"
     row = license_scan.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

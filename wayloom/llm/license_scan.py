@@ -3,9 +3,9 @@
 All rolling word k-grams of every document are hashed and joined to the k-grams of the
 templates. A hit at document word p and template word t votes for the diagonal p - t. Votes are
 counted by document, template and diagonal; diagonals of a template within ``band`` of each
-other merge, so that a few words more or fewer in a copy don't break it; a merged span is
-verified by the share of the template's words that its hits cover, each compared as words, and
-by its length. A phrase that must stand whole takes a diagonal with every vote of its own.
+other merge with all their votes, single ones too, so that a few words more or fewer in a copy
+don't break it. Spans of bounded length within a merged run are verified by the share of the
+template's words that their hits cover, each compared as words; the best one counts. A phrase that must stand whole takes a diagonal with every vote of its own.
 
 DataFrame functions only. The templates are fixed parameters of under a hundred words, so their
 grams are broadcast and documents move no text: hits alone are shuffled.
@@ -70,24 +70,31 @@ def votes(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     return hits.groupBy("doc_id", "key", "template", "label", "whole", "n", "diagonal").agg(F.array_sort(F.collect_set("t")).alias("ts"))
 
 
-def spans(found: DataFrame, band: int = BAND, cover: float = COVER) -> DataFrame:
+def spans(found: DataFrame, band: int = BAND, cover: float = COVER, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Verified spans: doc_id, key, label, whole, first and last word, and the share covered."""
     whole = found.filter(F.col("whole") & (F.size("ts") == F.col("n") - K + 1))
     whole = whole.select("doc_id", "key", "label", "whole", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n") - 1).alias("last"), F.lit(1.0).alias("score"))
     near = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    part = found.filter(~F.col("whole") & (F.size("ts") > 1)).withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > band, F.lit(True)).cast("int"))
+    part = found.filter(~F.col("whole")).withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > band, F.lit(True)).cast("int"))
     part = part.withColumn("run", F.sum("new").over(near))
-    part = part.withColumn("at", F.transform("ts", lambda t: F.col("diagonal") + t))
-    part = part.groupBy("doc_id", "key", "template", "label", "n", "run").agg(
-        F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min(F.array_min("at")).alias("first"), (F.max(F.array_max("at")) + K - 1).alias("last"))
-    covered = F.size(F.array_union("ts", F.transform("ts", lambda t: t + 1)))
-    part = part.withColumn("score", covered / F.col("n")).filter((F.col("score") >= cover) & (F.col("last") - F.col("first") < F.col("n") + 4 * band))
+    part = part.withColumn("hits", F.transform("ts", lambda t: F.struct((F.col("diagonal") + t).alias("at"), t.alias("t"))))
+    part = part.groupBy("doc_id", "key", "template", "label", "n", "run").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    covered = lambda hits: F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.array(h["t"], h["t"] + 1))))) / F.col("n")
+    part = part.filter(covered("hits") >= cover).select("doc_id", "key", "template", "label", "n", "run", F.inline("hits"))
+    # a run may go on beyond a copy, so each of its hits begins a span of the longest length allowed
+    longest = max((len(x.split()) for x in notices), default=0) + 4 * band - 2
+    ahead = Window.partitionBy("doc_id", "key", "template", "run").orderBy("at").rangeBetween(0, longest)
+    part = part.withColumn("hits", F.collect_list(F.struct("at", "t")).over(ahead))
+    part = part.withColumn("hits", F.filter("hits", lambda h: h["at"] - F.col("at") + K - 1 < F.col("n") + 4 * band))
+    part = part.select("doc_id", "key", "template", "label", "run", F.struct(covered("hits").alias("score"), (-F.col("at")).alias("back"), (F.array_max(F.col("hits")["at"]) + K - 1).alias("last")).alias("span"))
+    part = part.filter(F.col("span.score") >= cover).groupBy("doc_id", "key", "template", "label", "run").agg(F.max("span").alias("span"))
+    part = part.select("doc_id", "key", "label", (-F.col("span.back")).alias("first"), F.col("span.last").alias("last"), F.col("span.score").alias("score"))
     return whole.unionByName(part.select("doc_id", "key", "label", F.lit(False).alias("whole"), "first", "last", "score"))
 
 
 def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, band: int = BAND, cover: float = COVER) -> DataFrame:
     """For every document: n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    found = spans(votes(docs, phrases, notices), band, cover).withColumn("starts", F.when(F.col("whole"), F.col("first")))
+    found = spans(votes(docs, phrases, notices), band, cover, notices).withColumn("starts", F.when(F.col("whole"), F.col("first")))
     by_doc = found.groupBy("doc_id", "key").agg(
         F.count("starts").alias("n_base"), F.min("starts").alias("first_word"), F.max("starts").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("label")))), ",").alias("base_labels"),
