@@ -1,6 +1,7 @@
 """Map documents: reading, checksums, rules, routing, transports, search, diff and codes on small maps."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,16 @@ def test_canonical_bytes_and_text_hashes(spark):
     both = integrity.room_bytes(bare | {"exits": [("zz", 3), ("w", 2), ("n", 9)]})
     assert [both.index(k) for k in (b"n\x09", b"w\x02", b"zz\x03")] == sorted(both.index(k) for k in (b"n\x09", b"w\x02", b"zz\x03"))
     assert spark.range(1).select(codes.xxh3_hex(F.lit(""))).first()[0] == "2d06800538d394c2"
+
+
+def test_routes_of_equal_cost_are_the_same_by_rounds(spark):
+    r = random.Random(5)
+    ties = [(0, 5, 9, 2.0), (0, 5, 3, 1.0), (0, 3, 9, 1.0)]
+    many = [(1, r.randint(1, 25), r.randint(1, 25), float(r.randint(1, 3))) for _ in range(110)]
+    idle = [(2, r.randint(1, 15), r.randint(1, 15), float(r.randint(0, 1))) for _ in range(60)]
+    edges = spark.createDataFrame(ties + many + idle, "map_id long, src long, dst long, w double")
+    sources = spark.createDataFrame([(0, 5), (1, 1), (1, 20), (2, 1), (2, 15)], "map_id long, source long")
+    small, large = ({tuple(x) for x in routing.shortest(edges, sources, fits).collect()} for fits in (routing.FITS, 0))
+    assert small == large and (0, 5, 9, 2.0, 3) in large
+    wanted = spark.createDataFrame([(0, 5, 9)], "map_id long, source long, target long")
+    assert routing.paths(routing.shortest(edges, sources, 0), wanted).first().path == [5, 3, 9]

@@ -3,6 +3,10 @@
 A map whose edges number at most ``fits`` is one group of a grouped Arrow function, and many
 maps and sources run side by side. Larger maps relax by joins of the frontier with the edges,
 a round a step, with costs kept as a table; what grows with the map is never in one task.
+
+Both ways give the same predecessors. Of paths of equal cost the one whose end has fewer edges
+that add nothing counts as shorter, so that such edges make no circle, and of those the one with
+the least predecessor.
 """
 
 from __future__ import annotations
@@ -27,24 +31,24 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 
 def _dijkstra(edges: pa.Table, sources: pa.Table) -> pa.Table:
-    """Costs and predecessors from each source; of equal costs the least predecessor."""
+    """Costs and predecessors from each source; of equal paths the least predecessor."""
     near: dict = {}
     for a, b, w in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "w"))):
         near.setdefault(a, []).append((b, w))
     out: list[tuple] = []
     for m, s in zip(sources.column("map_id").to_pylist(), sources.column("source").to_pylist()):
-        cost, before, done, heap = {s: 0.0}, {s: None}, set(), [(0.0, s)]
+        cost, before, done, heap = {s: (0.0, 0)}, {s: None}, set(), [((0.0, 0), s)]
         while heap:
             c, a = heapq.heappop(heap)
             if a in done:
                 continue
             done.add(a)
             for b, w in near.get(a, ()):
-                n, old = c + w, cost.get(b)
-                if b not in done and (old is None or n < old or (n == old and a < before[b])) and n < float("inf"):
+                n, old = (c[0] + w, 0 if c[0] + w > c[0] else c[1] + 1), cost.get(b)
+                if b not in done and (old is None or n < old or (n == old and a < before[b])) and n[0] < float("inf"):
                     cost[b], before[b] = n, a
                     heapq.heappush(heap, (n, b))
-        out += [(m, s, i, c, before[i]) for i, c in cost.items()]
+        out += [(m, s, i, c[0], before[i]) for i, c in cost.items()]
     names = ["map_id", "source", "id", "cost", "previous"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=names)
@@ -72,19 +76,25 @@ def with_rides(edges: DataFrame, rides: DataFrame) -> DataFrame:
 
 
 def relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """The same by rounds: rooms whose cost fell reach their neighbours, and the least cost stays."""
-    best = _checkpointed(sources.select("map_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("previous")))
+    """The same by rounds: rooms whose cost fell reach their neighbours, and the least cost stays.
+
+    An equal path found in a later round replaces the predecessor alone if it has a lesser one.
+    """
+    best = _checkpointed(sources.select("map_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost"), F.lit(0).alias("idle"), F.lit(None).cast("long").alias("previous")))
     front = best
     while not front.isEmpty():
-        step = front.select("map_id", "source", F.col("id").alias("src"), F.col("cost").alias("so_far")).join(edges, ["map_id", "src"])
-        step = step.select("map_id", "source", F.col("dst").alias("id"), (F.col("so_far") + F.col("w")).alias("cost"), F.col("src").alias("previous")).filter(F.col("cost") < float("inf"))
-        new = step.groupBy("map_id", "source", "id").agg(F.min(F.struct("cost", "previous")).alias("new"))
-        old = best.select("map_id", "source", "id", F.struct("cost", "previous").alias("old"))
+        step = front.select("map_id", "source", F.col("id").alias("src"), F.col("cost").alias("so_far"), "idle").join(edges, ["map_id", "src"])
+        cost = F.col("so_far") + F.col("w")
+        step = step.select("map_id", "source", F.col("dst").alias("id"), cost.alias("cost"), F.when(cost > F.col("so_far"), 0).otherwise(F.col("idle") + 1).alias("idle"), F.col("src").alias("previous")).filter(F.col("cost") < float("inf"))
+        new = step.groupBy("map_id", "source", "id").agg(F.min(F.struct("cost", "idle", "previous")).alias("new"))
+        old = best.select("map_id", "source", "id", F.struct("cost", "idle", "previous").alias("old"))
         both = _checkpointed(old.join(new, ["map_id", "source", "id"], "full_outer"))
-        better = F.col("old").isNull() | (F.col("new.cost") < F.col("old.cost"))
-        front = both.filter(better).select("map_id", "source", "id", "new.cost", "new.previous")
-        best = both.select("map_id", "source", "id", F.when(better, F.col("new")).otherwise(F.col("old")).alias("b")).select("map_id", "source", "id", "b.cost", "b.previous")
-    return best
+        length = lambda c: F.struct(f"{c}.cost", f"{c}.idle")
+        shorter = F.col("new").isNotNull() & (F.col("old").isNull() | (length("new") < length("old")))
+        better = shorter | (F.col("new").isNotNull() & (length("new") == length("old")) & (F.col("new.previous") < F.col("old.previous")))
+        front = both.filter(shorter).select("map_id", "source", "id", "new.cost", "new.idle", "new.previous")
+        best = both.select("map_id", "source", "id", F.when(better, F.col("new")).otherwise(F.col("old")).alias("b")).select("map_id", "source", "id", "b.cost", "b.idle", "b.previous")
+    return best.drop("idle")
 
 
 def paths(costs: DataFrame, wanted: DataFrame) -> DataFrame:
