@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with null, empty and long texts, repeated rows and odd columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -226,6 +227,30 @@ def test_plan_fills_gaps_exactly():
         assert got == have
 
 
+def test_packing_finds_triples_of_rare_lengths():
+    have = {1100: 10, 316: 30} | {x: 100 for x in range(800, 864)}
+    found = packing.plan(have)
+    assert ((1100, 316, 316, 316), 10) in found
+    assert sum(n for lengths, n in found if 316 in lengths) == 10
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_complements_by_brute_force(seed):
+    r = random.Random(seed)
+    have = {r.randint(1, 40): r.randint(1, 3) for _ in range(r.randint(1, 12))}
+    own = packing.Available(have, 64)
+    for x in list(have)[:3]:  # the index follows changes
+        have[x] = r.randint(0, 3)
+        own.put(x, have[x])
+    flat = [x for x, n in have.items() for _ in range(n)]
+    sums = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(flat, k)}
+    for gap in range(1, 65):
+        found = own.complement(gap)
+        assert (found is not None) == (gap in sums)
+        assert found is None or (sum(found) == gap and not Counter(found) - Counter(flat))
+    assert {x: int(n) for x, n in enumerate(own.left) if n} == {x: n for x, n in have.items() if n}
+
+
 def test_language_model(spark, docs):
     df = docs.withColumn("held_out", F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)))
     rows = df.collect()

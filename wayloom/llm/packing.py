@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens. All that a plan needs is how many pieces
 there are of each length, which is one row for each of at most ``capacity`` lengths, whatever
-the number of documents. The sums of one, two and three lengths are hashed; from the longest
-length on, each gap is filled by a combination that fits it exactly, as many times as the counts
+the number of documents. The sums of all pairs of lengths still available are kept in an index
+by sum, so that one, two or three lengths that fill a gap are found whenever there are any; from
+the longest length on, each gap is filled by such a combination, as many times as the counts
 allow. What has no exact complement left is packed best-fit, the longest first, again in whole
 classes of equal sequences. The plan is a short table: for each length, ranges of pieces, and
 the sequence and offset that the first of each range takes.
@@ -134,49 +135,85 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) ->
     return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long", most=SLICE)
 
 
+class Available:
+    """How many pieces of each length are left, and how many pairs of available lengths have each sum."""
+
+    def __init__(self, have: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        self.pairs = np.zeros(2 * capacity + 1, np.int64)
+        for x, n in have.items():
+            self.put(x, n)
+
+    def put(self, x: int, n: int) -> None:
+        """From now on n pieces of length x are left."""
+        old = self.left[x]
+        if (old > 0) != (n > 0):
+            others = np.flatnonzero(self.left)
+            self.pairs[x + others[others != x]] += 1 if n else -1
+        if (old > 1) != (n > 1):
+            self.pairs[2 * x] += 1 if n > 1 else -1
+        self.left[x] = n
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three of the pieces left that add up to gap, the most frequent first; None if none do."""
+        left = self.left
+        if gap < 1:
+            return None
+        if left[gap]:
+            return (gap,)
+        a = self.second(gap)
+        if a:
+            return (a, gap - a)
+        own = np.arange(1, gap)
+        own = own[left[own] > 0]
+        n = self.pairs[gap - own].copy()
+        # the pair of a and gap - 2a takes a twice, or three times
+        twice = gap - 2 * own
+        n[(twice > 0) & (left[np.maximum(twice, 0)] > 0) & (twice != own) & (left[own] == 1)] -= 1
+        n[(twice == own) & (left[own] == 2)] -= 1
+        own = own[n > 0]
+        if not len(own):
+            return None
+        a = int(own[np.argmax(left[own])])
+        self.put(a, left[a] - 1)
+        b = self.second(gap - a)
+        self.put(a, left[a] + 1)
+        return (a, b, gap - a - b)
+
+    def second(self, gap: int) -> int:
+        """The most frequent length that makes up gap together with another piece left; 0 if none does."""
+        n = self.left[1:gap]
+        other = n[::-1]
+        fits = np.where((n > 0) & (other > 0), n, 0)
+        if not gap % 2 and n[gap // 2 - 1 : gap // 2].sum() < 2:
+            fits[gap // 2 - 1 : gap // 2] = 0
+        return int(np.argmax(fits)) + 1 if fits.any() else 0
+
+
 def plan(have: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) for so many pieces of each length."""
-    left = defaultdict(int, {k: v for k, v in have.items() if v > 0 and k < capacity})
+    own = Available({k: v for k, v in have.items() if v > 0 and k < capacity}, capacity)
     out = [((capacity,), have[capacity])] if have.get(capacity) else []
     rest: list[tuple[int, int]] = []
-    for long in sorted(left, reverse=True):
-        while left[long]:
-            found = _complement(left, long, capacity - long)
+    for long in np.flatnonzero(own.left)[::-1].tolist():
+        while n := int(own.left[long]):
+            own.put(long, n - 1)
+            found = own.complement(capacity - long)  # longer pieces are used up
+            own.put(long, n)
             if found is None:
-                rest.append((long, left.pop(long)))
+                rest.append((long, n))
+                own.put(long, 0)
                 break
             need = defaultdict(int)
             for x in (long, *found):
                 need[x] += 1
-            times = min(left[x] // k for x, k in need.items())
+            times = min(int(own.left[x]) // k for x, k in need.items())
             for x, k in need.items():
-                left[x] -= k * times
+                own.put(x, int(own.left[x]) - k * times)
             out.append(((long, *found), times))
     return out + _best_fit(rest, capacity)
 
 
-def _complement(left: dict[int, int], long: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths, none over long, that add up to gap."""
-
-    def some(x: int, used: tuple[int, ...]) -> bool:
-        return 0 < x <= long and left.get(x, 0) > used.count(x)
-
-    if some(gap, (long,)):
-        return (gap,)
-    own = [x for x in sorted((x for x in left if 0 < left[x] and x <= min(long, gap - 1)), key=lambda x: -left[x])]
-    for a in own:
-        if some(a, (long,)) and some(gap - a, (long, a)):
-            return (a, gap - a)
-    for a in own[:64]:
-        if not some(a, (long,)):
-            continue
-        for b in own:
-            c = gap - a - b
-            if c > 0 and some(b, (long, a)) and some(c, (long, a, b)):
-                return (a, b, c)
-    return None
-
-
 def _best_fit(rest: list[tuple[int, int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Classes of equal sequences, by the gap that is left in them; the longest pieces first."""
     classes: dict[int, list[list]] = defaultdict(list)
