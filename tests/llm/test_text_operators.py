@@ -264,6 +264,30 @@ def test_language_model(spark, docs):
     assert language_model.scored(empty(spark).withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_language_model_rare_words_have_symbols(spark):
+    times = {f"w{i}": 1 + i % 7 for i in range(5000)}
+    text = " ".join(w for w, n in times.items() for _ in range(n))
+    df = spark.createDataFrame([(1, text, False), (2, "w0 unseen w0", True)], "doc_id long, text string, held_out boolean").coalesce(1)
+    rows = language_model.chunks(df).cache()
+    each, counts, v = language_model.counted(rows)
+    out = language_model.symbolic(rows, each, counts, v).toPandas()
+    symbol = {}
+    for r in out.itertuples():
+        tokens = np.frombuffer(r.tokens, np.uint16)
+        at = np.cumsum([0, *r.lengths])
+        for doc_id, a, b in zip(r.ids, at, at[1:]):
+            for w, s in zip((text if doc_id == 1 else "w0 unseen w0").split(), tokens[a : b - 1].tolist()):
+                assert symbol.setdefault(w, s) == s
+    rare = [w for w, s in symbol.items() if s >= v.first]
+    assert len(v.symbol) == language_model.HEAD + 1 and len({symbol[w] for w in rare}) == language_model.buckets(5001) > 1
+    assert v.symbols.size.sum() == len(v.mass) and v.mass.sum() == v.n_tokens
+    shares = np.full(len(v.rare), 1.0)  # one more for words never seen
+    for w in rare:
+        if w in times:
+            shares[symbol[w] - v.first] += times[w] + 1
+    assert (shares == v.rare).all()
+
+
 def test_gradient_is_that_of_the_loss():
     from wayloom.llm import gru
 

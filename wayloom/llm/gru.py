@@ -1,7 +1,7 @@
 """A gated recurrent language model in numpy, with a class-factored output.
 
 Symbols are numbered so that classes are ranges: the frequent words and the end of a document,
-in classes of equal mass, then one class with the single symbol for all other words. The
+in classes of equal mass, then the hashed symbols of all other words, in classes of equal size. The
 probability of a symbol is that of its class times its own within the class. Documents stand one
 after another in lanes; the state is set back where a document begins and is carried from one
 window to the next otherwise, so windows bound the memory and not the context.

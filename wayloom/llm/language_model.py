@@ -6,12 +6,13 @@
 2. The counts of all words of all training documents are summed. Each chunk's distinct words are
    joined to them, a row for each word and chunk, so a frequent word is no hot key.
 3. Chunks meet the counts that aren't their own alone and become the base scores and the symbols of their tokens.
-   Symbols are the HEAD most frequent tokens; all other words share one, whose probability is
-   divided among them in the proportion of their add-one counts.
+   Symbols are the HEAD most frequent tokens; all other words are hashed to further symbols, whose
+   number grows with the square root of the distinct words. So every word is a context and has
+   one; a symbol's probability is divided among its words in the proportion of their add-one counts.
 4. The recurrent model starts as the unigram distribution of the symbols. Every task trains on
    all training documents of its chunks by truncated backpropagation; the weights of all tasks
    are averaged by their tokens, ROUNDS times, each round over its own share of the documents.
-   A model is a fixed number of weights whatever the corpus.
+   A model has a fixed number of weights for each symbol.
 5. Every document is scored with its state carried from its first token to its last.
 
 Edge cases: a null or empty text is its end token alone; with no training token every count is
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
@@ -32,6 +33,8 @@ HEAD = 1024
 CLASSES = 32
 ROUNDS = 2
 CHUNK = 10 << 20
+#: Hash values of words, of which symbols take the low bits.
+HASHES = 1 << 16
 #: The end of a document among the words; no word holds white space.
 END = b"\n"
 
@@ -49,8 +52,18 @@ def released(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def hashed(word: Column) -> Column:
+    """A number under HASHES."""
+    return F.pmod(F.xxhash64(word), F.lit(HASHES))
+
+
+def buckets(n_distinct: int) -> int:
+    """How many symbols the words outside the head are hashed to: a power of two, at most half of HASHES."""
+    return 1 << min(15, round(np.log2(max(1, n_distinct)) / 2))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, ids, held, lengths and codes of documents, and words with their training counts."""
+    """chunk, ids, held, lengths and codes of documents, and words with their training counts and hashes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(*text_bytes(batch.column("text")), SPACE, lower=True)
@@ -70,25 +83,32 @@ def chunks(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"ids array<{kind}>, held array<boolean>, lengths array<int>, codes binary, words array<binary>, times array<long>"
     own = docs.select("doc_id", F.col("held_out").cast("boolean").alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_batches(own, run, schema, most=CHUNK).withColumn("chunk", F.monotonically_increasing_id())
+    low = F.transform("words", lambda w: (hashed(w) - HASHES // 2).cast("short"))
+    return map_batches(own, run, schema, most=CHUNK).withColumn("chunk", F.monotonically_increasing_id()).withColumn("hashes", low)
 
 
 class Vocabulary:
-    """What all training tokens give: sums, the head's symbols and their classes."""
+    """What all training tokens give: sums, the symbols and their classes.
+
+    ``others`` has the training tokens and the distinct words of each bucket outside the head.
+    """
 
-    def __init__(self, n_tokens: int, n_distinct: int, n_ends: int, head: list[tuple[bytes, int]]):
+    def __init__(self, n_tokens: int, n_distinct: int, n_ends: int, head: list[tuple[bytes, int]], others: np.ndarray):
         self.n_tokens, self.n_distinct, self.n_ends = n_tokens, n_distinct, n_ends
         known = sorted([(-c, w) for w, c in head] + [(-n_ends, END)])
         self.least = min((c for _, c in head), default=1)
         self.symbol = {w: i for i, (_, w) in enumerate(known)}
-        rest = n_tokens - sum(-c for c, _ in known)
-        self.mass = np.array([*(-c for c, _ in known), rest], float)
-        #: Add-one counts of the words outside the head, with one more for words never seen.
-        self.rare = rest + (n_distinct - sum(c < 0 for c, _ in known)) + 1
-        share = np.cumsum(np.maximum(self.mass[:-1], 0.5)) / np.maximum(self.mass[:-1], 0.5).sum()
+        self.first = len(known)  # the first bucket's symbol
+        own = np.array([-c for c, _ in known], float)
+        self.mass = np.concatenate([own, others[0]])
+        #: Add-one counts of each bucket's words, with one more for words never seen.
+        self.rare = others.sum(0) + 1
+        share = np.cumsum(np.maximum(own, 0.5)) / np.maximum(own, 0.5).sum()
         of = np.minimum((share * (CLASSES - 1)).astype(int), CLASSES - 2)
         size = np.bincount(of)
-        self.symbols = gru.Symbols(np.append(size[size > 0], 1), self.symbol[END])
+        n = others.shape[1]
+        each = 1 << (n.bit_length() // 2)
+        self.symbols = gru.Symbols(np.append(size[size > 0], np.full(n // each, each)), self.symbol[END])
 
 
 def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary]:
@@ -97,13 +117,20 @@ def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary]:
     counts = stored(each.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     ends = rows.select(F.explode("held").alias("held")).agg(F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()[0]
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    head = counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(HEAD).collect()  # a fixed number
-    return each.select("chunk", "at", "word", "n"), counts, Vocabulary(total[0] + ends, total[1] + (ends > 0), ends, [(bytes(r.word), r.c) for r in head])
+    n = buckets(total[1])
+    known = counts.filter("c > 0").withColumn("bucket", hashed(F.col("word")) % n)
+    head = known.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # a fixed number
+    others = np.zeros((2, n), np.int64)
+    for r in known.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("words")).collect():  # a row for each bucket
+        others[:, r.bucket] = r.c, r.words
+    for r in head:
+        others[:, r.bucket] -= r.c, 1
+    return each.select("chunk", "at", "word", "n"), counts, Vocabulary(total[0] + ends, total[1] + (ends > 0), ends, [(bytes(r.word), r.c) for r in head], others)
 
 
 def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
     """A row for each chunk: ids, held, lengths (ends included), known, base and rare sums, symbols."""
-    symbol, rare, end = v.symbol, len(v.mass) - 1, v.symbol[END]
+    symbol, first, n_buckets, end = v.symbol, v.first, len(v.rare), v.symbol[END]
     base_all, base_end = np.log10(v.n_tokens + v.n_distinct + 1), np.log10(v.n_ends + 1)
     # a word that stands in one chunk alone has the count that the chunk knows
     found = words.join(counts, "word").filter((F.col("c") != F.col("n")) | (F.col("c") >= v.least)).select("chunk", "at", "c", F.when(F.col("c") >= v.least, F.col("word")).alias("word"))
@@ -113,13 +140,14 @@ def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary
         lengths = left.column("lengths").combine_chunks().flatten().to_numpy().astype(np.int64)
         code = released(left.column("codes")[0].as_py(), int(lengths.sum()))
         c = left.column("times").combine_chunks().flatten().to_numpy().copy()
-        at, sym = right.column("at").to_numpy(), np.full(len(c), rare, np.int64)
+        hashes = left.column("hashes").combine_chunks().flatten().to_numpy().astype(np.int64) + HASHES // 2
+        at, sym = right.column("at").to_numpy(), first + hashes % n_buckets
         c[at] = right.column("c").to_numpy()
-        sym[at] = [symbol.get(w, rare) if w is not None else rare for w in right.column("word").to_pylist()]
+        sym[at] = [symbol.get(w, s) for w, s in zip(right.column("word").to_pylist(), sym[at].tolist())]
         doc = np.repeat(np.arange(len(lengths)), lengths)
         add = lambda per_word: np.bincount(doc, weights=per_word[code], minlength=len(lengths))
         base = add(np.log10(c + 1)) + base_end - (lengths + 1) * base_all
-        outside = add(np.where(sym == rare, np.log10((c + 1) / v.rare), 0.0))
+        outside = add(np.where(sym >= first, np.log10((c + 1) / v.rare[np.maximum(sym - first, 0)]), 0.0))
         known = add((c > 0).astype(float)).astype(np.int64) + (v.n_ends > 0)
         tokens = np.full(len(code) + len(lengths), end, np.uint16)
         tokens[np.arange(len(code)) + doc] = sym[code]
@@ -130,7 +158,7 @@ def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary
         })
 
     schema = f"ids {rows.schema['ids'].dataType.simpleString()}, held array<boolean>, lengths array<int>, known array<long>, base array<double>, outside array<double>, tokens binary"
-    return rows.select(F.col("chunk").alias("part"), "ids", "held", "lengths", "codes", "times").groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(run, schema)
+    return rows.select(F.col("chunk").alias("part"), "ids", "held", "lengths", "codes", "times", "hashes").groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _documents(batch: pa.RecordBatch):
