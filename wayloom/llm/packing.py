@@ -28,6 +28,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,15 +61,17 @@ class WordIds:
 
     The vocabulary's white space separates words and is dropped, and nothing else in it looks
     beyond a word, so the ids of a text are those of its words in order. A plain word goes to
-    the merges at once; any other passes the whole tokenizer.
+    the merges at once; any other passes the whole tokenizer. If ``added``, a word that is one of
+    the vocabulary's added tokens has that token's id; else it is a word like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work to the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.tokenizer.encode_special_tokens = not added
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.clear()
 
@@ -95,14 +98,41 @@ class WordIds:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-word_ids = functools.lru_cache(maxsize=2)(WordIds)
+word_ids = functools.lru_cache(maxsize=4)(WordIds)
 
 
 def token_ids(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each text's followed by END, and where each text begins, with the end."""
-    words = split_words(*text_bytes(texts), SPACE, lower=True)
+    """The ids of all texts, each text's followed by END, and where each text begins, with the end.
+
+    Added tokens are found in a text as it stands, within words too, before letters are lowered;
+    the words of texts that hold one keep their case, so that no other spelling turns into one.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    added = word_ids(path, True).added
+    holds = pa.array(np.zeros(len(texts), bool))
+    for token in added:
+        holds = pc.or_(holds, pc.match_substring(texts, token))
+    if not pc.any(holds).as_py():
+        return _word_ids(texts, path, False)
+    marked = texts
+    for token in added:
+        marked = pc.replace_substring(marked, token, f" {token} ")
+    nothing = pa.scalar("", pa.large_string())
+    plain, at = _word_ids(pc.if_else(holds, nothing, texts), path, False)
+    other, other_at = _word_ids(pc.if_else(holds, marked, nothing), path, True)
+    use = holds.to_numpy(zero_copy_only=False)
+    n = np.where(use, np.diff(other_at), np.diff(at))
+    of, to = np.repeat(use, n), np.concatenate([[0], np.cumsum(n)])
+    out = np.empty(to[-1], np.uint32)
+    out[~of] = plain[np.repeat(~use, np.diff(at))]
+    out[of] = other[np.repeat(use, np.diff(other_at))]
+    return out, to
+
+
+def _word_ids(texts: pa.Array, path: str, added: bool) -> tuple[np.ndarray, np.ndarray]:
+    words = split_words(*text_bytes(texts), SPACE, lower=not added)
     code, distinct = words.coded()
-    known = word_ids(path)
+    known = word_ids(path, added)
     place = known.places(distinct.to_pylist())[code]
     bounds, flat = np.array(known.bounds), np.array(known.flat, np.uint32)
     n = (bounds[place + 1] - bounds[place]).astype(np.int64)
