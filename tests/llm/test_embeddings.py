@@ -1,11 +1,16 @@
 """Embedding near-duplicates against all pairs, with odd vectors, equal ones and a dense cluster."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from wayloom.llm import embedding_dedup
 
 
-def test_links_and_components(spark):
+@pytest.mark.parametrize("block", [4096, 64])
+def test_links_and_components(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_HOMES", block)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_GUESTS", block)
     r = np.random.default_rng(3)
     base = r.normal(size=(40, 16))
     dense = base[0] + 0.02 * r.normal(size=(150, 16))
@@ -25,5 +30,12 @@ def test_links_and_components(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(near.get(i, ())), min(seen), min(seen) == i)
 
 
+def test_odd_columns_and_ids(spark):
+    rows = [(None, [1.0, 0.0], 1, "x"), (7, [2.0, 0.0], 1, "x"), (7, [-0.0, 3.0], 1, "y"), (8, [0.0, 3.0], 1, "y"), (9, [0.0, 3.0], 2, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, class string").withColumn("key", F.lit(1)).withColumn("vector", F.lit("v")).withColumn("n", F.lit(0))
+    got = sorted(map(tuple, embedding_dedup.clustered(df).collect()), key=repr)
+    assert got == sorted([(None, 1, 7, False), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)], key=repr)
+
+
 def test_empty(spark):
     assert embedding_dedup.clustered(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -198,18 +198,43 @@ def test_sharding(spark, docs):
     assert sharding.sharded(empty(spark)).count() == 0
 
 
-def test_packing_tokens_and_places(spark, docs):
+def plain_ids(texts):
+    """Ids by the tokenizer as it is loaded, each text's with the end."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    odd = [*TEXTS, "́a é İI ΣΑΣ ǅ K x'Y'S \x85 <|endoftext|>a"]
+    return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+
+
+ADDED = ["hello <|endoftext|> b", "a<|endoftext|>B <|EndOfText|> c", "<|startoftext|><|endoftext|>", "<|<|endoftext|>|>x", "<|ENDOFTEXT|>", "É<|endoftext|>é", "e<|endoftext|>\u0301x"]
+
+
+def test_packing_tokens():
+    odd = [*TEXTS, "́a é İI ΣΑΣ ǅ K x'Y'S \x85 |endoftext|>a", *ADDED, *TEXTS]
     ids, at = packing.token_ids(pa.array(odd))
-    for i, text in enumerate(odd):
-        assert ids[at[i] : at[i + 1]].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0]
-    got = packing.packed(docs).toPandas().sort_values(["sequence_id", "offset"])
-    assert (got.groupby("sequence_id").length.sum() <= 2048).all() and (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
-    assert got.length.sum() == sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == plain_ids(odd)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "A", "b'S", " ", "\n", "é", "\u0301", "3", "<|ENDOFTEXT|>"]), max_size=9))
+def test_packing_finds_added_tokens(parts):
+    ids, at = packing.token_ids(pa.array(["".join(parts), "plain"]))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == plain_ids(["".join(parts), "plain"])
+
+
+def test_packing_pieces_and_places(spark, docs):
+    both = docs.unionByName(spark.createDataFrame([(100 + i, t, "en", "s", "") for i, t in enumerate(ADDED)], SCHEMA))
+    rows = both.collect()
+    want = Counter()
+    for r, ids in zip(rows, plain_ids(r.text for r in rows)):
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[(r.doc_id, k // 2048, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    got = packing.packed(both).toPandas().sort_values(["sequence_id", "offset"])
+    assert Counter((None if math.isnan(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()) == want
+    total = got.groupby("sequence_id").length.sum()
+    assert (total <= 2048).all() and (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
+    assert len(total) == -(-got.length.sum() // 2048)  # no fewer can hold them
     assert packing.packed(empty(spark)).count() == 0
 
 
