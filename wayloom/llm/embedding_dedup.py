@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, stored, table
@@ -45,13 +45,17 @@ _SLACK = 1e-9
 
 
 def comparable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, vector and key (a digest) of every row; vector and key are null where it links with nothing."""
+    """vec_id, label and vector of every row; the vector is null where it links with nothing."""
     kind = _element(vectors)
     v = F.col("embedding").cast(f"array<{kind}>")
     fit = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     same = F.transform(v, lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x))  # -0.0 and 0.0 are one value
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(fit, same).alias("vector"))
-    return rows.withColumn("key", F.unhex(F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256))).withColumn("key", F.when(F.col("vector").isNotNull(), F.col("key")))
+    return vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(fit, same).alias("vector"))
+
+
+def digest() -> Column:
+    """The key by which rows find the class of their vector; null if they have none."""
+    return F.when(F.col("vector").isNotNull(), F.unhex(F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)))
 
 
 def _element(vectors: DataFrame) -> str:
@@ -60,7 +64,7 @@ def _element(vectors: DataFrame) -> str:
 
 def classes(rows: DataFrame) -> DataFrame:
     """label, vector, key, n (how many rows), least (id) and dim of each distinct comparable vector."""
-    return rows.filter("vector is not null").groupBy("label", "vector").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("dim", F.size("vector"))
+    return rows.filter("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("key", digest()).withColumn("dim", F.size("vector"))
 
 
 def axes(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -213,7 +217,7 @@ def clustered(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rooted = cut(rows.select("class", "label", "key", "n", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").join(counts.withColumnRenamed("a", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_class = rooted.join(least, "root").select(F.col("label").alias("c_label"), F.col("key").alias("c_key"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component")
-    both = every.select("vec_id", "label", "key").join(by_class, (F.col("label") == F.col("c_label")) & (F.col("key") == F.col("c_key")), "left")
+    both = every.select("vec_id", "label", digest().alias("key")).join(by_class, (F.col("label") == F.col("c_label")) & (F.col("key") == F.col("c_key")), "left")
     component = F.coalesce("component", "vec_id")
     return both.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
