@@ -9,10 +9,11 @@
    Symbols are the HEAD most frequent tokens; all other words are hashed to further symbols, whose
    number grows with the square root of the distinct words. So every word is a context and has
    one; a symbol's probability is divided among its words in the proportion of their add-one counts.
-4. The recurrent model starts as the unigram distribution of the symbols. Every task trains on
-   all training documents of its chunks by truncated backpropagation; the weights of all tasks
-   are averaged by their tokens, ROUNDS times, each round over its own share of the documents.
-   A model has a fixed number of weights for each symbol.
+4. The recurrent model starts as the unigram distribution of the symbols. On every chunk a copy
+   of it trains on the chunk's training documents by truncated backpropagation; the weights of all
+   copies are averaged by their tokens, ROUNDS times, each round over its own share of the
+   documents. A model has a fixed number of weights for each symbol. What it learns depends on
+   the chunks, which are the input's splits, and not on how they fall to tasks and cores.
 5. Every document is scored with its state carried from its first token to its last.
 
 Edge cases: a null or empty text is its end token alone; with no training token every count is
@@ -114,7 +115,7 @@ class Vocabulary:
 def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary]:
     """chunk, at and word of all chunks' words; word and c, its training count; and their sums."""
     each = rows.select("chunk", F.posexplode(F.arrays_zip("words", "times")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    counts = stored(each.groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    counts = stored(each.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "counts")
     ends = rows.select(F.explode("held").alias("held")).agg(F.coalesce(F.sum((~F.col("held")).cast("long")), F.lit(0))).first()[0]
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     n = buckets(total[1])
@@ -133,7 +134,8 @@ def symbolic(rows: DataFrame, words: DataFrame, counts: DataFrame, v: Vocabulary
     symbol, first, n_buckets, end = v.symbol, v.first, len(v.rare), v.symbol[END]
     base_all, base_end = np.log10(v.n_tokens + v.n_distinct + 1), np.log10(v.n_ends + 1)
     # a word that stands in one chunk alone has the count that the chunk knows
-    found = words.join(counts, "word").filter((F.col("c") != F.col("n")) | (F.col("c") >= v.least)).select("chunk", "at", "c", F.when(F.col("c") >= v.least, F.col("word")).alias("word"))
+    shared = counts.filter((F.col("chunks") > 1) | (F.col("c") >= v.least)).select("word", "c")
+    found = words.join(shared, "word").filter((F.col("c") != F.col("n")) | (F.col("c") >= v.least)).select("chunk", "at", "c", F.when(F.col("c") >= v.least, F.col("word")).alias("word"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids").combine_chunks().flatten()
@@ -169,29 +171,33 @@ def _documents(batch: pa.RecordBatch):
 
 
 def trained(rows: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS of training by all tasks and averaging."""
+    """Weights after ROUNDS of training on all chunks and averaging."""
     w = gru.initial(v.symbols, v.mass)
     shapes = {k: x.shape for k, x in w.items()}
+    ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
+    size = int(ends[-1])
+    seen = {k: np.full(s, gru.START, np.float32) for k, s in shapes.items()}
+    flat = lambda m: np.concatenate([m[k].ravel() for k in shapes])
+    shaped = lambda x: {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(shapes.items(), np.split(x, ends[:-1]))}
     for r in range(ROUNDS):
 
-        def run(batches, w=w, r=r):
-            def own():
-                for batch in batches:
-                    for k, tokens, lengths in _documents(batch):
-                        held = batch.column("held")[k].values.to_numpy(zero_copy_only=False)
-                        use = ~held & (np.arange(len(lengths)) % ROUNDS == r)
-                        yield tokens[np.repeat(use, lengths)], lengths[use]
-
-            new, n = gru.fitted(w, v.symbols, own())
-            flat = np.concatenate([new[k].ravel() for k in shapes])
+        def run(batches, w=w, seen=seen, r=r):
+            total, n = np.zeros(2 * size), 0.0
+            for batch in batches:
+                for k, tokens, lengths in _documents(batch):
+                    use = ~batch.column("held")[k].values.to_numpy(zero_copy_only=False) & (np.arange(len(lengths)) % ROUNDS == r)
+                    if use.any():
+                        own = lengths[use].sum()
+                        total += own * np.concatenate([flat(m) for m in gru.fitted(w, seen, v.symbols, tokens[np.repeat(use, lengths)], lengths[use])])
+                        n += own
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float) * n), pa.array(np.full(len(flat), float(n)))], names=["i", "x", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * size, dtype=np.int32)), pa.array(total), pa.array(np.full(2 * size, n))], names=["i", "x", "n"])
 
         summed = rows.select("held", "lengths", "tokens").mapInArrow(run, "i int, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-        mean = summed.toPandas().sort_values("i")["x"].to_numpy()  # as many rows as the model has weights
+        mean = summed.toPandas().sort_values("i")["x"].to_numpy()  # two rows for each of the model's weights
         if len(mean):
-            ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
-            w = {k: p.reshape(s).astype(np.float32) for (k, s), p in zip(shapes.items(), np.split(mean, ends[:-1]))}
+            w, squares = shaped(mean[:size]), shaped(mean[size:])
+            seen = {k: gru.START + gru.KEPT * np.maximum(x - gru.START, 0) for k, x in squares.items()}
     return w
 
 
