@@ -128,6 +128,30 @@ def test_links_join_the_same_points():
     assert dict(zip(*(x.tolist() for x in simhash.linked(p, p)))) == want
 
 
+@pytest.mark.parametrize("fitted", [2, 10])
+def test_simhash_links_through_all_levels(spark, monkeypatch, fitted):
+    monkeypatch.setattr(simhash, "FITTED", fitted)
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = [base ^ sum((np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64) for _ in range(k)), np.zeros(300, np.uint64)) for k in (1, 2, 3, 4)]
+    p = np.unique(np.concatenate([base, *near]))
+    i, j = np.nonzero(np.bitwise_count(p[:, None] ^ p[None, :]) <= 3)
+    want = dict(zip(*(x.tolist() for x in simhash.stars(p[i], p[j]))))
+    points = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")
+    found = simhash.links(points, leaf=20).toPandas()
+    got = dict(zip(*(x.tolist() for x in simhash.stars(found.a.to_numpy().view(np.uint64), found.b.to_numpy().view(np.uint64)))))
+    assert got == want
+
+
+def test_simhash_keeps_one_of_a_nameless_component(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [base.replace(f"w{7 * i} ", f"v{i} ", 1) for i in range(6)]
+    texts = [t for t in texts if (fingerprint(t) ^ fingerprint(texts[0])).bit_count() <= 3]
+    assert len({fingerprint(t) for t in texts}) > 1
+    rows = [(None, t, "en", "s", "") for t in texts]
+    assert simhash.filter_documents(spark.createDataFrame(rows, SCHEMA)).count() == 1
+
+
 def test_simhash_components(spark, docs):
     base = " ".join(f"w{i}" for i in range(400))
     near = [(50 + i, base.replace(f"w{7 * i} ", f"v{i} ", 1), "en", "s", "") for i in range(6)]

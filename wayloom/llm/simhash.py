@@ -1,12 +1,15 @@
 """SimHash near-duplicates through vantage-point trees.
 
-Equal fingerprints are one point. A tree over a bounded sample of points parts the space: a
-node has a vantage point and a radius, and a point belongs inside if its Hamming distance to the
-vantage point is at most the radius. Every point has one home leaf; as a query it also goes to
-each leaf that its ball of ``radius`` bits may reach by the triangle bound (inside if d <= r + 3,
-outside if d > r - 3). A leaf, cut into tiles of bounded numbers of homes and queries, is one
-task's work, which goes on down a tree of its own. A leaf's dense ball around a vantage point is
-linked to that point at once, and its members aren't compared with each other.
+Equal fingerprints are one point. A tree parts the space: a node has a vantage point and a
+radius, and a point belongs inside if its Hamming distance to the vantage point is at most the
+radius. Every point has one home leaf; as a query it also goes to each leaf that its ball of
+``radius`` bits may reach by the triangle bound (inside if d <= r + 3, outside if d > r - 3). The
+number of levels follows the number of points. The upper ones are fitted on a sample of fixed
+size, node by node; below them each level has one vantage point and radius for all its nodes, so
+the tree that goes to the tasks has a fixed size. A leaf, cut into tiles of bounded numbers of
+homes and queries, is one task's work, which goes on down a tree of its own. A leaf's dense ball
+around a vantage point is linked to that point at once, and its members aren't compared with
+each other.
 
 Every pair within the radius is met in the home leaf of one of them, so no link between
 components is lost; what leaves a task is a star for each component that it found.
@@ -32,8 +35,8 @@ from .components import components, stars
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Points that the tree is fitted on for each leaf, and the most levels of the shared tree.
-SAMPLE_PER_LEAF, LEVELS = 64, 10
+#: Points that the tree is fitted on at most, its levels that are fitted node by node, and vantage points tried.
+SAMPLE, FITTED, TRIED = 1 << 16, 10, 32
 #: Homes that a leaf should have, and homes and queries of a tile at most.
 LEAF, TILE_HOMES, TILE_QUERIES = 4096, 8192, 32768
 #: Comparisons that are made at once.
@@ -83,24 +86,35 @@ def distance(points: np.ndarray, to: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ to).astype(np.int16)
 
 
+def vantage(points: np.ndarray) -> tuple[np.uint64, int] | None:
+    """The point and radius that part the points best: even parts, and few points within reach of both."""
+    best, found, r = np.inf, None, np.arange(64)
+    for v in points[:: max(1, len(points) // TRIED)][:TRIED]:
+        upto = np.cumsum(np.bincount(distance(points, v), minlength=65)) / len(points)
+        share = np.clip(upto[:64], 1e-9, 1 - 1e-9)
+        both = upto[np.minimum(r + RADIUS, 64)] - np.append(np.zeros(RADIUS), upto)[:64]
+        cost = np.log2(1 + both) / -(share * np.log2(share) + (1 - share) * np.log2(1 - share))
+        cost[(share < 0.2) | (share > 0.8)] = np.inf
+        k = int(np.argmin(cost))
+        if cost[k] < best:
+            best, found = cost[k], (v, k)
+    return found
+
+
 def grow(points: np.ndarray, levels: int):
     """A tree over a sample: (vantage point, radius, inside, outside), or None for a leaf."""
-    if not levels or len(points) < 4:
-        return None
-    tried = points[:: max(1, len(points) // 8)][:8]
-    spread = [distance(points, p).std() for p in tried]
-    v = tried[int(np.argmax(spread))]
-    d = distance(points, v)
-    r = int(np.median(d))
-    if (d <= r).all():
-        r -= 1
-    if not (d <= r).any():
+    at = vantage(points) if levels and len(points) >= 4 else None
+    if at is None:
         return None
-    return v, r, grow(points[d <= r], levels - 1), grow(points[d > r], levels - 1)
+    d = distance(points, at[0])
+    return *at, grow(points[d <= at[1]], levels - 1), grow(points[d > at[1]], levels - 1)
 
 
-def leaves(tree, points: np.ndarray, reach: int) -> list[tuple[int, np.ndarray]]:
-    """(number of a leaf, which points reach it); with reach 0 each point has its home alone."""
+def leaves(tree, below: list[tuple[np.uint64, int]], points: np.ndarray, reach: int) -> list[tuple[int, np.ndarray]]:
+    """(number of a leaf, which points reach it); with reach 0 each point has its home alone.
+
+    ``below`` has the vantage point and radius of each level under the tree's.
+    """
     out, stack, number = [], [(tree, np.arange(len(points)))], 0
     while stack:
         node, own = stack.pop()
@@ -112,6 +126,9 @@ def leaves(tree, points: np.ndarray, reach: int) -> list[tuple[int, np.ndarray]]
         d = distance(points[own], v)
         stack.append((outside, own[d > r - reach]))
         stack.append((inside, own[d <= r + reach]))
+    for v, r in below:
+        d = distance(points, v)
+        out = [(2 * k + side, own[on[own]]) for k, own in out if len(own) for side, on in ((0, d <= r + reach), (1, d > r - reach))]
     return out
 
 
@@ -165,46 +182,48 @@ def _near(h: np.ndarray, q: np.ndarray, radius: int):
             yield x[other], y[other]
 
 
-def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """a and b: links between fingerprints ``fp`` that join all points within the radius."""
     n = points.count()
-    levels = min(LEVELS, max(3, math.ceil(math.log2(max(n, 1) / LEAF)))) if n > 64 else 0
-    chosen = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_LEAF << levels)
+    levels = max(3, math.ceil(math.log2(n / leaf))) if n > 64 else 0
+    fitted = min(levels, FITTED)
+    chosen = points.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 64 << fitted))
     sample = np.array([r.fp for r in chosen.collect()], np.int64).view(np.uint64)  # a fixed number at most
-    tree = grow(sample, levels)
-
-    def members(batch: pa.RecordBatch, tiles=None) -> pa.RecordBatch:
-        p = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        salt = (p * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        group, home, which = [], [], []
-        for is_home, reach in ((True, 0), (False, radius)):
-            for leaf, own in leaves(tree, p, reach):
-                n_home, n_query = tiles[leaf] if tiles else (1, 1)
-                mine, copies = (n_home, n_query) if is_home else (n_query, n_home)
-                tile = (salt[own] % np.uint64(mine)).astype(np.int64)
-                for k in range(copies):
-                    at = tile * n_query + k if is_home else k * n_query + tile
-                    group.append((np.int64(leaf) << 32) + at)
-                    home.append(np.full(len(own), is_home))
-                    which.append(own)
-        columns = [np.concatenate(x) for x in (group, home, which)]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(p[columns[2]].view(np.int64))], names=["part", "home", "fp"])
+    tree = grow(sample, fitted)
+    parts = np.array_split(sample, max(1, levels - fitted))
+    below = [(v, int(np.median(distance(sample, v)))) for v, _ in filter(None, map(vantage, parts[: levels - fitted]))]
 
-    def counted(batches):
+    def members(batches):
+        """(leaf, home, fingerprint) of every membership, in pieces of bounded length."""
+        held, size = [], 0
         for b in batches:
-            m = members(b)
-            key, times = np.unique(m.column("part").to_numpy() * 2 + m.column("home").to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(times)], names=["key", "n"])
+            p = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for home, reach in ((True, 0), (False, radius)):
+                for number, own in leaves(tree, below, p, reach):
+                    held.append((np.full(len(own), number), np.full(len(own), home), p[own].view(np.int64)))
+                    size += len(own)
+                    if size >= BLOCK:
+                        yield map(np.concatenate, zip(*held))
+                        held, size = [], 0
+        if size:
+            yield map(np.concatenate, zip(*held))
 
-    sizes = {r.key: r.n for r in points.select("fp").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # two rows for each leaf
-    tile_homes = int(min(TILE_HOMES, max(1024, n / 64)))
-    tile_queries = min(TILE_QUERIES, 4 * tile_homes)
-    up = lambda x, y: max(1, -(-x // y))
-    tiles = [(up(sizes.get((k << 33) + 1, 0), tile_homes), up(sizes.get(k << 33, 0), tile_queries)) for k in range(1 << levels)]
+    def counted(batches):
+        for leaf, home, _ in members(batches):
+            key, times = np.unique(2 * leaf + home, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // 2), pa.array(key % 2 == 1), pa.array(times)], names=["leaf", "home", "n"])
 
     def dealt(batches):
-        for b in batches:
-            yield members(b, tiles)
+        for columns in members(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["leaf", "home", "fp"])
+
+    tile_homes = int(min(TILE_HOMES, max(1024, n / 64)))
+    up = lambda is_home, most: F.greatest(F.ceil(F.sum(F.when(F.col("home") == is_home, F.col("n"))) / most), F.lit(1)).cast("int")
+    sizes = points.select("fp").mapInArrow(counted, "leaf long, home boolean, n long").groupBy("leaf").agg(up(True, tile_homes).alias("nh"), up(False, min(TILE_QUERIES, 4 * tile_homes)).alias("nq"))
+    placed = points.select("fp").mapInArrow(dealt, "leaf long, home boolean, fp long").join(sizes, "leaf")
+    mine, other = (F.when(F.col("home"), F.col(a)).otherwise(F.col(b)) for a, b in (("nh", "nq"), ("nq", "nh")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), mine).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(0), other - 1)))
+    placed = placed.select("leaf", F.when(F.col("home"), F.col("own")).otherwise(F.col("copy")).alias("th"), F.when(F.col("home"), F.col("copy")).otherwise(F.col("own")).alias("tq"), "home", "fp")
 
     def compared(group: pa.Table) -> pa.Table:
         p = group.column("fp").to_numpy().view(np.uint64)
@@ -212,17 +231,17 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = linked(p[home], p[~home], radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return points.select("fp").mapInArrow(dealt, "part long, home boolean, fp long").groupBy("part").applyInArrow(compared, "a long, b long")
+    return placed.groupBy("leaf", "th", "tq").applyInArrow(compared, "a long, b long")
 
 
 def clustered(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, key, fp and component_id, the least doc_id of the documents linked with it."""
+    """doc_id, key, fp, component_id (the least doc_id of the documents linked with it) and root, a name of the component."""
     rows = stored(fingerprinted(docs), "fingerprints")
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(points, radius))
     rooted = cut(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.join(least, "root").select("fp", "component_id", "root"), "fp")
 
 
 def filter_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -232,7 +251,7 @@ def filter_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = clustered(docs, radius)
     best = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("key", "fp")).alias("best"))
-    nameless = found.filter(F.col("component_id").isNull()).groupBy("fp").agg(F.min("key").alias("key"))
+    nameless = found.filter(F.col("component_id").isNull()).groupBy("root").agg(F.min("key").alias("key"))
     keep = best.filter("component_id is not null").select(F.col("component_id").alias("id"), F.col("best.key").alias("key")).unionByName(nameless.select(F.lit(None).cast(best.schema["component_id"].dataType).alias("id"), "key"))
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("k"))
     keep = keep.withColumnRenamed("id", "keep_id")
