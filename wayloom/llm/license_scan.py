@@ -8,7 +8,9 @@ don't break it. Spans of bounded length within a merged run are verified by the
 template's words that their hits cover, each compared as words; the best one counts. A phrase that must stand whole takes a diagonal with every vote of its own.
 
 DataFrame functions only. The templates are fixed parameters of under a hundred words, so their
-grams are broadcast and documents move no text: hits alone are shuffled.
+grams are broadcast and documents move no text: hits alone are shuffled. Each text is read and cut
+into words once; every document has a hit of its own besides, before its first word, which holds
+how many words it has.
 
 Edge cases: a null text has no words; a repeated row (same id and text) gets the same result as
 the first, its votes being counted by template word; rows of one id with other texts are kept
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Phrases that must stand whole, and their labels; fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -55,19 +57,24 @@ def templates(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple]:
     return out
 
 
-def votes(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """doc_id, key, template, label, whole, n, diagonal, and the template words hit on it."""
+def hits(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+    """doc_id, key, template, label, whole, n, diagonal and t of every hit; of a document itself, with n words, template and t are -1."""
     spark = docs.sparkSession
-    grams = spark.createDataFrame(templates(phrases, notices), "template int, label string, whole boolean, n int, t int, a string, b string")
+    grams = spark.createDataFrame([*templates(phrases, notices), (-1, "", False, 0, -1, "", "")], "template int, label string, whole boolean, n int, t int, a string, b string")
     grams = grams.select("*", F.xxhash64("a", "b").alias("gram"))
     text = F.col("text").cast("string")
-    each = docs.select("doc_id", F.xxhash64(text).alias("key"), words(text).alias("w")).filter(F.size("w") >= K)
-    each = each.select("doc_id", "key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("p"))
-    each = each.select("doc_id", "key", "p", F.col("w")[F.col("p")].alias("p_a"), F.col("w")[F.col("p") + 1].alias("p_b"))
+    each = docs.select("doc_id", F.xxhash64(text).alias("key"), words(text).alias("w"))
+    each = each.select("doc_id", "key", "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("w") - K, F.lit(-1)))).alias("p"))
+    word = lambda at: F.when(F.col("p") < 0, "").otherwise(F.get("w", at))
+    each = each.select("doc_id", "key", "p", word(F.col("p")).alias("p_a"), word(F.col("p") + 1).alias("p_b"), F.size("w").alias("n_words"))
     each = each.withColumn("p_gram", F.xxhash64("p_a", "p_b"))
-    hits = each.join(F.broadcast(grams), (F.col("p_gram") == F.col("gram")) & (F.col("p_a") == F.col("a")) & (F.col("p_b") == F.col("b")))
-    hits = hits.select("doc_id", "key", "template", "label", "whole", "n", (F.col("p") - F.col("t")).alias("diagonal"), "t")
-    return hits.groupBy("doc_id", "key", "template", "label", "whole", "n", "diagonal").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    found = each.join(F.broadcast(grams), (F.col("p_gram") == F.col("gram")) & (F.col("p_a") == F.col("a")) & (F.col("p_b") == F.col("b")))
+    return found.select("doc_id", "key", "template", "label", "whole", F.when(F.col("template") < 0, F.col("n_words")).otherwise(F.col("n")).alias("n"), (F.col("p") - F.col("t")).alias("diagonal"), "t")
+
+
+def votes(found: DataFrame) -> DataFrame:
+    """doc_id, key, template, label, whole, n, diagonal, and the template words hit on it."""
+    return found.filter("template >= 0").groupBy("doc_id", "key", "template", "label", "whole", "n", "diagonal").agg(F.array_sort(F.collect_set("t")).alias("ts"))
 
 
 def spans(found: DataFrame, band: int = BAND, cover: float = COVER, notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -94,14 +101,14 @@ def spans(found: DataFrame, band: int = BAND, cover: float = COVER, notices: dic
 
 def scanned(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, band: int = BAND, cover: float = COVER) -> DataFrame:
     """For every document: n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    found = spans(votes(docs, phrases, notices), band, cover, notices).withColumn("starts", F.when(F.col("whole"), F.col("first")))
+    every = cut(hits(docs, phrases, notices))
+    found = spans(cut(votes(every)), band, cover, notices).withColumn("starts", F.when(F.col("whole"), F.col("first")))
     by_doc = found.groupBy("doc_id", "key").agg(
         F.count("starts").alias("n_base"), F.min("starts").alias("first_word"), F.max("starts").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"),
     ).withColumnsRenamed({"doc_id": "f_doc_id", "key": "f_key"})
-    text = F.col("text").cast("string")
-    every = docs.select("doc_id", F.xxhash64(text).alias("key"), F.size(words(text)).cast("long").alias("n_words"))
+    every = every.filter("template < 0").select("doc_id", "key", F.col("n").cast("long").alias("n_words"))
     both = every.join(by_doc, F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("key") == F.col("f_key")), "left")
     return both.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
@@ -123,11 +130,13 @@ p AS (SELECT r, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT r, w, unnest(range(
 h AS (SELECT r, template, label, whole, n, p - t AS diagonal, t FROM p JOIN g USING (a, b)),
 v AS (SELECT r, template, label, whole, n, diagonal, count(DISTINCT t) AS c, list_distinct(list(t)) AS ts FROM h GROUP BY ALL),
 e AS (SELECT r, label, true AS whole, diagonal AS start, 1.0::DOUBLE AS score FROM v WHERE whole AND c = n - 1),
-m1 AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER near <= {BAND} THEN 0 ELSE 1 END AS new FROM v WHERE NOT whole AND c > 1 WINDOW near AS (PARTITION BY r, template ORDER BY diagonal)),
+m1 AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER near <= {BAND} THEN 0 ELSE 1 END AS new FROM v WHERE NOT whole WINDOW near AS (PARTITION BY r, template ORDER BY diagonal)),
 m2 AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM m1),
-m3 AS (SELECT r, template, label, n, run, unnest(ts) AS t, diagonal FROM m2),
-m4 AS (SELECT r, template, label, n, run, min(diagonal + t) AS first, max(diagonal + t) + 1 AS last, len(list_distinct(list_concat(list(t), list(t + 1)))) / n::DOUBLE AS score FROM m3 GROUP BY r, template, label, n, run),
-s AS (SELECT * FROM e UNION ALL SELECT r, label, false, NULL, score FROM m4 WHERE score >= {COVER} AND last - first < n + {4 * BAND}),
+m3 AS (SELECT r, template, label, n, run, t, diagonal + t AS at FROM (SELECT *, unnest(ts) AS t FROM m2)),
+m4 AS (SELECT r, template, run FROM m3 GROUP BY r, template, n, run HAVING len(list_distinct(list_concat(list(t), list(t + 1)))) / n::DOUBLE >= {COVER}),
+m5 AS (SELECT a.r, a.label, a.template, a.run, a.at, len(list_distinct(list_concat(list(b.t), list(b.t + 1)))) / a.n::DOUBLE AS score FROM (SELECT DISTINCT * EXCLUDE t FROM m3 SEMI JOIN m4 USING (r, template, run)) a
+  JOIN m3 b ON a.r = b.r AND a.template = b.template AND a.run = b.run AND b.at >= a.at AND b.at - a.at + {K - 1} < a.n + {4 * BAND} GROUP BY a.r, a.label, a.template, a.run, a.at, a.n),
+s AS (SELECT * FROM e UNION ALL SELECT r, label, false, NULL, score FROM m5 WHERE score >= {COVER}),
 f AS (SELECT r, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (whole)), ','), '') AS base_labels,
   array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(score) AS score FROM s GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
