@@ -9,8 +9,12 @@ and a large one, which may hold a third of all rows, is split.
 
 Texts aren't shuffled: only the id, size, checksum and digest move. DataFrame functions only.
 
+The number of ranges follows the number of rows. To find their bounds Spark samples up to 100 rows
+a range, and a million in all.
+
 Edge cases: a null text has size 1 and the checksum of no bytes; null ids stand first among
-equal texts; repeated rows each take a slot; an empty table gives no rows.
+equal texts; repeated rows each take a slot, in the order that they are read in; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,22 +26,23 @@ from .common import cut, table
 
 SHARDS = 16
 SNAP = 0.005
-#: Ranges of the order; their totals, one row each, are all that is put in one place.
-RANGES = 256
+#: Rows of a range, and ranges at least; a range's totals, one row, are all that is put in one place.
+ROWS, LEAST = 1 << 20, 32
 
 
-def placed(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def placed(docs: DataFrame, rows_per_range: int = ROWS) -> DataFrame:
     """doc_id, size, text_crc32, digest, and ``before``: bytes and rows that stand before, in all."""
+    ranges = max(LEAST, -(-docs.count() // rows_per_range))
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"))
-    order = ["digest", F.col("doc_id").asc_nulls_first(), "size"]
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("nth"))
+    order = ["digest", F.col("doc_id").asc_nulls_first(), "nth"]
     part = rows.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
     within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cut(part.select("*", F.sum("size").over(within).alias("bytes_to"), F.row_number().over(within).cast("long").alias("rows_to")))
     totals = summed.groupBy("part").agg(F.max("bytes_to").alias("b"), F.max("rows_to").alias("r"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b"), F.coalesce(F.sum("r").over(ahead), F.lit(0)).alias("r"))
-    both = summed.join(F.broadcast(totals), "part")  # at most ``ranges`` rows
+    both = summed.join(totals, "part")  # a row for each range
     return both.select("doc_id", "size", "text_crc32", "digest", (F.col("b") + F.col("bytes_to") - F.col("size")).alias("before"), (F.col("r") + F.col("rows_to") - 1).alias("row"))
 
 
