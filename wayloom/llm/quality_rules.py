@@ -6,7 +6,10 @@ same result. A sketch for each language and source gives the fences; a group of
 ``min_group`` documents takes the merged sketch of its language, a small language that of all.
 
 Fences, for each metric: ``median + max(spread * (q75 - median), floor)`` above, and for the mean
-word length also ``median - max(spread * (median - q25), floor)`` below.
+word length also ``median - max(spread * (median - q25), floor)`` below. Over even prose the spreads
+are small, so a fence stands on its floor above the group's median; a group of mixed texts, such as
+code or lists, widens its own. Repeated words have no fence: the base rule, a fixed share, is stricter
+than any that would go with the others.
 
 Edge cases: a null text has no words and fails the base rule; null lang or source form a group
 of their own; repeated rows are measured each; an empty table gives no rows.
@@ -27,7 +30,6 @@ FENCES = {
     "symbols": (8, 100, False),
     "caps": (8, 350, False),
     "dup": (8, 600, False),
-    "repeat": (8, 200, False),
     "length": (8, 300, True),
 }
 MIN_GROUP = 200
@@ -105,7 +107,7 @@ def metrics() -> dict[str, Column]:
     of = lambda a, b, k: F.floor(F.lit(k) * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
     return {
         "punct": of("n_punct", "n_words", 1000), "symbols": of("n_symbols", "n_words", 1000), "caps": of("n_caps", "word_chars", 1000),
-        "dup": of("n_dup_lines", "n_lines", 1000), "repeat": of("n_repeat_words", "n_words", 1000), "length": of("word_chars", "n_words", 100),
+        "dup": of("n_dup_lines", "n_lines", 1000), "length": of("word_chars", "n_words", 100),
     }
 
 
@@ -197,7 +199,7 @@ def _sql() -> str:
     level = lambda by: f"""SELECT {by}{', ' if by else ''}metric, max(total) AS total, {', '.join(quart(k, by) for k in (1, 2, 3))} FROM (
         SELECT *, sum(n) OVER (PARTITION BY {by}{', ' if by else ''}metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}{', ' if by else ''}metric) AS total
         FROM (SELECT {by}{', ' if by else ''}metric, bin, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
-    value = {"punct": "1000 * n_punct // n_words", "symbols": "1000 * n_symbols // n_words", "caps": "1000 * n_caps // greatest(word_chars, 1)", "dup": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat": "1000 * n_repeat_words // n_words", "length": "100 * word_chars // n_words"}
+    value = {"punct": "1000 * n_punct // n_words", "symbols": "1000 * n_symbols // n_words", "caps": "1000 * n_caps // greatest(word_chars, 1)", "dup": "1000 * n_dup_lines // greatest(n_lines, 1)", "length": "100 * word_chars // n_words"}
     pick = lambda c: f"CASE WHEN o.total >= {MIN_GROUP} THEN o.{c} WHEN l.total >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}"
     fence = lambda m, s, f: f"max(CASE WHEN metric = '{m}' THEN q50 + greatest({s} * (q75 - q50), {f}) END) AS high_{m}, max(CASE WHEN metric = '{m}' THEN q50 - greatest({s} * (q50 - q25), {f}) END) AS low_{m}"
     ok = " AND ".join(f"v_{m} <= high_{m}" + (f" AND v_{m} >= low_{m}" if FENCES[m][2] else "") for m in FENCES)
