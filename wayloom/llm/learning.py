@@ -6,13 +6,15 @@ import pickle
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, map_batches
 
+#: Features of a sample that a model is fitted on at most; a hundred million are 0.4 to 0.8 GB.
+FEATURES = 100_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: The bytes that separate words of letters and digits; bytes above 127 belong to words.
@@ -72,15 +74,29 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, features:
     return map_batches(texts.select("doc_id", "y", "text"), run, f"doc_id {kind}, y int, ids array<int>, values array<float>").groupBy("doc_id", "y").agg(F.min(F.struct("ids", "values")).alias("x")).select("doc_id", "y", "x.ids", "x.values")
 
 
-def trained(rows: DataFrame, fit: Callable[[np.ndarray, list, list], object]):
-    """The model that fit makes of a sample, in one task; only the model comes to the driver."""
+def trained(rows: DataFrame, fit: Callable[[np.ndarray, list, list], object], most: int = FEATURES):
+    """The model that fit makes of a sample, in one task; only the model comes to the driver.
 
-    def run(batches):
-        parts = [b.to_pandas() for b in batches if b.num_rows]
-        if parts:
-            both = pd.concat(parts)
-            both = both.iloc[np.argsort(pd.util.hash_array(both["doc_id"].to_numpy()), kind="stable")]
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(both["y"].to_numpy(), list(both["ids"]), list(both["values"])))])], names=["model"])
+    Documents come in the order of their ids' hashes, and those whose features, added to all
+    before, number more than ``most`` are left out, so that the task's memory has a bound.
+    """
 
-    found = cut(rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary")).collect()
+    def run(batches, most=most):
+        y, ids, values, held = [], [], [], 0
+        for b in batches:
+            size = pc.list_value_length(b.column("ids")).to_numpy()
+            use = int(np.searchsorted(held + np.cumsum(size), most, "right"))
+            y.append(b.column("y").slice(0, use).to_numpy())
+            for out, name in ((ids, "ids"), (values, "values")):
+                column = b.column(name).slice(0, use)
+                at = (column.offsets.to_numpy() - column.offsets[0].as_py()) if use else np.zeros(1, int)
+                out += np.split(column.flatten().to_numpy().copy(), at[1:-1]) if use else []
+            held += int(size[:use].sum())
+            if use < b.num_rows:
+                most = held
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(np.concatenate(y), ids, values))])], names=["model"])
+
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("y", "ids", "values")
+    found = cut(ordered.mapInArrow(run, "model binary")).collect()
     return pickle.loads(bytes(found[0].model)) if found else None
