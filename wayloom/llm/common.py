@@ -30,13 +30,18 @@ LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own in local mode, and an error on a cluster."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    before = context._jsc.sc().getCheckpointDir()
+    if not found and before.isDefined():
+        found = before.get()
     if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+    if not before.isDefined():
+        context.setCheckpointDir(found)
     return found
 
 
