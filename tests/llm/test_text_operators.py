@@ -220,6 +220,9 @@ def test_sharding(spark, docs):
     sizes = [r.b for r in sharding.sharded(even).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 16 and max(sizes) < 1.02 * sum(sizes) / 16
     assert sharding.sharded(empty(spark)).count() == 0
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    got = sharding.sharded(same).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots")).collect()
+    assert len(got) == 16 and all(r.n == r.slots and 180 <= r.n <= 195 for r in got)
 
 
 def plain_ids(texts):
@@ -404,6 +407,16 @@ def test_classifiers_on_held_out_rows(spark, docs, labelled, module, label, at):
     assert module.scored(docs, None).count() == docs.count()
 
 
+def test_samples_are_bounded_by_features(spark, labelled):
+    from wayloom.llm import learning
+
+    rows = learning.sample(labelled, labelled.select("doc_id", "toxic"), "toxic", 100, toxicity.features)
+    seen = lambda most: learning.trained(rows, lambda y, ids, _: (len(y), sum(map(len, ids))), most)
+    n, size = seen(1 << 30)
+    assert n == 100 and seen(size) == (n, size)
+    assert size // 2 - 1000 < seen(size // 2)[1] <= size // 2 and seen(3) is None
+
+
 def test_machine_is_the_sum_over_pairs():
     r = np.random.default_rng(0)
     m = {"w0": 0.3, "w": r.normal(size=9), "v": r.normal(size=(9, 3))}
