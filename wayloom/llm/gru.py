@@ -49,33 +49,55 @@ def initial(symbols: Symbols, mass: np.ndarray, seed: int = 3) -> dict[str, np.n
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def run(w: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of symbols x (steps, lanes); fresh: where a document begins."""
-    out = np.empty((*x.shape, HIDDEN), np.float32)
-    gates = (w["emb"] @ w["wx"] + w["b"])[x]
+def run(w: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """States after each step of symbols x (steps, lanes); fresh: where a document begins.
+
+    ``keep`` gets what the gradient needs of all steps: states before (h), gates (z, r), candidates (n) and hn.
+    """
+    out = np.empty((*x.shape, HIDDEN), np.result_type(w["u"], np.float32))
+    table = w["emb"] @ w["wx"] + w["b"]
+    table[:, : 2 * HIDDEN] *= -1  # the logistic gates are 1 / (1 + exp(-x))
+    gates, u_gate, u_new = table[x], -w["u"][:, : 2 * HIDDEN], w["u"][:, 2 * HIDDEN :]
+    began = fresh.any(1)
+    if keep is not None:
+        keep |= {"h": np.empty_like(out), "zr": np.empty((*x.shape, 2 * HIDDEN), out.dtype), "n": np.empty_like(out), "hn": np.empty_like(out)}
     for t in range(len(x)):
-        h = h * ~fresh[t][:, None]
-        hu = h @ w["u"]
-        zr = _sigmoid(gates[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+        if began[t]:
+            h = h * ~fresh[t][:, None]
+        zr = h @ u_gate
+        zr += gates[t, :, : 2 * HIDDEN]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+        hn = h @ u_new
+        n = r * hn
+        n += gates[t, :, 2 * HIDDEN :]
+        np.tanh(n, out=n)
         if keep is not None:
-            keep.append((h, z, r, n, hu[:, 2 * HIDDEN :]))
-        h = n + z * (h - n)
-        out[t] = h
+            keep["h"][t], keep["zr"][t], keep["n"][t], keep["hn"][t] = h, zr, n, hn
+        h = np.subtract(h, n, out=out[t])
+        h *= z
+        h += n
     return out
 
 
+def _exponentials(logits: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The logits, shifted if some may be too large for exp, and their exponentials; ``most`` bounds their size."""
+    if most > 60:
+        logits -= logits.max(1, keepdims=True)
+    return logits, np.exp(logits)
+
+
+def _bound(weights: np.ndarray, bias: np.ndarray, axis: int) -> float:
+    """No logit of a state, which lies within -1 and 1, is larger in size."""
+    return float((np.abs(weights).sum(axis) + np.abs(bias)).max())
+
+
 def log_p(w: dict, symbols: Symbols, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
     """Natural log-probability of each y after each state h; grad gets the gradient of their negative sum."""
     at = np.arange(len(y))
-    logits = h @ w["wc"] + w["bc"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
+    logits, e = _exponentials(h @ w["wc"] + w["bc"], _bound(w["wc"], w["bc"], 0))
     total = e.sum(1)
     c = symbols.of[y].astype(np.int16)  # sixteen bits sort by radix
     out = logits[at, c] - np.log(total)
@@ -88,6 +110,7 @@ def log_p(w: dict, symbols: Symbols, h: np.ndarray, y: np.ndarray, grad: dict |
         grad["ww"], grad["bw"] = np.zeros_like(w["ww"]), np.zeros_like(w["bw"])
     h, y, within = h[order], y[order], np.zeros(len(y), logits.dtype)  # each class is one slice
     dh = None if grad is None else np.zeros_like(h)
+    most = _bound(w["ww"], w["bw"], 1)
     for k, (a, b) in enumerate(zip(symbols.bounds, symbols.bounds[1:])):
         own = slice(cuts[k], cuts[k + 1])
         n = cuts[k + 1] - cuts[k]
@@ -95,12 +118,10 @@ def log_p(w: dict, symbols: Symbols, h: np.ndarray, y: np.ndarray, grad: dict |
             continue
         logits = h[own] @ w["ww"][a:b].T
         logits += w["bw"][a:b]
-        logits -= logits.max(1, keepdims=True)
-        j = (np.arange(n), y[own] - a)
-        hit = logits[j]
-        e = np.exp(logits, out=logits)
+        j = (at[:n], y[own] - a)
+        logits, e = _exponentials(logits, most)
         total = e.sum(1)
-        within[own] = hit - np.log(total)
+        within[own] = logits[j] - np.log(total)
         if grad is not None:
             e /= total[:, None]
             e[j] -= 1
@@ -114,7 +135,7 @@ def log_p(w: dict, symbols: Symbols, h: np.ndarray, y: np.ndarray, grad: dict |
 
 def gradient(w: dict, symbols: Symbols, x: np.ndarray, fresh: np.ndarray, h0: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Gradient over one window (truncated at its begin), the last state, and the loss."""
-    keep: list = []
+    keep: dict = {}
     states = run(w, x, fresh, h0, keep)
     g: dict = {}
     if real.all():
@@ -125,19 +146,23 @@ def gradient(w: dict, symbols: Symbols, x: np.ndarray, fresh: np.ndarray, h0: np
         loss = -log_p(w, symbols, states[t, b], y[t, b], g).sum()
         dh_out = np.zeros_like(states)
         dh_out[t, b] = g.pop("h")
-    dgate = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    du = np.zeros_like(w["u"])
+    h, n, z, r = keep["h"], keep["n"], keep["zr"][..., :HIDDEN], keep["zr"][..., HIDDEN:]
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), keep["hn"] * r * (1 - r)
+    dgate, dhu = np.empty((2, *x.shape, 3 * HIDDEN), states.dtype)
+    back, began = np.ascontiguousarray(w["u"].T), fresh.any(1)
     dh = np.zeros_like(h0)
     for k in range(len(x) - 1, -1, -1):
-        h, z, r, n, hn = keep[k]
         dh = dh + dh_out[k]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        dgate[k, :, :HIDDEN], dgate[k, :, HIDDEN : 2 * HIDDEN], dgate[k, :, 2 * HIDDEN :] = dz, dr, dn
-        dhu = np.concatenate([dz, dr, dn * r], 1)
-        du += h.T @ dhu
-        dh = (dh * z + dhu @ w["u"].T) * ~fresh[k][:, None]
+        dn = np.multiply(dh, by_n[k], out=dgate[k, :, 2 * HIDDEN :])
+        np.multiply(dh, by_z[k], out=dhu[k, :, :HIDDEN])
+        np.multiply(dn, by_r[k], out=dhu[k, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[k], out=dhu[k, :, 2 * HIDDEN :])
+        dh *= z[k]
+        dh += dhu[k] @ back
+        if began[k]:
+            dh *= ~fresh[k][:, None]
+    dgate[..., : 2 * HIDDEN] = dhu[..., : 2 * HIDDEN]
+    du = h.reshape(-1, HIDDEN).T @ dhu.reshape(-1, 3 * HIDDEN)
     flat, ids = dgate.reshape(-1, 3 * HIDDEN), x.ravel()
     emb = w["emb"][ids]
     demb = flat @ w["wx"].T
