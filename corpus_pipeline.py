@@ -1,13 +1,22 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
-from __future__ import annotations
+Every stage works on all rows that the one before kept; all but the last return the columns that
+they were given, extra ones too. A stage's files are deleted once the next one's are written.
+
+Edge cases: a document without text, or of white space alone, fails the quality rules (no words);
+null ids, languages and sources are values like any other; documents with one id and text are rows
+of their own until the near-dedup stage, which keeps one of each group of near copies, the one
+with the least id, and of rows that share it the one with the least hash of the text; columns named
+like the operators' own (row, id, key, limits) pass through; an empty table gives no rows of any
+stage. Without labels the classifier rejects nothing.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wayloom.llm import packing, quality_classifier, quality_rules, simhash
-from wayloom.llm.common import shared_dir, table
+from wayloom.llm.common import discarded, stored, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        out = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if read is not None:
+            discarded(read)
+        docs = read = out
     return docs
