@@ -11,15 +11,15 @@ from wayloom.operators import diff, display, graph, integrity, oplog, routing, r
 from wayloom.sources import json_map
 
 ROOMS = [
-    {"id": 1, "x": 0, "y": 0, "z": 0, "env": 1, "name": "Rynek Główny", "exits": {"e": 2, "n": 9}},
-    {"id": 2, "x": 1, "y": 0, "z": 0, "env": 2, "name": "Brama", "exits": {"w": 1, "e": 3}, "exit_weights": {"e": 4}, "special_exits": {"wejdz": 4}},
+    {"id": 1, "x": 0, "y": 0, "z": 0, "env": 1, "name": "Großer Market", "exits": {"e": 2, "n": 9}},
+    {"id": 2, "x": 1, "y": 0, "z": 0, "env": 2, "name": "Ferry Stairs", "exits": {"w": 1, "e": 3}, "exit_weights": {"e": 4}, "special_exits": {"squeeze": 4}},
     {"id": 3, "x": 2, "y": 0, "z": 0, "env": 2, "exits": {"w": 2}, "weight": 3},
-    {"id": 4, "x": 5, "y": 5, "z": 1, "env": 300, "name": "Wieża", "locked": True, "exits": {"down": 3}},
+    {"id": 4, "x": 5, "y": 5, "z": 1, "env": 300, "name": "Kiln", "locked": True, "exits": {"down": 3}},
 ]
 
 
 def document(rooms=ROOMS, **more):
-    return {"format": "arkmap", "format_version": 2, "meta": {"map_name": "t"}, "colors": {"env_colors": {"2": 9}, "custom_env_colors": {"300": [1, 2, 3]}}, "areas": [{"id": 7, "name": "Miasto", "rooms": rooms, "labels": []}]} | more
+    return {"format": "arkmap", "format_version": 2, "meta": {"map_name": "t"}, "colors": {"env_colors": {"2": 9}, "custom_env_colors": {"300": [1, 2, 3]}}, "areas": [{"id": 7, "name": "Harbour", "rooms": rooms, "labels": []}]} | more
 
 
 @pytest.fixture
@@ -34,7 +34,7 @@ def maps(spark, tmp_path):
 def test_tables(maps):
     t = json_map.exploded(maps())
     assert t.rooms.count() == 4 and t.areas.count() == 1 and t.exits.count() == 7
-    assert t.exits.filter("special").select("src", "key", "dst").collect() == [(2, "wejdz", 4)]
+    assert t.exits.filter("special").select("src", "key", "dst").collect() == [(2, "squeeze", 4)]
 
 
 def test_bad_json_fails(spark, tmp_path):
@@ -67,8 +67,18 @@ def test_routes(spark, maps, fits):
     assert costs == {1: 0.0, 2: 1.0, 3: 5.0}  # the tower is locked
     free = routing.shortest(walk(t, avoid_locked=False), sources, fits)
     assert {r.id: r.cost for r in free.collect()} == {1: 0.0, 2: 1.0, 3: 5.0, 4: 2.0}
-    path = routing.paths(free, spark.createDataFrame([(0, 1, 4), (0, 1, 77)], "map_id long, source long, target long"))
-    assert {r.target: r.path for r in path.collect()} == {4: [1, 2, 4], 77: None}
+    wanted = spark.createDataFrame([(0, 1, 4), (0, 1, 77), (0, 1, 1)], "map_id long, source long, target long")
+    assert {r.target: r.path for r in routing.routes(walk(t, avoid_locked=False), wanted, fits).collect()} == {4: [1, 2, 4], 1: [1]}
+    rides = spark.createDataFrame([(0, 1, 4, 0.5, "ship"), (0, 1, 3, 0.5, "cart"), (0, 1, 9, 0.1, "cart"), (0, 3, 2, -1.0, "cart")], "map_id long, src long, dst long, cost double, hop string")
+    rooms = t.rooms.withColumn("map_id", F.lit(0))
+    both = routing.with_rides(walk(t), rides, rooms)
+    assert {r.id: r.cost for r in routing.shortest(both, sources, fits).collect()} == {1: 0.0, 2: 1.0, 3: 0.5}  # no ride into the locked tower
+    points = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 3), (0, 0, 2, None), (0, 0, 3, 2)], "map_id long, plan long, pos long, room long")
+    found = routing.planned(points, both, fits)
+    assert [(r.leg, r.src, r.dst, r.hop) for r in routing.hops(found, both, ["leg"]).collect()] == [(0, 1, 3, "cart")]
+    assert [tuple(r)[2:] for r in routing.plan_totals(found).collect()] == [(1, True)]
+    open_ = routing.with_rides(walk(t), rides, rooms, avoid_locked=False)
+    assert {r.id: r.cost for r in routing.shortest(open_, sources, fits).collect()} == {1: 0.0, 2: 1.0, 3: 0.5, 4: 0.5}
     assert routing.shortest(walk(t, directions="cardinal", avoid_locked=False), sources, fits).count() == 3
 
 
@@ -94,23 +104,52 @@ def test_transport_problems(spark):
 def test_search(maps):
     rooms = json_map.exploded(maps()).rooms
     assert [r.id for r in search.rooms_like(rooms, "#4").collect()] == [4]
-    assert [r.id for r in search.rooms_like(rooms, "GŁÓWNY").collect()] == [1]
-    found = [(r.id, r.name, r.score) for r in search.scored(rooms, "miasto brama").collect()]
-    assert found == [(2, "Brama", 3)]
+    assert [r.id for r in search.rooms_like(rooms, "GROßER").collect()] == [1]
+    found = [(r.id, r.name, r.score) for r in search.scored(rooms, "harbour stairs").collect()]
+    assert found == [(2, "Ferry Stairs", 3)]
     assert [(r.id, r.score) for r in search.scored(rooms, "3").collect()][0] == (3, 999)
     assert search.scored(rooms, "  ").count() == 0
 
 
+def test_moves_wait_for_free_cells(spark):
+    kind = "map_id long, id long, area_id long, x long, y long, z long, name string"
+    room = lambda i, x, z=0: (0, i, 1, x, 0, z, "r")
+    before = [room(1, 1), room(2, 2), room(3, 3), room(4, 10), room(5, 11), room(6, 12), room(7, 20), room(8, 21), room(9, 30, None), room(11, 41), room(10, 40)]
+    after = [room(1, 2), room(2, 3), room(3, 4), room(4, 11), room(5, 12), room(6, 10), room(7, 21), room(8, 21, 5), room(9, 30), room(10, 50), room(11, 50)]
+    got = {r.id: (r.type, r.wave) for r in diff.moves(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()}
+    chain = {1: ("MOVE_ROOM", 2), 2: ("MOVE_ROOM", 1), 3: ("MOVE_ROOM", 0)}
+    circle = {4: ("EDIT_ROOM", 0), 6: ("MOVE_ROOM", 1), 5: ("MOVE_ROOM", 2)}  # 4 waits for 5, 5 for 6, 6 for 4
+    assert got == chain | circle | {7: ("MOVE_ROOM", 1), 8: ("MOVE_ROOM", 0), 10: ("MOVE_ROOM", 0), 11: ("EDIT_ROOM", 0)}
+
+
+def test_diff_by_kind_of_change(spark):
+    kind = "map_id long, id long, area_id long, x long, y long, z long, env long, symbol string, name string, tags array<string>, exits map<string,long>, exit_locks array<string>, special_exits map<string,long>, doors map<string,string>"
+    base = {i: dict(map_id=0, id=i, area_id=1, x=i, y=0, z=None, env=1, symbol=None, name="r", tags=None, exits={"e": i + 1}, exit_locks=None, special_exits=None, doors=None) for i in range(1, 8)}
+    base[6]["exits"] |= {"n": 7}  # room 7 goes, and its door and lock with it
+    base[6] |= {"doors": {"n": "open"}, "exit_locks": ["n"]}
+    new = {i: dict(r) for i, r in base.items() if i != 7}
+    new[6] |= {"exits": None, "doors": {}, "exit_locks": [], "z": 0, "symbol": "", "tags": []}
+    new[1] |= {"tags": ["a"], "x": 9, "env": 2, "exits": {}}
+    new[2] |= {"exits": {"e": 4, "w": 1}, "env": 5}
+    new[3] |= {"exits": {"w": 1}, "doors": {"w": "open"}, "symbol": "x"}
+    new[4] |= {"special_exits": {"climb": 2}}
+    new[5] |= {"env": 3, "y": 4}
+    make = lambda rows: spark.createDataFrame([[r[c.split()[0]] for c in kind.split(", ")] for r in rows.values()], kind)
+    a, b = make(base), make(new)
+    assert {(r.id, r.type) for r in diff.room_ops(a, b).collect()} == {(7, "DELETE_ROOM"), (1, "EDIT_ROOM"), (3, "EDIT_EXIT"), (4, "EDIT_EXIT"), (5, "MOVE_ROOM"), (5, "PAINT_BATCH")}
+    assert {(r.id, r.key, r.type) for r in diff.exit_ops(a, b).collect()} == {(2, "e", "DELETE_EXIT"), (2, "e", "ADD_EXIT"), (2, "w", "ADD_EXIT")}
+
+
 def test_diff_and_colors(maps):
     one = lambda doc, name: json_map.exploded(maps(doc, name).withColumn("map_id", F.lit("m")))
     before = one(None, "before.json")
     changed = [dict(r) for r in ROOMS[:3]]
-    changed[0]["name"], changed[1]["env"], changed[2]["x"] = "Rynek", 5, 8
+    changed[0]["name"], changed[1]["env"], changed[2]["x"] = "Old Market", 5, 8
+    del changed[1]["special_exits"]  # it led to room 4
     after = one(document([*changed, {"id": 5, "x": 0, "y": 9, "z": 0, "env": 1}]), "after.json")
     ops = diff.ordered(diff.room_ops(before.rooms, after.rooms), ["id"])
     assert [(r.type, r.id) for r in ops.orderBy("seq").collect()] == [("ADD_ROOM", 5), ("DELETE_ROOM", 4), ("MOVE_ROOM", 3), ("EDIT_ROOM", 1), ("PAINT_BATCH", 2)]
-    gone = ops.filter("type = 'DELETE_ROOM'").select("map_id", "id")
-    assert {(r.src, r.key, r.type) for r in diff.exit_ops(before.exits.filter("not special"), after.exits.filter("not special"), gone).collect()} == set()
+    assert {(r.id, r.key, r.type) for r in diff.exit_ops(before.rooms, after.rooms).collect()} == set()
     rgb = {r.id: r.rgb for r in display.colored(before.rooms, before.env_colors.withColumn("env", F.col("env").cast("int")), before.custom_colors.withColumn("env", F.col("env").cast("int"))).collect()}
     assert rgb == {1: [128, 0, 0], 2: [255, 0, 0], 3: [255, 0, 0], 4: [1, 2, 3]}
 
@@ -166,4 +205,7 @@ def test_routes_of_equal_cost_are_the_same_by_rounds(spark):
     small, large = ({tuple(x) for x in routing.shortest(edges, sources, fits).collect()} for fits in (routing.FITS, 0))
     assert small == large and (0, 5, 9, 2.0, 3) in large
     wanted = spark.createDataFrame([(0, 5, 9)], "map_id long, source long, target long")
-    assert routing.paths(routing.shortest(edges, sources, 0), wanted).first().path == [5, 3, 9]
+    assert routing.routes(edges, wanted, 0).first().path == [5, 3, 9]
+    pairs = spark.createDataFrame([(m, s, t) for m, s in ((0, 5), (1, 1), (1, 20), (2, 1), (2, 15)) for t in range(1, 26)], "map_id long, source long, target long")
+    small, large = ({(x.map_id, x.source, x.target, x.cost, *x.path) for x in routing.routes(edges, pairs, fits).collect()} for fits in (routing.FITS, 0))
+    assert small == large

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.operators.ordering import numbered
+
 
 def sessions(log: DataFrame) -> DataFrame:
     """log (log_id, seq, key, type, before, after) with ``session``: a deletion ends a key's chain, an addition begins one."""
@@ -30,13 +32,13 @@ def folded(log: DataFrame) -> DataFrame:
 
 def renumbered(ops: DataFrame) -> DataFrame:
     """ops with seq 1, 2, ... in the order of first_seq within each log."""
-    return ops.withColumn("seq", F.row_number().over(Window.partitionBy("log_id").orderBy("first_seq", "key")).cast("long"))
+    return numbered(ops, ["log_id"], ["first_seq", "key"])
 
 
 def symbolic(log: DataFrame) -> DataFrame:
     """Additions with ``sid``, d:1, d:2, ... in the log's order."""
-    adds = log.filter("type = 'add'")
-    return adds.withColumn("sid", F.concat(F.lit("d:"), F.row_number().over(Window.partitionBy("log_id").orderBy("seq")).cast("string")))
+    adds = numbered(log.filter("type = 'add'"), ["log_id"], ["seq"], "nth")
+    return adds.withColumn("sid", F.concat(F.lit("d:"), F.col("nth").cast("string"))).drop("nth")
 
 
 def references(log: DataFrame) -> DataFrame:
@@ -53,8 +55,7 @@ def references(log: DataFrame) -> DataFrame:
 
 def sequence_errors(log: DataFrame) -> DataFrame:
     """Operations whose number isn't their place in the log, from 1."""
-    place = F.row_number().over(Window.partitionBy("log_id").orderBy("pos"))
-    return log.withColumn("expected", place.cast("long")).filter(~F.col("seq").eqNullSafe(F.col("expected")))
+    return numbered(log, ["log_id"], ["pos"], "expected").filter(~F.col("seq").eqNullSafe(F.col("expected")))
 
 
 def applied(rooms: DataFrame, ops: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Shortest paths: Dijkstra within each small map, rounds of relaxation over large ones.
 
-A map whose edges number at most ``fits`` is one group of a grouped Arrow function, and many
-maps and sources run side by side. Larger maps relax by joins of the frontier with the edges,
-a round a step, with costs kept as a table; what grows with the map is never in one task.
+A map whose edges number at most ``fits`` is one group of a grouped Arrow function, cut by its
+sources so that no group's result grows without bound; many maps and sources run side by side.
+Larger maps relax by joins of the frontier with the edges, a round a step, with costs kept as a
+table; what grows with the map is never in one task.
 
 Both ways give the same predecessors. Of paths of equal cost the one whose end has fewer edges
 that add nothing counts as shorter, so that such edges make no circle, and of those the one with
@@ -13,109 +14,196 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges of a map that one task may hold.
-FITS = 2_000_000
+#: Edges of a map that one task may hold, and edges times sources.
+FITS, WORK = 1_000_000, 20_000_000
+#: Rounds after which a large map's costs are written anew.
+COMPACT = 8
 COSTS = "map_id long, source long, id long, cost double, previous long"
+ROUTES = "map_id long, source long, target long, cost double, path array<long>"
+KEY = ["map_id", "source", "id"]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
-def _dijkstra(edges: pa.Table, sources: pa.Table) -> pa.Table:
-    """Costs and predecessors from each source; of equal paths the least predecessor."""
-    near: dict = {}
-    for a, b, w in zip(*(edges.column(c).to_pylist() for c in ("src", "dst", "w"))):
-        near.setdefault(a, []).append((b, w))
-    out: list[tuple] = []
-    for m, s in zip(sources.column("map_id").to_pylist(), sources.column("source").to_pylist()):
-        cost, before, done, heap = {s: (0.0, 0)}, {s: None}, set(), [((0.0, 0), s)]
+class Graph:
+    """The edges of one map, by the room that they leave; rooms are numbered in the order of their ids."""
+
+    def __init__(self, edges: pa.Table, sources: np.ndarray):
+        src, dst, w = (edges.column(c).to_numpy() for c in ("src", "dst", "w"))
+        self.ids = np.unique(np.concatenate([src, dst, sources]))
+        order = np.argsort(src, kind="stable")
+        self.begin = np.searchsorted(src[order], np.append(self.ids, np.iinfo(np.int64).max)).tolist()
+        self.to, self.w = np.searchsorted(self.ids, dst[order]).tolist(), w[order].tolist()
+
+    def spread(self, source: int) -> tuple[list, list]:
+        """(cost, idle edges) of each room or None, and the room before it."""
+        best, before, done = [None] * len(self.ids), [-1] * len(self.ids), bytearray(len(self.ids))
+        s = int(np.searchsorted(self.ids, source))
+        best[s], heap = (0.0, 0), [((0.0, 0), s)]
         while heap:
             c, a = heapq.heappop(heap)
-            if a in done:
+            if done[a]:
                 continue
-            done.add(a)
-            for b, w in near.get(a, ()):
-                n, old = (c[0] + w, 0 if c[0] + w > c[0] else c[1] + 1), cost.get(b)
-                if b not in done and (old is None or n < old or (n == old and a < before[b])) and n[0] < float("inf"):
-                    cost[b], before[b] = n, a
-                    heapq.heappush(heap, (n, b))
-        out += [(m, s, i, c[0], before[i]) for i, c in cost.items()]
-    names = ["map_id", "source", "id", "cost", "previous"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            done[a] = 1
+            for k in range(self.begin[a], self.begin[a + 1]):
+                b = self.to[k]
+                if done[b]:
+                    continue
+                total = c[0] + self.w[k]
+                new, old = (total, 0 if total > c[0] else c[1] + 1), best[b]
+                if total < float("inf") and (old is None or new < old or (new == old and a < before[b])):
+                    best[b], before[b] = new, a
+                    heapq.heappush(heap, (new, b))
+        return best, before
+
+
+def _costs(edges: pa.Table, sources: pa.Table) -> pa.Table:
+    """Costs and predecessors from each source."""
+    wanted = sources.column("source").to_numpy()
+    graph, parts = Graph(edges, wanted), []
+    for m, s in zip(sources.column("map_id").to_pylist(), wanted.tolist()):
+        best, before = graph.spread(s)
+        at = np.flatnonzero([c is not None for c in best])
+        prev = np.array(before)[at]
+        parts.append(pa.table({
+            "map_id": pa.array(np.full(len(at), m)), "source": pa.array(np.full(len(at), s)), "id": pa.array(graph.ids[at]),
+            "cost": pa.array([best[i][0] for i in at.tolist()], pa.float64()), "previous": pa.array(graph.ids[prev], mask=prev < 0),
+        }))
+    empty = pa.schema([("map_id", pa.int64()), ("source", pa.int64()), ("id", pa.int64()), ("cost", pa.float64()), ("previous", pa.int64())])
+    return pa.concat_tables(parts) if parts else empty.empty_table()
+
+
+def _routes(edges: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The path to each wanted target; every source spreads once."""
+    rows = sorted(zip(*(wanted.column(c).to_pylist() for c in ("map_id", "source", "target"))))
+    graph, out, last = Graph(edges, np.array([r[1] for r in rows], np.int64)), [], None
+    for m, s, t in rows:
+        if s != last:
+            (best, before), last = graph.spread(s), s
+        at = int(np.searchsorted(graph.ids, t))
+        if at == len(graph.ids) or graph.ids[at] != t or best[at] is None:
+            continue
+        path, k = [], at
+        while k >= 0:
+            path.append(int(graph.ids[k]))
+            k = before[k]
+        out.append((m, s, t, best[at][0], path[::-1]))
+    names, kinds = ["map_id", "source", "target", "cost", "path"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=names)
 
 
+def _whole(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).cast("double" if c == "w" else "long").alias(c) for c in columns))
+
+
+def _by_size(edges: DataFrame, wanted: DataFrame, fits: int, small, schema: str, large) -> DataFrame:
+    """The results of the small maps' groups, and those that ``large`` gives for the other maps."""
+    edges = checkpointed(edges)
+    sizes = edges.groupBy("map_id").agg(F.count("*").alias("n_edges")).join(wanted.groupBy("map_id").agg(F.count("*").alias("n_wanted")), "map_id", "full_outer").na.fill(0)
+    sizes = checkpointed(sizes.select("map_id", "n_edges", F.ceil(F.col("n_edges") * F.col("n_wanted") / WORK).alias("blocks")))
+    many = sizes.filter(F.col("n_edges") > fits).select("map_id")
+    blocks = sizes.filter(F.col("n_edges") <= fits).select("map_id", F.greatest("blocks", F.lit(1)).cast("int").alias("blocks"))
+    own = wanted.join(blocks, "map_id").withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks"))).select(*wanted.columns, "block")
+    each = edges.join(blocks, "map_id").select(*edges.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    out = each.groupBy("map_id", "block").cogroup(own.groupBy("map_id", "block")).applyInArrow(small, schema)
+    if many.isEmpty():
+        return out
+    return out.unionByName(large(edges.join(many, "map_id", "left_semi"), wanted.join(many, "map_id", "left_semi")))
+
+
 def shortest(edges: DataFrame, sources: DataFrame, fits: int = FITS) -> DataFrame:
     """map_id, source, id, cost and previous room of every room that a source reaches.
 
     ``edges`` has map_id, src, dst and w; ``sources`` has map_id and source.
     """
-    edges = _checkpointed(edges.select(F.col("map_id").cast("long").alias("map_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
-    sources = sources.select(F.col("map_id").cast("long").alias("map_id"), F.col("source").cast("long").alias("source")).distinct()
-    large = _checkpointed(edges.groupBy("map_id").count().filter(F.col("count") > fits).select("map_id"))
-    grouped = lambda e, s: e.groupBy("map_id").cogroup(s.groupBy("map_id")).applyInArrow(_dijkstra, COSTS)
-    if large.isEmpty():
-        return grouped(edges, sources)
-    small = grouped(edges.join(large, "map_id", "left_anti"), sources.join(large, "map_id", "left_anti"))
-    return small.unionByName(relaxed(edges.join(large, "map_id", "left_semi"), sources.join(large, "map_id", "left_semi")))
+    return _by_size(_whole(edges, "map_id", "src", "dst", "w"), _whole(sources, "map_id", "source").distinct(), fits, _costs, COSTS, relaxed)
+
 
+def routes(edges: DataFrame, wanted: DataFrame, fits: int = FITS) -> DataFrame:
+    """map_id, source, target, the cost and the rooms of the path in order; wanted pairs without a path have no row."""
+    large = lambda e, w: paths(relaxed(e, w.select("map_id", "source").distinct()), w)
+    return _by_size(_whole(edges, "map_id", "src", "dst", "w"), _whole(wanted, "map_id", "source", "target").distinct(), fits, _routes, ROUTES, large)
 
-def with_rides(edges: DataFrame, rides: DataFrame) -> DataFrame:
-    """Walkable edges and virtual ones (map_id, src, dst, cost), such as rides or a caller's own; these pass any filter."""
-    walk = edges.select("map_id", "src", "dst", "w")
-    return walk.unionByName(rides.filter(F.col("cost") >= 0).select("map_id", "src", "dst", F.col("cost").alias("w")))
+
+def with_rides(edges: DataFrame, rides: DataFrame, rooms: DataFrame, avoid_locked: bool = True, is_locked: Column | None = None) -> DataFrame:
+    """Walkable edges and virtual ones (map_id, src, dst, cost and, if there is one, hop), such as rides or a caller's own.
+
+    No direction rules a virtual edge out, but it needs a cost of 0 or more and rooms of the map at
+    both ends, and none leads to a locked room unless these may be entered.
+    """
+    known = rooms.select("map_id", F.col("id").alias("dst"), F.coalesce(is_locked if is_locked is not None else F.col("locked"), F.lit(False)).alias("_shut")).groupBy("map_id", "dst").agg(F.bool_or("_shut").alias("_shut"))
+    hop = F.col("hop") if "hop" in rides.columns else F.lit("")
+    virtual = rides.filter(F.col("cost") >= 0).select("map_id", "src", "dst", F.col("cost").cast("double").alias("w"), hop.alias("hop"))
+    virtual = virtual.join(known, ["map_id", "dst"]).join(known.select("map_id", F.col("dst").alias("src")), ["map_id", "src"], "left_semi")
+    virtual = virtual.filter(~F.col("_shut")) if avoid_locked else virtual
+    walk = edges.select("map_id", "src", "dst", F.col("w").cast("double").alias("w"), F.lit(None).cast(virtual.schema["hop"].dataType).alias("hop"))
+    return walk.unionByName(virtual.select("map_id", "src", "dst", "w", "hop"))
 
 
 def relaxed(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """The same by rounds: rooms whose cost fell reach their neighbours, and the least cost stays.
+    """The same costs by rounds: rooms whose cost fell reach their neighbours, and the least cost stays.
 
     An equal path found in a later round replaces the predecessor alone if it has a lesser one.
+    Rounds write what they improve; all costs are written anew every COMPACT rounds.
     """
-    best = _checkpointed(sources.select("map_id", "source", F.col("source").alias("id"), F.lit(0.0).alias("cost"), F.lit(0).alias("idle"), F.lit(None).cast("long").alias("previous")))
-    front = best
-    while not front.isEmpty():
-        step = front.select("map_id", "source", F.col("id").alias("src"), F.col("cost").alias("so_far"), "idle").join(edges, ["map_id", "src"])
-        cost = F.col("so_far") + F.col("w")
-        step = step.select("map_id", "source", F.col("dst").alias("id"), cost.alias("cost"), F.when(cost > F.col("so_far"), 0).otherwise(F.col("idle") + 1).alias("idle"), F.col("src").alias("previous")).filter(F.col("cost") < float("inf"))
-        new = step.groupBy("map_id", "source", "id").agg(F.min(F.struct("cost", "idle", "previous")).alias("new"))
-        old = best.select("map_id", "source", "id", F.struct("cost", "idle", "previous").alias("old"))
-        both = _checkpointed(old.join(new, ["map_id", "source", "id"], "full_outer"))
-        length = lambda c: F.struct(f"{c}.cost", f"{c}.idle")
-        shorter = F.col("new").isNotNull() & (F.col("old").isNull() | (length("new") < length("old")))
-        better = shorter | (F.col("new").isNotNull() & (length("new") == length("old")) & (F.col("new.previous") < F.col("old.previous")))
-        front = both.filter(shorter).select("map_id", "source", "id", "new.cost", "new.idle", "new.previous")
-        best = both.select("map_id", "source", "id", F.when(better, F.col("new")).otherwise(F.col("old")).alias("b")).select("map_id", "source", "id", "b.cost", "b.idle", "b.previous")
-    return best.drop("idle")
+    kind = "struct<cost:double,idle:int,previous:long>"
+    best = checkpointed(sources.select("map_id", "source", F.col("source").alias("id"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("idle"), F.lit(None).alias("previous")).cast(kind).alias("b")))
+    front, recent = best, []
+    while True:
+        step = front.select("map_id", "source", F.col("id").alias("src"), "b").join(edges, ["map_id", "src"])
+        cost = F.col("b.cost") + F.col("w")
+        new = F.struct(cost.alias("cost"), F.when(cost > F.col("b.cost"), 0).otherwise(F.col("b.idle") + 1).alias("idle"), F.col("src").alias("previous")).cast(kind)
+        new = step.select("map_id", "source", F.col("dst").alias("id"), F.lit(None).cast(kind).alias("old"), new.alias("new")).filter(F.col("new.cost") < float("inf"))
+        old = reduce(DataFrame.unionByName, [best, *recent]).select(*KEY, F.col("b").alias("old"), F.lit(None).cast(kind).alias("new"))
+        both = old.unionByName(new).groupBy(*KEY).agg(F.min("old").alias("old"), F.min("new").alias("new")).filter("new is not null")
+        shorter = F.col("old").isNull() | (F.struct("new.cost", "new.idle") < F.struct("old.cost", "old.idle"))
+        better = checkpointed(both.filter(shorter | (F.col("new") < F.col("old"))).select(*KEY, F.col("new").alias("b"), shorter.alias("shorter")))
+        front = better.filter("shorter").drop("shorter")
+        recent.append(better.drop("shorter"))
+        last = front.isEmpty()
+        if last or len(recent) == COMPACT:
+            best, recent = checkpointed(reduce(DataFrame.unionByName, [best, *recent]).groupBy(*KEY).agg(F.min("b").alias("b"))), []
+        if last:
+            return best.select(*KEY, "b.cost", "b.previous")
 
 
 def paths(costs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """map_id, source, target, the cost and the rooms of the path in order; null where there is none.
+    """The paths that predecessors give, as ``routes`` has them.
 
-    Every step back is one join of all wanted paths with the predecessors.
+    Jumps of 1, 2, 4, ... rooms back are made by doubling, and the rooms of all wanted paths by
+    them, the longest first; so there are as many joins as the length of the longest path has bits.
     """
-    back = costs.select("map_id", "source", F.col("id").alias("at"), "previous", "cost")
-    start = wanted.join(back.withColumnRenamed("at", "target").withColumnRenamed("cost", "total"), ["map_id", "source", "target"], "left")
-    done = start.filter("previous is null").select("map_id", "source", "target", F.col("total").alias("cost"), F.when(F.col("total").isNotNull(), F.array("target")).alias("path"))
-    open_ = _checkpointed(start.filter("previous is not null").select("map_id", "source", "target", F.col("total").alias("cost"), F.col("previous").alias("at"), F.array("target").alias("path")))
-    parts = [done]
-    while not open_.isEmpty():
-        step = open_.join(back.drop("cost"), ["map_id", "source", "at"]).withColumn("path", F.array_insert("path", 1, F.col("at")))
-        step = _checkpointed(step)
-        parts.append(step.filter("previous is null").select("map_id", "source", "target", "cost", "path"))
-        open_ = step.filter("previous is not null").select("map_id", "source", "target", "cost", F.col("previous").alias("at"), "path")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    own = ["map_id", "source"]
+    jumps = [costs.filter("previous is not null").select(*own, F.col("id").alias("at"), F.col("previous").alias("to"))]
+    while True:
+        one = jumps[-1]
+        two = checkpointed(one.withColumnRenamed("to", "mid").join(one.select(*own, F.col("at").alias("mid"), "to"), [*own, "mid"]).select(*own, "at", "to"))
+        if two.isEmpty():
+            break
+        jumps.append(two)
+    start = wanted.join(costs.select(*own, F.col("id").alias("target"), "cost"), [*own, "target"])
+    on = start.select(*own, "target", "cost", F.col("target").alias("at"), F.lit(0).cast("long").alias("back"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        on = checkpointed(on)
+        far = on.join(jump, [*own, "at"]).select(*own, "target", "cost", F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back"))
+        on = on.unionByName(far)
+    path = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), "at"))), lambda x: x["at"])
+    return on.groupBy(*own, "target").agg(F.max("cost").alias("cost"), path.alias("path"))
 
 
 def legs(waypoints: DataFrame) -> DataFrame:
@@ -129,8 +217,17 @@ def planned(waypoints: DataFrame, edges: DataFrame, fits: int = FITS) -> DataFra
     """Each leg's path and cost; a leg with a null end has neither, and makes no plan incomplete."""
     wanted = legs(waypoints)
     full = wanted.filter("source is not null and target is not null")
-    found = paths(shortest(edges, full.select("map_id", "source"), fits), full.select("map_id", "source", "target").distinct())
-    return wanted.join(found, ["map_id", "source", "target"], "left")
+    return wanted.join(routes(edges, full, fits), ["map_id", "source", "target"], "left")
+
+
+def hops(found: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """key, step, src, dst, w and hop of every step of the paths; a step on foot has no hop.
+
+    Of parallel edges a step takes the cheapest, and of those one on foot.
+    """
+    step = found.select("map_id", *key, F.posexplode("path").alias("step", "src"), "path").withColumn("dst", F.try_element_at("path", F.col("step") + 2)).filter("dst is not null").drop("path")
+    best = edges.groupBy("map_id", "src", "dst").agg(F.min(F.struct("w", "hop")).alias("e"))
+    return step.join(best, ["map_id", "src", "dst"]).select("map_id", *key, "step", "src", "dst", "e.w", "e.hop")
 
 
 def plan_totals(found: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def shortest_path_cost(spark, sf):
 
 @query(None, map_id="long", source="long", id="long", cost="double")
 def shortest_path_cost_by_rounds(spark, sf):
-    """The way of large maps, over the first two maps' worth of sources."""
+    """The way of large maps, over all of them."""
     return routing.shortest(_walk(spark, sf), _firsts(spark, sf), fits=0)
 
 
@@ -138,9 +138,9 @@ def _waypoints(spark, sf):
     return base.select("map_id", F.lit(0).alias("plan"), F.posexplode(F.array(F.col("source"), F.col("source") + 101, F.lit(None).cast("long"), F.col("source") + 202, F.col("source") + 303)).alias("pos", "room"))
 
 
-@query(None, map_id="long", plan="long", leg="long", source="long", target="long", cost="double", steps="long")
+@query(None, map_id="long", plan="long", leg="long", source="long", target="long", cost="double", rooms="string")
 def plan_route_legs(spark, sf):
-    return routing.planned(_waypoints(spark, sf), _walk(spark, sf)).withColumn("steps", F.size("path") - 1)
+    return routing.planned(_waypoints(spark, sf), _walk(spark, sf)).withColumn("rooms", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
 @query(None, map_id="long", plan="long", total_steps="long", complete="boolean")
@@ -153,6 +153,26 @@ def special_steps(spark, sf):
     return routing.special_steps(routing.planned(_waypoints(spark, sf), _walk(spark, sf)), grid.exits(spark, sf))
 
 
+#: From legs (map_id, leg, source, target) and edges walk: costs, the least predecessor of each room, and the steps of each leg's path from its end.
+_PATHS = """spread(map_id, source, id, cost) USING KEY (map_id, source, id) AS (SELECT DISTINCT map_id, source, source, 0::DOUBLE FROM leg WHERE target IS NOT NULL AND source IS NOT NULL
+  UNION SELECT s.map_id, s.source, w.dst, min(s.cost + w.w) FROM spread s JOIN walk w ON w.map_id = s.map_id AND w.src = s.id LEFT JOIN recurring.spread r ON r.map_id = s.map_id AND r.source = s.source AND r.id = w.dst WHERE r.cost IS NULL OR s.cost + w.w < r.cost GROUP BY s.map_id, s.source, w.dst),
+prev AS (SELECT b.map_id, b.source, b.id, min(w.src) AS previous FROM spread a JOIN walk w ON w.map_id = a.map_id AND w.src = a.id JOIN spread b ON b.map_id = a.map_id AND b.source = a.source AND b.id = w.dst AND a.cost + w.w = b.cost AND b.id <> b.source GROUP BY ALL),
+back(map_id, leg, source, target, src, dst, k) AS (SELECT l.map_id, leg, l.source, target, previous, id, 1 FROM leg l JOIN prev p ON p.map_id = l.map_id AND p.source = l.source AND p.id = l.target
+  UNION ALL SELECT b.map_id, leg, b.source, target, previous, b.src, k + 1 FROM back b JOIN prev p ON p.map_id = b.map_id AND p.source = b.source AND p.id = b.src)"""
+_LEGS = f"""first AS (SELECT map_id, min(id) AS id FROM rooms GROUP BY map_id), point AS (SELECT map_id, pos, id + [0, 101, NULL, 202, 303][pos + 1] AS room FROM first, (SELECT unnest(range(5)) AS pos)),
+leg AS (SELECT map_id, pos AS leg, room AS source, next AS target FROM (SELECT *, lead(room) OVER p AS next, lead(pos) OVER p AS more FROM point WINDOW p AS (PARTITION BY map_id ORDER BY pos)) WHERE more IS NOT NULL),
+walk AS ({_WALK}), {_PATHS},
+legs_found AS (SELECT l.*, s.cost, coalesce((SELECT max(k) FROM back b WHERE b.map_id = l.map_id AND b.leg = l.leg), CASE WHEN s.cost IS NOT NULL THEN 0 END) AS steps FROM leg l LEFT JOIN spread s ON s.map_id = l.map_id AND s.source = l.source AND s.id = l.target)"""
+for _name, _select in {
+    "plan_route_legs": """SELECT map_id::BIGINT AS map_id, 0::BIGINT AS plan, leg, source::BIGINT AS source, target::BIGINT AS target, cost,
+  CASE WHEN cost IS NOT NULL THEN concat_ws(',', source, (SELECT string_agg(dst, ',' ORDER BY k DESC) FROM back b WHERE b.map_id = l.map_id AND b.leg = l.leg)) END AS rooms FROM legs_found l""",
+    "plan_route_totals": "SELECT map_id::BIGINT AS map_id, 0::BIGINT AS plan, coalesce(sum(steps), 0)::BIGINT AS total_steps, bool_and(source IS NULL OR target IS NULL OR cost IS NOT NULL) AS complete FROM legs_found GROUP BY map_id",
+    "special_steps": """SELECT b.map_id::BIGINT AS map_id, 0::BIGINT AS plan, leg, count(*) FILTER (only_special)::BIGINT AS special_steps FROM back b
+  LEFT JOIN (SELECT map_id, src, dst, bool_and(special) AS only_special FROM exits GROUP BY ALL) e ON e.map_id = b.map_id AND e.src = b.src AND e.dst = b.dst GROUP BY b.map_id, leg""",
+}.items():
+    SQL[_name] = grid.SQL.rstrip() + ",\n" + _LEGS + "\n" + _select
+
+
 @query(None, map_id="long", source="long", id="long", steps="long")
 def k_hop_reach(spark, sf):
     return routing.reach(_walk(spark, sf), _firsts(spark, sf), 4)
@@ -182,18 +202,39 @@ def transport_edges_aggressive(spark, sf):
     return _rides(spark, sf, "aggressive")
 
 
+def _ridden(spark, sf):
+    """Edges over all maps as one, on foot and by rides, whose hop is the line."""
+    one = F.lit(0).cast("long").alias("map_id")
+    rooms = grid.rooms(spark, sf).withColumn("map_id", one)
+    return routing.with_rides(_walk(spark, sf).withColumn("map_id", one), _rides(spark, sf, "normal").withColumn("hop", F.col("line")), rooms)
+
+
+_RIDDEN = f"SELECT 0 AS map_id, src, dst, w, NULL AS hop FROM adj WHERE NOT lk AND NOT dst_locked UNION ALL SELECT 0, src, dst, cost, line FROM ({_RIDES.format(ratio=0.5, penalty=30)}) t JOIN rooms r ON r.id = t.dst AND NOT r.locked"
+
+
 @query(None, source="long", id="long", cost="double")
 def route_transports(spark, sf):
     """Costs from the first room over all maps as one, on foot and by rides."""
-    one = F.lit(0).cast("long").alias("map_id")
-    edges = routing.with_rides(_walk(spark, sf).withColumn("map_id", one), _rides(spark, sf, "normal"))
-    return routing.shortest(edges, spark.range(1).select(one, F.lit(1).cast("long").alias("source")))
+    return routing.shortest(_ridden(spark, sf), spark.range(1).select(F.lit(0).alias("map_id"), F.lit(1).alias("source")))
 
 
 SQL["route_transports"] = grid.SQL.rstrip() + f""",
-step AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM adj WHERE NOT lk AND NOT dst_locked UNION ALL SELECT src, dst, cost FROM ({_RIDES.format(ratio=0.5, penalty=30)})) GROUP BY ALL),
-spread(id, cost) USING KEY (id) AS (SELECT 1::BIGINT, 0::DOUBLE UNION SELECT b.dst, min(s.cost + b.w) FROM spread s JOIN step b ON b.src = s.id LEFT JOIN recurring.spread r ON r.id = b.dst WHERE r.cost IS NULL OR s.cost + b.w < r.cost GROUP BY b.dst)
-SELECT 1::BIGINT AS source, id::BIGINT AS id, cost::DOUBLE AS cost FROM spread"""
+leg AS (SELECT 0 AS map_id, 0 AS leg, 1::BIGINT AS source, 1::BIGINT AS target), walk AS ({_RIDDEN}), {_PATHS}
+SELECT source, id::BIGINT AS id, cost FROM spread"""
+
+
+@query(None, leg="long", step="long", src="long", dst="long", w="double", hop="long")
+def route_hops(spark, sf):
+    """The steps of three legs, each on foot or by a line."""
+    points = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 78), (0, 0, 2, 140), (0, 0, 3, 15)], "map_id long, plan long, pos long, room long")
+    edges = routing.checkpointed(_ridden(spark, sf))
+    return routing.hops(routing.planned(points, edges), edges, ["leg"])
+
+
+SQL["route_hops"] = grid.SQL.rstrip() + f""",
+leg AS (SELECT 0 AS map_id, * FROM (VALUES (0, 1::BIGINT, 78::BIGINT), (1, 78, 140), (2, 140, 15)) AS x(leg, source, target)), walk AS ({_RIDDEN}), {_PATHS},
+best AS (SELECT src, dst, min(w) AS w, min(hop) AS hop, bool_or(hop IS NULL) AS foot FROM walk JOIN (SELECT src, dst, min(w) AS w FROM walk GROUP BY ALL) USING (src, dst, w) GROUP BY src, dst)
+SELECT leg::BIGINT AS leg, (max(k) OVER (PARTITION BY leg) - k)::BIGINT AS step, src, dst, w, CASE WHEN NOT foot THEN hop END::BIGINT AS hop FROM back JOIN best USING (src, dst)"""
 
 
 # ---- search ----
@@ -248,8 +289,12 @@ def diff_overlap(spark, sf):
     return diff.overlap(grid.snapshot(spark, sf, False), grid.snapshot(spark, sf, True), ["map_id", "id"])
 
 
+def _both(spark, sf, table=grid.snapshot):
+    return table(spark, sf, False), table(spark, sf, True)
+
+
 def _ops(spark, sf):
-    return diff.room_ops(grid.snapshot(spark, sf, False), grid.snapshot(spark, sf, True))
+    return diff.room_ops(*_both(spark, sf))
 
 
 @query("SELECT id, type FROM ops", id="long", type="string")
@@ -267,28 +312,50 @@ def diff_paint_groups(spark, sf):
     return diff.paint_groups(_ops(spark, sf))
 
 
-@query("SELECT id, type, row_number() OVER (ORDER BY CASE type WHEN 'ADD_ROOM' THEN 1 WHEN 'MOVE_ROOM_TO_AREA' THEN 2 WHEN 'DELETE_ROOM' THEN 3 WHEN 'MOVE_ROOM' THEN 4 WHEN 'EDIT_ROOM' THEN 5 ELSE 6 END, id) AS seq FROM ops", id="long", type="string", seq="long")
+@query("SELECT id, type, row_number() OVER (ORDER BY CASE type WHEN 'ADD_ROOM' THEN 1 WHEN 'MOVE_ROOM_TO_AREA' THEN 2 WHEN 'DELETE_ROOM' THEN 3 WHEN 'MOVE_ROOM' THEN 4 WHEN 'EDIT_ROOM' THEN 5 WHEN 'EDIT_EXIT' THEN 6 ELSE 7 END, id) AS seq FROM ops", id="long", type="string", seq="long")
 def diff_ordered(spark, sf):
     return diff.ordered(_ops(spark, sf), ["id"])
 
 
-@query("SELECT src, key, unnest(list_filter([CASE WHEN d0 IS NOT NULL THEN 'DELETE_EXIT' END, CASE WHEN d1 IS NOT NULL THEN 'ADD_EXIT' END], lambda t: t IS NOT NULL)) AS type FROM (SELECT a.src, a.key, CASE WHEN a.dst % 9 <> 0 AND a.src % 9 <> 0 THEN a.dst END AS d0, CASE WHEN a.src % 9 <> 0 AND a.dst % 9 <> 0 THEN CASE WHEN a.src % 8 = 0 THEN a.dst + 1 ELSE a.dst END END AS d1 FROM exits a WHERE NOT special) WHERE d0 IS DISTINCT FROM d1", src="long", key="string", type="string")
+@query("SELECT env_before, env_after, symbol_before, symbol_after, id FROM ops WHERE type = 'PAINT_BATCH'", env_before="long", env_after="long", symbol_before="string", symbol_after="string", id="long")
+def diff_paint_changes(spark, sf):
+    return diff.paint_changes(_ops(spark, sf))
+
+
+@query("SELECT id, key, unnest(list_filter([CASE WHEN d0 IS NOT NULL THEN 'DELETE_EXIT' END, CASE WHEN d1 IS NOT NULL THEN 'ADD_EXIT' END], lambda t: t IS NOT NULL)) AS type, d0, d1 FROM (SELECT id, ['n', 'e', 's', 'w'][i] AS key, to0[i] AS d0, to1[i] AS d1 FROM flags, (SELECT unnest(range(1, 5)) AS i) WHERE NOT fresh AND NOT gone AND NOT edited AND exits AND NOT doors) WHERE d0 IS DISTINCT FROM d1", id="long", key="string", type="string", d0="long", d1="long")
 def diff_exits(spark, sf):
-    before = grid.exits(spark, sf).filter(~F.col("special"))
-    gone = grid.rooms(spark, sf).filter("id % 9 = 0")
-    last = grid.table(spark, sf, "customer").count()
-    gone = gone.select("map_id", "id").unionByName(before.filter(f"dst % 9 = 0 and dst > {last}").select("map_id", F.col("dst").alias("id"))).unionByName(before.filter("dst % 9 = 0").select("map_id", F.col("dst").alias("id"))).distinct()
-    after = before.filter("src % 9 <> 0 and dst % 9 <> 0").withColumn("dst", F.when(F.col("src") % 8 == 0, F.col("dst") + 1).otherwise(F.col("dst")))
-    return diff.exit_ops(before, after, gone)
+    return diff.exit_ops(*_both(spark, sf)).withColumnsRenamed({"dst_before": "d0", "dst_after": "d1"})
 
 
-@query("SELECT r.id, NOT EXISTS (SELECT 1 FROM rooms o WHERE o.map_id = r.map_id AND o.area_id = r.area_id AND o.x = r.x + 1 AND o.y = r.y AND o.z = r.z) AS free FROM rooms r", id="long", free="boolean")
-def diff_move_targets(spark, sf):
-    rooms = grid.rooms(spark, sf)
-    return diff.blocked_moves(rooms.select("map_id", "id", "area_id", (F.col("x") + 1).alias("x"), "y", "z"), rooms)
+@query("SELECT id, key, CASE WHEN a IS NULL THEN 'ADD_CL' WHEN b IS NULL THEN 'DELETE_CL' ELSE 'EDIT_CL' END AS type, coalesce(b, a) = 0 AS suppressor FROM (SELECT id, ['n', 'e'][i] AS key, line0[i] AS a, line1[i] AS b FROM flags, (SELECT unnest(range(1, 3)) AS i) WHERE NOT fresh AND NOT gone AND NOT edited AND NOT exits AND NOT doors) WHERE a IS DISTINCT FROM b", id="long", key="string", type="string", suppressor="boolean")
+def diff_lines(spark, sf):
+    return diff.line_ops(*_both(spark, sf))
+
+
+@query("""WITH go AS (SELECT id, to_area, x0, x1, y1 FROM flags WHERE NOT fresh AND NOT gone AND NOT edited AND place), stay AS (SELECT area_id, x, y FROM o1 WHERE id NOT IN (SELECT id FROM go))
+    SELECT id, CASE WHEN forced THEN 'EDIT_ROOM' ELSE 'MOVE_ROOM' END AS type, (NOT forced AND waits)::INT AS wave FROM (SELECT g.id, EXISTS (SELECT 1 FROM stay s WHERE s.area_id = g.to_area AND s.x = g.x1 AND s.y = g.y1) OR EXISTS (SELECT 1 FROM go o WHERE o.id < g.id AND o.to_area = g.to_area AND o.x1 = g.x1 AND o.y1 = g.y1) AS forced,
+    EXISTS (SELECT 1 FROM go o WHERE o.to_area = g.to_area AND o.x0 = g.x1 AND o.y1 = g.y1) AS waits FROM go g)""", id="long", type="string", wave="long")
+def diff_moves(spark, sf):
+    return diff.moves(*_both(spark, sf))
+
+
+@query("SELECT coalesce(a.k, b.k) AS id, CASE WHEN a.k IS NULL THEN 'ADD_AREA' WHEN b.k IS NULL THEN 'DELETE_AREA' ELSE 'EDIT_AREA' END AS type FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 10 <> 0) a FULL JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 10 <> 1) b USING (k) WHERE a.k IS NULL OR b.k IS NULL OR k % 7 = 0 OR k % 11 = 0", id="long", type="string")
+def diff_areas(spark, sf):
+    return diff.area_ops(*_both(spark, sf, grid.areas))
+
+
+@query("SELECT s_suppkey AS env, 'EDIT_ENV_COLOR' AS type FROM supplier WHERE s_suppkey % 10 <= 1 OR (s_suppkey % 5 = 0 AND s_suppkey % 256 <> 255 - s_suppkey % 256)", env="long", type="string")
+def diff_colors(spark, sf):
+    return diff.color_ops(*_both(spark, sf, grid.colors))
+
+
+@query("SELECT p_partkey AS id, p_partkey % 25 AS area_id, CASE WHEN p_partkey % 10 = 0 THEN 'ADD_LABEL' WHEN p_partkey % 10 = 1 THEN 'DELETE_LABEL' WHEN p_partkey % 13 = 0 THEN 'EDIT_LABEL' WHEN p_partkey % 6 = 0 THEN 'RESIZE_LABEL' WHEN p_partkey % 5 = 0 THEN 'MOVE_LABEL' END AS type FROM part WHERE type IS NOT NULL", id="long", area_id="long", type="string")
+def diff_labels(spark, sf):
+    return diff.label_ops(*_both(spark, sf, grid.labels))
 
 
-@query("SELECT id, list_filter([CASE WHEN a.area_id <> b.area_id THEN 'area_id' END, CASE WHEN a.x <> b.x THEN 'x' END, CASE WHEN a.env <> b.env THEN 'env' END, CASE WHEN a.name <> b.name THEN 'name' END], lambda f: f IS NOT NULL) AS f, array_to_string(list_sort(f), ',') AS fields FROM o0 a JOIN o1 b USING (id) WHERE len(f) > 0", id="long", fields="string")
+@query("""SELECT id, list_filter([CASE WHEN a.area_id <> b.area_id THEN 'area_id' END, CASE WHEN a.x <> b.x THEN 'x' END, CASE WHEN a.z IS DISTINCT FROM b.z THEN 'z' END, CASE WHEN a.env <> b.env THEN 'env' END, CASE WHEN a.name <> b.name THEN 'name' END, CASE WHEN a.notes <> b.notes THEN 'notes' END,
+    CASE WHEN a.n <> b.n OR a.e IS DISTINCT FROM b.e OR raw_w <> b.door_w OR b.s IS NOT NULL THEN 'exits' END, CASE WHEN a.door_n IS DISTINCT FROM b.door_n OR raw_w <> b.door_w THEN 'doors' END, CASE WHEN a.line_n IS DISTINCT FROM b.line_n OR b.line_e IS NOT NULL THEN 'custom_lines' END], lambda f: f IS NOT NULL) AS f, array_to_string(list_sort(f), ',') AS fields FROM o0 a JOIN o1 b USING (id) WHERE len(f) > 0""", id="long", fields="string")
 def canonical_changed_fields(spark, sf):
     found = canonical.changed_rooms(grid.snapshot(spark, sf, False), grid.snapshot(spark, sf, True))
     return found.select("id", F.array_join(F.array_sort("fields"), ",").alias("fields"))

@@ -75,17 +75,48 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
-    """Orders as rooms of two versions: some only in one, some changed."""
+    """Orders as rooms of two versions: some only in one, some changed, some that differ by defaults alone."""
     k = F.col("o_orderkey")
-    there = k % 10 != 1 if new else k % 10 != 0
-    pick = lambda changed, was: F.when(changed, was + 1).otherwise(was) if new else was
-    base = table(spark, sf_dir, "orders").filter(there)
+    pick = lambda changed, was, then: F.when(changed, then).otherwise(was) if new else was
+    either = lambda was, then: then if new else was
+    entries = lambda *pairs: F.map_from_entries(F.filter(F.array(*(F.when(on, F.struct(F.lit(key).alias("key"), value.alias("value"))) for key, on, value in pairs)), lambda e: e.isNotNull()))
+    line = lambda y: F.struct(F.when(y == 0, F.array().cast("array<array<double>>")).otherwise(F.array(F.array(F.lit(1.0), y.cast("double")))).alias("points"), F.lit(None).cast("array<int>").alias("color"), F.lit(either("solid", None)).cast("string").alias("style"), F.lit(either(False, None)).cast("boolean").alias("arrow"))
+    west = (k % 3 == 0) & ((k + 3) % 10 != 1) if new else k % 3 == 0
+    base = table(spark, sf_dir, "orders").filter(k % 10 != 1 if new else k % 10 != 0)
     return base.select(
-        F.lit(0).cast("long").alias("map_id"), k.alias("id"), pick(k % 19 == 0, F.col("o_custkey") % 25).alias("area_id"), pick(k % 5 == 0, k % ROW).alias("x"), F.expr(f"o_orderkey div {ROW}").alias("y"), F.lit(0).cast("long").alias("z"),
-        pick(k % 6 == 0, k % 4).alias("env"), F.col("o_orderstatus").alias("symbol"), (F.when(k % 7 == 0, F.lit("renamed")).otherwise(F.col("o_orderpriority")) if new else F.col("o_orderpriority")).alias("name"), F.lit(1).cast("long").alias("weight"), F.lit(False).alias("locked"),
+        F.lit(0).cast("long").alias("map_id"), k.alias("id"), pick(k % 19 == 0, F.col("o_custkey") % 25, F.col("o_custkey") % 25 + 1).alias("area_id"), pick(k % 5 <= 1, k % ROW, k % ROW + 1).alias("x"), F.expr(f"o_orderkey div {ROW}").alias("y"),
+        either(F.when(k % 4 > 0, F.lit(0)), F.lit(0)).cast("long").alias("z"), pick(k % 6 == 0, k % 4, k % 4 + 1).alias("env"), F.when(k % 8 == 3, F.lit(either(None, ""))).otherwise(F.col("o_orderstatus")).alias("symbol"),
+        pick(k % 7 == 0, F.col("o_orderpriority"), F.lit("renamed")).alias("name"), pick(k % 11 == 0, F.lit(""), F.lit("seen")).alias("notes"), F.lit(either(1, None)).cast("long").alias("weight"), F.lit(either(False, None)).cast("boolean").alias("locked"),
+        entries(("n", F.lit(True), pick(k % 13 == 0, k + 1, k + 2)), ("e", (k % 2 == 0) & (k % 17 != 0) if new else k % 2 == 0, k + 10), ("w", west, k + 3), ("s", k % 23 == 0 if new else F.lit(False), k + 5)).alias("exits"),
+        entries(("n", k % 3 == 0, pick(k % 29 == 0, F.lit("open"), F.lit("closed"))), ("w", west, F.lit("locked"))).alias("doors"),
+        entries(("n", (k % 2 == 0) & (k % 37 != 0) if new else k % 2 == 0, line(pick(k % 31 == 0, F.lit(2), F.lit(3)))), ("e", k % 41 == 0 if new else F.lit(False), line(F.lit(0)))).alias("custom_lines"),
     )
 
 
+def areas(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """Nations as the areas of two versions."""
+    k = F.col("n_nationkey")
+    base = table(spark, sf_dir, "nation").filter(k % 10 != 1 if new else k % 10 != 0)
+    data = F.when(k % 11 == 0, F.create_map(F.lit("a"), F.lit("1"))) if new else F.lit(None)
+    return base.select(F.lit(0).cast("long").alias("map_id"), k.cast("long").alias("id"), (F.when(k % 7 == 0, F.lit("renamed")).otherwise(F.col("n_name")) if new else F.col("n_name")).alias("name"), data.cast("map<string,string>").alias("user_data"))
+
+
+def labels(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """Parts as the labels of two versions."""
+    k = F.col("p_partkey")
+    more = lambda n: F.when(k % n == 0, 1).otherwise(0) if new else F.lit(0)
+    base = table(spark, sf_dir, "part").filter(k % 10 != 1 if new else k % 10 != 0)
+    return base.select(F.lit(0).cast("long").alias("map_id"), (k % 25).alias("area_id"), k.alias("id"), (k % 50 + more(5)).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("z"), (k % 7 + more(6)).cast("double").alias("width"), F.lit(1.0).alias("height"), (F.when(k % 13 == 0, F.lit("renamed")).otherwise(F.col("p_name")) if new else F.col("p_name")).alias("text"))
+
+
+def colors(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """Suppliers as the colours of two versions."""
+    k = F.col("s_suppkey")
+    base = table(spark, sf_dir, "supplier").filter(k % 10 != 1 if new else k % 10 != 0)
+    red = F.when(k % 5 == 0, 255 - k % 256).otherwise(k % 256) if new else k % 256
+    return base.select(F.lit(0).cast("long").alias("map_id"), k.alias("env"), F.array(red, F.lit(10).cast("long"), F.lit(20).cast("long")).alias("rgb"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rooms whose names are texts and whose areas are sources."""
     return table(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("map_id"), F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("area_title"), F.lit(0).cast("long").alias("area_ord"), F.col("doc_id").alias("room_ord"))
@@ -107,11 +138,18 @@ merged AS (SELECT *, row_number() OVER (PARTITION BY map_id, src, key ORDER BY s
 adj AS (SELECT m.map_id, m.src, m.dst, m.key, CASE WHEN m.weight > 0 THEN m.weight ELSE greatest(r.weight, 1)::DOUBLE END AS w, CASE WHEN m.special OR idx IS NULL THEN 2 WHEN idx <= 8 THEN 0 ELSE 1 END AS cls, lk, r.locked AS dst_locked,
   s.area_id AS src_area, r.area_id AS dst_area, s.x AS sx, s.y AS sy, s.z AS sz, r.x AS dx, r.y AS dy, r.z AS dz
   FROM merged m JOIN rooms r ON r.map_id = m.map_id AND r.id = m.dst JOIN rooms s ON s.map_id = m.map_id AND s.id = m.src LEFT JOIN idx ON idx.key = m.key WHERE nth = 1 AND m.dst <> 0),
-o0 AS (SELECT o_orderkey AS id, o_custkey % 25 AS area_id, o_orderkey % {ROW} AS x, o_orderkey // {ROW} AS y, o_orderkey % 4 AS env, o_orderstatus AS symbol, o_orderpriority AS name FROM orders WHERE o_orderkey % 10 <> 0),
-o1 AS (SELECT o_orderkey AS id, o_custkey % 25 + (o_orderkey % 19 = 0)::INT AS area_id, o_orderkey % {ROW} + (o_orderkey % 5 = 0)::INT AS x, o_orderkey // {ROW} AS y, o_orderkey % 4 + (o_orderkey % 6 = 0)::INT AS env, o_orderstatus AS symbol, CASE WHEN o_orderkey % 7 = 0 THEN 'renamed' ELSE o_orderpriority END AS name FROM orders WHERE o_orderkey % 10 <> 1),
-ops AS (SELECT coalesce(a.id, b.id) AS id, unnest(list_filter([CASE WHEN a.id IS NULL THEN 'ADD_ROOM' END, CASE WHEN b.id IS NULL THEN 'DELETE_ROOM' END, CASE WHEN a.area_id <> b.area_id THEN 'MOVE_ROOM_TO_AREA' END, CASE WHEN a.name <> b.name THEN 'EDIT_ROOM' END,
-  CASE WHEN a.name = b.name AND (a.x <> b.x OR a.y <> b.y) THEN 'MOVE_ROOM' END, CASE WHEN a.name = b.name AND (a.env <> b.env OR a.symbol <> b.symbol) THEN 'PAINT_BATCH' END], lambda t: t IS NOT NULL)) AS type,
-  a.env AS env_before, b.env AS env_after, a.symbol AS symbol_before, b.symbol AS symbol_after FROM o0 a FULL JOIN o1 b USING (id)),
+ok AS (SELECT *, o_orderkey AS k, (SELECT max(o_orderkey) FROM orders) AS mx FROM orders),
+o0 AS (SELECT k AS id, o_custkey % 25 AS area_id, k % {ROW} AS x, k // {ROW} AS y, CASE WHEN k % 4 > 0 THEN 0 END AS z, k % 4 AS env, CASE WHEN k % 8 = 3 THEN '' ELSE o_orderstatus END AS symbol, o_orderpriority AS name, '' AS notes,
+  k + 1 AS n, CASE WHEN k % 2 = 0 THEN k + 10 END AS e, CASE WHEN k % 3 = 0 AND NOT ((k + 3) % 10 = 1 AND k + 3 <= mx) THEN k + 3 END AS w, NULL::BIGINT AS s, k % 3 = 0 AS raw_w, CASE WHEN k % 3 = 0 THEN 'open' END AS door_n, w IS NOT NULL AS door_w, CASE WHEN k % 2 = 0 THEN 2 END AS line_n, NULL::INT AS line_e
+  FROM ok WHERE k % 10 <> 0),
+o1 AS (SELECT k AS id, o_custkey % 25 + (k % 19 = 0)::INT AS area_id, k % {ROW} + (k % 5 <= 1)::INT AS x, k // {ROW} AS y, 0 AS z, k % 4 + (k % 6 = 0)::INT AS env, CASE WHEN k % 8 = 3 THEN '' ELSE o_orderstatus END AS symbol, CASE WHEN k % 7 = 0 THEN 'renamed' ELSE o_orderpriority END AS name, CASE WHEN k % 11 = 0 THEN 'seen' ELSE '' END AS notes,
+  k + 1 + (k % 13 = 0)::INT AS n, CASE WHEN k % 2 = 0 AND k % 17 <> 0 THEN k + 10 END AS e, CASE WHEN k % 3 = 0 AND (k + 3) % 10 <> 1 THEN k + 3 END AS w, CASE WHEN k % 23 = 0 THEN k + 5 END AS s, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 29 = 0 THEN 'closed' ELSE 'open' END END AS door_n, w IS NOT NULL AS door_w,
+  CASE WHEN k % 2 = 0 AND k % 37 <> 0 THEN CASE WHEN k % 31 = 0 THEN 3 ELSE 2 END END AS line_n, CASE WHEN k % 41 = 0 THEN 0 END AS line_e FROM ok WHERE k % 10 <> 1),
+flags AS (SELECT coalesce(a.id, b.id) AS id, a.id IS NULL AS fresh, b.id IS NULL AS gone, a.area_id <> b.area_id AS area, a.name <> b.name OR a.notes <> b.notes AS edited, (a.x <> b.x) AS place, a.n <> b.n OR a.e IS DISTINCT FROM b.e OR a.w IS DISTINCT FROM b.w OR a.s IS DISTINCT FROM b.s AS exits,
+  a.door_n IS DISTINCT FROM b.door_n OR a.door_w <> b.door_w AS doors, a.env <> b.env AS paint, a.env AS env_before, b.env AS env_after, a.symbol AS symbol_before, b.symbol AS symbol_after, b.area_id AS to_area, a.x AS x0, b.x AS x1, b.y AS y1,
+  [a.n, a.e, a.s, a.w] AS to0, [b.n, b.e, b.s, b.w] AS to1, [a.line_n, a.line_e] AS line0, [b.line_n, b.line_e] AS line1 FROM o0 a FULL JOIN o1 b USING (id)),
+ops AS (SELECT *, unnest(list_filter([CASE WHEN fresh THEN 'ADD_ROOM' END, CASE WHEN gone THEN 'DELETE_ROOM' END, CASE WHEN area THEN 'MOVE_ROOM_TO_AREA' END, CASE WHEN edited THEN 'EDIT_ROOM' END,
+  CASE WHEN NOT edited AND place THEN 'MOVE_ROOM' END, CASE WHEN NOT edited AND doors THEN 'EDIT_EXIT' END, CASE WHEN NOT edited AND NOT exits AND NOT doors AND paint THEN 'PAINT_BATCH' END], lambda t: t IS NOT NULL)) AS type FROM flags),
 stops AS (SELECT *, o_orderkey * 31 % n AS stop, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders, n),
 legs AS (SELECT o_custkey AS line, pos, CASE WHEN o_orderkey % 23 = 0 THEN stop + 2 ELSE stop + 1 END AS src, coalesce(lead(stop) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), first_value(stop) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) + 1 AS dst,
   CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5 * 20)::DOUBLE END AS time, o_orderpriority AS label FROM stops)
