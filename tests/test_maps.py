@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wayloom.functions import codes
@@ -19,7 +20,7 @@ ROOMS = [
 
 
 def document(rooms=ROOMS, **more):
-    return {"format": "arkmap", "format_version": 2, "meta": {"map_name": "t"}, "colors": {"env_colors": {"2": 9}, "custom_env_colors": {"300": [1, 2, 3]}}, "areas": [{"id": 7, "name": "Harbour", "rooms": rooms, "labels": []}]} | more
+    return {"format": "lanes", "format_version": 2, "meta": {"map_name": "t"}, "colors": {"env_colors": {"2": 9}, "custom_env_colors": {"300": [1, 2, 3]}}, "areas": [{"id": 7, "name": "Harbour", "rooms": rooms, "labels": []}]} | more
 
 
 @pytest.fixture
@@ -45,13 +46,13 @@ def test_bad_json_fails(spark, tmp_path):
 
 def test_violations(maps):
     t = json_map.exploded(maps(document(ROOMS + [{"id": 1, "x": 0, "y": 0, "z": 0, "env": 1, "exits": {"bogus": 2}, "doors": {"n": "ajar"}, "stubs": ["n", "n"], "weight": 0}], format="other")))
-    found = {(r.path, r.code) for r in rules.violations(t).collect()}
+    found = {(r.path, r.code) for r in rules.violations(t, "lanes").collect()}
     assert {("format", "INVALID_FORMAT"), ("rooms[1].id", "DUPLICATE_ROOM_ID"), ("rooms[1].exits.bogus", "INVALID_DIRECTION"), ("rooms[1].doors.n", "INVALID_DOOR_VALUE"), ("rooms[1].stubs", "DUPLICATE_DIRECTION"), ("rooms[1].weight", "MUST_BE_POSITIVE_INTEGER"), ("rooms[1].exits.n", "TARGET_NOT_FOUND")} <= found
 
 
 def test_empty_map_is_valid(spark):
-    e = json_map.empty_map(spark)
-    assert rules.document_rules(e).count() == 0
+    e = json_map.empty_map(spark, "lanes")
+    assert rules.document_rules(e, "lanes").count() == 0
 
 
 def walk(t, **options):
@@ -162,10 +163,12 @@ def test_log_folds(spark):
 
 def test_route_codes(spark):
     df = spark.createDataFrame([([100, 200, 300], "astar", "cardinal", "normal"), ([5, 6], "dijkstra", "all", "off"), ([5], "dijkstra", "all", "off"), ([5, 0], "x", "all", "off")], "p array<long>, a string, d string, t string")
-    got = [r[0] for r in df.select(codes.encode_route(F.col("p"), F.col("a"), F.col("d"), F.col("t"))).collect()]
-    assert got == ["arkmap:akn:100,200,300:c44c6e53", "arkmap:dwp:5,6:b7db3c29", "", ""]
-    bad = spark.createDataFrame([(" ARKMAP:DWP:5,6:B7DB3C29 ",), ("arkmap:dwp:5,7:b7db3c29",), ("arkmap:dwp:05,6:b7db3c29",)], "c string")
-    assert [(r.d and r.d.error, r.d and r.d.ids) for r in bad.select(codes.decode_route(F.col("c")).alias("d")).collect()] == [(None, [5, 6]), ("crc", [5, 7]), (None, None)]
+    got = [r[0] for r in df.select(codes.encode_route(F.col("p"), F.col("a"), F.col("d"), F.col("t"), "lanes")).collect()]
+    code = lambda core: f"{core}:{xxhash.xxh3_64_hexdigest(core.encode())[:8]}"
+    own = code("lanes:dwp:5,6")
+    assert got == [code("lanes:akn:100,200,300"), own, "", ""]
+    bad = spark.createDataFrame([(f" {own.upper()} ",), (own.replace("5,6", "5,7"),), (own.replace("5,6", "05,6"),), (own.replace("lanes", "roads"),)], "c string")
+    assert [(r.d and r.d.error, r.d and r.d.ids) for r in bad.select(codes.decode_route(F.col("c"), "lanes").alias("d")).collect()] == [(None, [5, 6]), ("crc", [5, 7]), (None, None), (None, None)]
 
 
 def test_checksums_roll_up_and_verify(maps):

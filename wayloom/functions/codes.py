@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Fixed values of the code format: prefix, limits, and the letters of the options.
-PREFIX, MAX_LENGTH, MAX_POINTS = "arkmap", 64_000, 200
+# Fixed values of the code format: limits, and the letters of the options. Its prefix is an argument.
+MAX_LENGTH, MAX_POINTS = 64_000, 200
 ALGORITHMS = {"dijkstra": "d", "astar": "a"}
 DIRECTION_MODES = {"cardinal": "k", "vertical": "p", "all": "w"}
 TRANSPORT_MODES = {"off": "p", "normal": "n", "aggressive": "g"}
@@ -31,18 +31,18 @@ def _letter(value: Column, letters: dict[str, str], default: str) -> Column:
     return out
 
 
-def encode_route(points: Column, algorithm: Column, directions: Column, transports: Column) -> Column:
+def encode_route(points: Column, algorithm: Column, directions: Column, transports: Column, prefix: str) -> Column:
     """The code of a list of room ids, nulls left out; '' for under 2, over 200 or ids under 1."""
     ids = F.filter(points, lambda p: p.isNotNull())
-    core = F.concat(F.lit(f"{PREFIX}:"), _letter(algorithm, ALGORITHMS, "dijkstra"), _letter(directions, DIRECTION_MODES, "all"), _letter(transports, TRANSPORT_MODES, "off"), F.lit(":"), F.array_join(ids.cast("array<string>"), ","))
+    core = F.concat(F.lit(f"{prefix}:"), _letter(algorithm, ALGORITHMS, "dijkstra"), _letter(directions, DIRECTION_MODES, "all"), _letter(transports, TRANSPORT_MODES, "off"), F.lit(":"), F.array_join(ids.cast("array<string>"), ","))
     good = F.size(ids).between(2, MAX_POINTS) & F.forall(ids, lambda p: p > 0)
     return F.when(good, F.concat(core, F.lit(":"), F.substring(xxh3_hex(core), 1, 8))).otherwise("")
 
 
-def decode_route(code: Column) -> Column:
+def decode_route(code: Column, prefix: str) -> Column:
     """struct(error, ids, algorithm, directions, transports): error is null, 'crc' or 'too-many'; null for no code."""
     low = F.lower(F.trim(code))
-    shape = rf"^{PREFIX}:([da])([kpw])([png]):([1-9][0-9]*(?:,[1-9][0-9]*)*):([0-9a-f]{{8}})$"
+    shape = rf"^{prefix}:([da])([kpw])([png]):([1-9][0-9]*(?:,[1-9][0-9]*)*):([0-9a-f]{{8}})$"
     part = lambda i: F.regexp_extract(low, shape, i)
     name = lambda i, letters: F.element_at(F.create_map(*(F.lit(x) for k, v in letters.items() for x in (v, k))), part(i))
     ids = F.split(part(4), ",").cast("array<long>")

@@ -268,17 +268,46 @@ def validate_dangling(spark, sf):
     return rules.dangling(grid.exits(spark, sf), grid.rooms(spark, sf))
 
 
-@query("SELECT map_id, unnest(list_filter([CASE WHEN env > 256 THEN 'ENV_OVER_PALETTE' END, CASE WHEN locked THEN 'LOCKED' END, CASE WHEN weight < 2 THEN 'LIGHT' END], lambda c: c IS NOT NULL)) AS code, id FROM rooms", map_id="long", code="string", id="string")
-def validate_ranges(spark, sf):
-    path = F.col("id").cast("string")
-    return rules.each(grid.rooms(spark, sf), [(F.col("env") > 256, path, "ENV_OVER_PALETTE"), (F.col("locked"), path, "LOCKED"), (F.col("weight") < 2, path, "LIGHT")]).withColumnRenamed("path", "id")
+def _broken(source: str, *rules: tuple[str, str, str]) -> str:
+    """SQL of the rules (condition, path, code) over a source."""
+    return "SELECT map_id, r.path, r.code FROM (SELECT map_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {on} THEN {{'path': {path}, 'code': '{code}'}} END" for on, path, code in rules) + f"], lambda r: r IS NOT NULL)) AS r FROM {source})"
 
 
-@query("SELECT map_id, src, key FROM exits LEFT JOIN idx USING (key) WHERE NOT special AND idx IS NULL", map_id="long", src="long", key="string")
-def validate_keys(spark, sf):
-    from wayloom.schema import direction_number
+_RULED = dict(map_id="long", path="string", code="string")
+_ROOM = "(SELECT 0 AS map_id, c_custkey AS k, CASE WHEN k % 50 > 0 THEN k END AS id, 'rooms[' || coalesce(id::VARCHAR, '?') || '].' AS here FROM customer)"
 
-    return grid.exits(spark, sf).filter(~F.col("special") & direction_number(F.col("key")).isNull())
+
+@query(_broken(_ROOM, ("id IS NULL", "here || 'id'", "MUST_BE_INTEGER"), ("k % 41 = 0", "here || 'y'", "MUST_BE_INTEGER"), ("k % 31 = 0", "here || 'env'", "MUST_BE_INTEGER"), ("k % 9 = 0", "here || 'weight'", "MUST_BE_POSITIVE_INTEGER"), ("k % 7 = 0", "here || 'stubs'", "DUPLICATE_DIRECTION"), ("k % 8 = 0", "here || 'stubs'", "INVALID_DIRECTION"),
+    ("k % 12 = 0", "here || 'exit_locks'", "DUPLICATE_DIRECTION"), ("k % 17 = 0", "here || 'tags'", "ELEMENTS_MUST_BE_STRINGS"), ("k % 19 = 0", "here || 'user_data'", "USER_DATA_STRING_DICT"), ("k % 4 = 0 AND k % 5 <> 0", "here || 'special_exit_locks'", "NOT_IN_SPECIAL_EXITS")), **_RULED)
+def validate_rooms(spark, sf):
+    return rules.room_rules(grid.faulty_rooms(spark, sf))
+
+
+@query(_broken(f"(SELECT * FROM {_ROOM} WHERE id IS NOT NULL)", ("k % 13 = 0", "here || 'exits.n'", "TARGET_MUST_BE_INTEGER"), ("k % 14 = 0", "here || 'exits.sideways'", "INVALID_DIRECTION"), ("k % 23 = 0", "here || 'special_exits. '", "SPECIAL_EXIT_CMD_NONEMPTY"), ("k % 29 = 0", "here || 'special_exits.n'", "SPECIAL_EXIT_OVERLAPS_EXIT"),
+    ("k % 3 = 0", "here || 'exit_weights.n'", "MUST_BE_POSITIVE_INTEGER"), ("k % 10 = 0", "here || 'exit_weights.w'", "NOT_IN_EXITS"), ("k % 10 = 0", "here || 'exit_weights.w'", "MUST_BE_POSITIVE_INTEGER"), ("k % 15 = 0", "here || 'doors.n'", "INVALID_DOOR_VALUE"),
+    *((f"k % 2 = 0 AND {on}", "here || 'custom_lines.' || CASE WHEN k % 4 = 0 THEN 'n' ELSE 's' END", code) for on, code in (("k % 3 = 0", "MUST_BE_ARRAY"), ("k % 3 > 0 AND k % 5 = 0", "MUST_BE_COORD_PAIR"), ("k % 300 > 255", "MUST_BE_RGB"), ("k % 11 = 0", "INVALID_CL_STYLE"), ("k % 4 > 0", "KEY_NOT_IN_EXITS")))), **_RULED)
+def validate_entries(spark, sf):
+    return rules.entry_rules(grid.faulty_rooms(spark, sf).filter("id is not null"))
+
+
+@query(_broken("(SELECT 0 AS map_id, p_partkey AS k, 'labels[' || coalesce(CASE WHEN k % 50 > 0 THEN k END::VARCHAR, '?') || '].' AS here FROM part)", ("k % 50 = 0", "here || 'id'", "MUST_BE_INTEGER"), ("k % 11 = 0", "here || 'z'", "MUST_BE_INTEGER"), ("k % 7 = 0", "here || 'x'", "MUST_BE_NUMBER"), ("k % 9 = 0", "here || 'y'", "MUST_BE_NUMBER"), ("k % 12 = 0", "here || 'height'", "MUST_BE_NUMBER"),
+    ("k % 13 = 0", "here || 'text'", "MUST_BE_STRING"), ("k % 300 > 255", "here || 'fg_color'", "MUST_BE_RGB"), ("k % 5 = 0", "here || 'bg_color'", "MUST_BE_RGB"), ("k % 8 = 0", "here || 'pixmap'", "MUST_BE_BASE64")), **_RULED)
+def validate_labels(spark, sf):
+    return rules.label_rules(grid.faulty_labels(spark, sf))
+
+
+@query(_broken("(SELECT 0 AS map_id, n_nationkey AS k, 'areas[' || coalesce(CASE WHEN k % 6 > 0 THEN k END::VARCHAR, '?') || '].' AS here FROM nation)", ("k % 6 = 0", "here || 'id'", "MUST_BE_INTEGER"), ("k % 5 = 0", "here || 'name'", "MUST_BE_STRING"), ("k % 4 <= 1", "here || 'pos'", "MUST_BE_POS3"), ("k % 9 = 0", "here || 'user_data'", "USER_DATA_STRING_DICT")), **_RULED)
+def validate_areas(spark, sf):
+    return rules.area_rules(grid.faulty_areas(spark, sf))
+
+
+@query(_broken("(SELECT s_suppkey AS map_id, s_suppkey AS k FROM supplier)", ("k % 19 = 0", "'format'", "INVALID_FORMAT"), ("k % 18 = 0", "'format_version'", "INVALID_FORMAT_VERSION"), ("k % 14 = 0", "'meta'", "REQUIRED"), ("k % 15 = 0", "'colors'", "REQUIRED"), ("k % 20 = 0", "'areas'", "MUST_BE_ARRAY"),
+    *((f"k % 14 > 0 AND {on}", f"'meta.{f}'", code) for on, f, code in [("k % 3 = 0", "map_name", "MUST_BE_STRING"), ("k % 4 = 0", "symbol_font", "REQUIRED"), ("k % 12 = 0", "symbol_font_fudge_factor", "MUST_BE_NUMBER"), ("k % 13 = 0", "use_only_map_font", "MUST_BE_BOOLEAN"), ("k % 16 = 0", "room_id_hash", "MUST_BE_INTEGER"), ("k % 17 = 0", "user_data", "USER_DATA_STRING_DICT"),
+      *((f"k % 4 > 0 AND k % {n} = 0", f"symbol_font.{f}", code) for n, f, code in ((5, "family", "MUST_BE_STRING"), (6, "pixel_size", "MUST_BE_NUMBER"), (7, "weight", "MUST_BE_INTEGER"), (8, "style_setting", "MUST_BE_BOOLEAN"), (9, "underline", "MUST_BE_BOOLEAN"), (10, "strike_out", "MUST_BE_BOOLEAN"), (11, "fixed_pitch", "MUST_BE_BOOLEAN")))]),
+    ("k % 15 > 0 AND k * 10 > 255", "'colors.env_colors.1'", "MUST_BE_BYTE"), ("k % 15 > 0 AND k % 2 = 0", "'colors.custom_env_colors.2'", "MUST_BE_RGBA")), **_RULED)
+def validate_documents(spark, sf):
+    docs = grid.faulty_documents(spark, sf)
+    return rules.document_rules(docs, "lanes").unionByName(rules.meta_rules(docs)).unionByName(rules.color_rules(docs))
 
 
 # ---- diff ----
@@ -453,8 +482,8 @@ def xxh3_names(spark, sf):
 
 @query(None, map_id="long", code="string", error="string", n_ids="long")
 def route_codes(spark, sf):
-    code = codes.encode_route(F.array(F.col("source"), F.col("source") + 7, F.col("source") + 90), F.lit("astar"), F.lit("all"), F.lit("normal"))
-    return _firsts(spark, sf).select("map_id", code.alias("code")).withColumn("d", codes.decode_route(F.col("code"))).select("map_id", "code", "d.error", F.size("d.ids").alias("n_ids"))
+    code = codes.encode_route(F.array(F.col("source"), F.col("source") + 7, F.col("source") + 90), F.lit("astar"), F.lit("all"), F.lit("normal"), "way")
+    return _firsts(spark, sf).select("map_id", code.alias("code")).withColumn("d", codes.decode_route(F.col("code"), "way")).select("map_id", "code", "d.error", F.size("d.ids").alias("n_ids"))
 
 
 @query("SELECT k AS n, CASE WHEN k = 1 THEN 'one' WHEN k % 10 BETWEEN 2 AND 4 AND NOT k % 100 BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS pl, CASE WHEN k = 1 THEN 'one' ELSE 'many' END AS en FROM (SELECT c_custkey AS k FROM customer)", n="long", pl="string", en="string")

@@ -6,7 +6,7 @@ events are transport legs and edit logs; orders are two snapshots; documents are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAP, ROW = 400, 40
@@ -117,6 +117,55 @@ def colors(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
     return base.select(F.lit(0).cast("long").alias("map_id"), k.alias("env"), F.array(red, F.lit(10).cast("long"), F.lit(20).cast("long")).alias("rgb"))
 
 
+def _arrays(*pairs) -> Column:
+    """The values whose condition holds, in order."""
+    return F.filter(F.array(*(F.when(on, F.lit(v)) for v, on in pairs)), lambda v: v.isNotNull())
+
+
+def faulty_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rooms with faults of every kind."""
+    k = F.col("c_custkey")
+    given = lambda n, value: F.when(k % n > 0, value)
+    some = lambda kind, *pairs: F.map_from_entries(F.filter(F.array(*(F.when(on, F.struct(F.lit(key).alias("key"), value.cast(kind).alias("value"))) for key, on, value in pairs)), lambda e: e.isNotNull()))
+    every = F.lit(True)
+    line = F.struct(F.when(k % 3 > 0, F.array(F.when(k % 5 > 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0))))).alias("points"), F.array(k % 300, F.lit(0).cast("long"), F.lit(0).cast("long")).cast("array<int>").alias("color"), F.when(k % 11 > 0, "dash").otherwise("wavy").alias("style"), F.lit(None).cast("boolean").alias("arrow"))
+    return table(spark, sf_dir, "customer").select(
+        F.lit(0).cast("long").alias("map_id"), given(50, k).alias("id"), k.alias("x"), given(41, k).alias("y"), F.lit(0).alias("z"), given(31, k % 9).alias("env"), (k % 9).alias("weight"),
+        _arrays(("n", every), ("n", k % 7 == 0), ("zz", k % 8 == 0)).alias("stubs"), _arrays(("e", k % 6 == 0), ("e", k % 12 == 0)).alias("exit_locks"), _arrays(("climb", k % 4 == 0)).alias("special_exit_locks"),
+        F.when(k % 17 == 0, F.array(F.lit(None).cast("string"))).alias("tags"), some("string", ("a", k % 19 == 0, F.lit(None))).alias("user_data"),
+        some("long", ("n", every, given(13, k + 1)), ("sideways", k % 14 == 0, k)).alias("exits"), some("long", ("climb", k % 5 == 0, k), (" ", k % 23 == 0, k), ("n", k % 29 == 0, k)).alias("special_exits"),
+        some("double", ("n", every, F.when(k % 3 == 0, 1.5).otherwise(2.0)), ("w", k % 10 == 0, F.lit(0.0))).alias("exit_weights"), some("string", ("n", every, F.when(k % 15 == 0, "ajar").otherwise("open"))).alias("doors"),
+        F.when(k % 2 == 0, F.map_from_entries(F.array(F.struct(F.when(k % 4 == 0, "n").otherwise("s").alias("key"), line.alias("value"))))).alias("custom_lines"),
+    )
+
+
+def faulty_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as labels with faults of every kind."""
+    k = F.col("p_partkey")
+    given = lambda n, value: F.when(k % n > 0, value)
+    rgb = lambda top: F.array(k % top, F.lit(1).cast("long"), F.lit(2).cast("long")).cast("array<int>")
+    return table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("map_id"), given(50, k).alias("id"), given(7, F.lit(1.0)).alias("x"), F.when(k % 9 == 0, float("nan")).otherwise(1.0).alias("y"), given(11, F.lit(0)).alias("z"), F.lit(1.0).alias("width"), F.when(k % 12 == 0, float("inf")).otherwise(1.0).alias("height"), given(13, F.col("p_name")).alias("text"), rgb(300).alias("fg_color"), given(5, rgb(200)).alias("bg_color"), F.when(k % 8 == 0, "AAA*").when(k % 8 == 1, "AAAA").alias("pixmap"))
+
+
+def faulty_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as areas with faults of every kind."""
+    k = F.col("n_nationkey")
+    pos = F.when(k % 4 == 0, F.array(k, k)).when(k % 4 == 1, F.array(k, k, F.lit(None).cast("int"))).when(k % 4 == 2, F.array(k, k, k))
+    return table(spark, sf_dir, "nation").select(F.lit(0).cast("long").alias("map_id"), F.when(k % 6 > 0, k).alias("id"), F.when(k % 5 > 0, F.col("n_name")).alias("name"), pos.alias("pos"), F.when(k % 3 == 0, F.create_map(F.lit("a"), F.when(k % 9 > 0, "1"))).alias("user_data"))
+
+
+def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents with faults of every kind."""
+    k = F.col("s_suppkey")
+    given = lambda n, value: F.when(k % n > 0, value)
+    flag = lambda n: given(n, F.lit(False))
+    font = F.struct(given(5, F.lit("serif")).alias("family"), F.lit(10.0).alias("point_size"), given(6, F.lit(-1.0)).alias("pixel_size"), F.lit(5).alias("style_hint"), given(7, F.lit(50)).alias("weight"), *(flag(n).alias(f) for f, n in (("style_setting", 8), ("underline", 9), ("strike_out", 10), ("fixed_pitch", 11))))
+    hashes, data = F.create_map(F.lit("h"), given(16, F.lit(1))), F.create_map(F.lit("a"), given(17, F.lit("1")))
+    meta = F.struct(given(3, F.col("s_name")).alias("map_name"), given(4, font).alias("symbol_font"), given(12, F.lit(1.0)).alias("symbol_font_fudge_factor"), given(13, F.lit(False)).alias("use_only_map_font"), hashes.alias("room_id_hash"), data.alias("user_data"))
+    colors = F.struct(F.create_map(F.lit("1"), k.cast("int") * 10).alias("env_colors"), F.create_map(F.lit("2"), F.when(k % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)))).alias("custom_env_colors"))
+    return table(spark, sf_dir, "supplier").select(k.alias("map_id"), F.when(k % 19 == 0, "other").otherwise("lanes").alias("format"), given(18, F.lit(2)).alias("format_version"), given(14, meta).alias("meta"), given(15, colors).alias("colors"), given(20, F.array(F.lit(1))).alias("areas"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rooms whose names are texts and whose areas are sources."""
     return table(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("map_id"), F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("area_title"), F.lit(0).cast("long").alias("area_ord"), F.col("doc_id").alias("room_ord"))

@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the format.
-FORMAT = "arkmap"
+# Fixed values of the format. Its name, which documents bring in ``format``, is an argument of what checks it.
 FORMAT_VERSION = 2
 #: short name, number, opposite, x and y step
 DIRECTIONS = [
@@ -42,7 +41,7 @@ LABEL = """struct<id:int,x:double,y:double,z:int,width:double,height:double,text
 no_scaling:boolean,show_on_top:boolean,pixmap:string>"""
 LINE = "struct<name:string,board:array<string>,exit:string,legs:array<struct<`from`:int,`to`:int,time:double,label:string>>>"
 MAP = f"""format string, format_version int,
-meta struct<map_name:string,symbol_font_fudge_factor:double,use_only_map_font:boolean,room_id_hash:map<string,int>,user_data:map<string,string>>,
+meta struct<map_name:string,symbol_font:struct<family:string,point_size:double,pixel_size:double,style_hint:int,weight:int,style_setting:boolean,underline:boolean,strike_out:boolean,fixed_pitch:boolean>,symbol_font_fudge_factor:double,use_only_map_font:boolean,room_id_hash:map<string,int>,user_data:map<string,string>>,
 colors struct<env_colors:map<string,int>,custom_env_colors:map<string,array<int>>>,
 areas array<struct<id:int,name:string,grid_mode:boolean,is_zone:boolean,zone_area_ref:int,pos:array<int>,user_data:map<string,string>,rooms:array<{ROOM}>,labels:array<{LABEL}>>>,
 checksums struct<alg:string,file:string,meta:string,areas:map<string,string>,rooms:map<string,string>,transports:struct<hash:string,lines:map<string,string>>>,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.schema import FORMAT, FORMAT_VERSION, MAP
+from wayloom.schema import FORMAT_VERSION, MAP
 
 
 @dataclass
@@ -39,12 +39,15 @@ def write_maps(documents: DataFrame, path: str) -> None:
     documents.drop("map_id").write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
-def empty_map(spark: SparkSession, name: str = "New map") -> DataFrame:
-    """A document without areas that validates."""
+def empty_map(spark: SparkSession, format_name: str, name: str = "New map") -> DataFrame:
+    """A document of the named format without areas that validates."""
+    flags = ("style_setting", "underline", "strike_out", "fixed_pitch")
+    font = F.struct(F.lit("monospace").alias("family"), F.lit(10.0).alias("point_size"), F.lit(-1.0).alias("pixel_size"), F.lit(5).alias("style_hint"), F.lit(50).alias("weight"), *(F.lit(False).alias(f) for f in flags))
+    empty = lambda kind: F.expr("map_from_arrays(array(), array())").cast(kind)
     return spark.range(1).select(
-        F.lit("new").alias("map_id"), F.lit(FORMAT).alias("format"), F.lit(FORMAT_VERSION).alias("format_version"),
-        F.struct(F.lit(name).alias("map_name"), F.lit(1.0).alias("symbol_font_fudge_factor"), F.lit(False).alias("use_only_map_font")).alias("meta"),
-        F.struct(F.expr("map_from_arrays(array(), array())").cast("map<string,int>").alias("env_colors"), F.expr("map_from_arrays(array(), array())").cast("map<string,array<int>>").alias("custom_env_colors")).alias("colors"),
+        F.lit("new").alias("map_id"), F.lit(format_name).alias("format"), F.lit(FORMAT_VERSION).alias("format_version"),
+        F.struct(F.lit(name).alias("map_name"), font.alias("symbol_font"), F.lit(1.0).alias("symbol_font_fudge_factor"), F.lit(False).alias("use_only_map_font"), empty("map<string,int>").alias("room_id_hash"), empty("map<string,string>").alias("user_data")).alias("meta"),
+        F.struct(empty("map<string,int>").alias("env_colors"), empty("map<string,array<int>>").alias("custom_env_colors")).alias("colors"),
         F.expr("array()").cast("array<struct<id:int,name:string>>").alias("areas"),
     )
 
