@@ -57,3 +57,15 @@ def plural_form(n: Column, language: str) -> Column:
     if language == "pl":
         return F.when(n == 1, "one").when((n % 10).between(2, 4) & ~(n % 100).between(12, 14), "few").otherwise("many")
     return F.when(n == 1, "one").otherwise("many")
+
+
+def hex_to_rgb(color: Column) -> Column:
+    """The three bytes of #rrggbb."""
+    part = lambda k: F.conv(F.substring(color, 2 + 2 * k, 2), 16, 10).cast("int")
+    return F.array(*map(part, range(3)))
+
+
+def rgb_to_hex(rgb: Column) -> Column:
+    """#rrggbb of the first three parts, each held within a byte."""
+    byte = lambda c: F.lower(F.lpad(F.hex(F.greatest(F.least(c, F.lit(255)), F.lit(0)).cast("long")), 2, "0"))
+    return F.concat(F.lit("#"), F.array_join(F.transform(F.slice(rgb, 1, 3), byte), ""))

@@ -29,6 +29,19 @@ def stripped(rooms: DataFrame) -> DataFrame:
     return rooms.withColumns(out)
 
 
+def stripped_struct(room: Column) -> Column:
+    """The same for one room of a nested document."""
+    line = lambda _, v: v.withField("style", F.nullif(v["style"], F.lit("solid"))).withField("arrow", F.when(v["arrow"], F.lit(True)))
+    for c in [*MAPS, *LISTS]:
+        kept = F.transform_values(room[c], line) if c == "custom_lines" else room[c]
+        room = room.withField(c, F.when(F.size(room[c]) > 0, kept))
+    for c in TEXTS:
+        room = room.withField(c, F.nullif(room[c], F.lit("")))
+    for c in FLAGS:
+        room = room.withField(c, F.when(room[c], F.lit(True)))
+    return room.withField("weight", F.nullif(room["weight"], F.lit(1)))
+
+
 def comparable(rooms: DataFrame) -> DataFrame:
     """Stripped rooms whose maps are sorted entries and whose lists are sorted, for equality of whole rooms."""
     bare = stripped(rooms)

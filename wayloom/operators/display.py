@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.schema import direction_number, opposite
@@ -11,7 +11,7 @@ from wayloom.schema import direction_number, opposite
 SYSTEM_COLORS = [(0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0), (0, 0, 128), (128, 0, 128), (0, 128, 128), (192, 192, 192), (128, 128, 128), (255, 0, 0), (0, 255, 0), (255, 255, 0), (0, 0, 255), (255, 0, 255), (0, 255, 255), (255, 255, 255)]
 CUBE_LEVELS = (0, 95, 135, 175, 215, 255)
 DEFAULT_COLOR = (114, 1, 0)
-LINE_ALPHA, ROOM_ALPHA, FADED_ALPHA = 140, 255, 89
+LINE_ALPHA, ROOM_ALPHA, LINE_RGB = 140, 255, (225, 225, 225)
 
 
 def palette() -> list[tuple[int, int, int]]:
@@ -28,10 +28,14 @@ def palette_of(env: Column) -> Column:
 
 
 def colored(rooms: DataFrame, env_colors: DataFrame, custom_colors: DataFrame) -> DataFrame:
-    """Rooms with ``rgb``: the map's own colour of the env, its ANSI colour, the palette's, or the default."""
-    ansi = env_colors.select("map_id", "env", F.col("ansi").alias("_ansi"))
-    own = custom_colors.select("map_id", "env", F.col("rgb").alias("_rgb"))
-    out = rooms.join(ansi, ["map_id", "env"], "left").join(own, ["map_id", "env"], "left")
+    """Rooms with ``rgb``: the map's own colour of the env, its ANSI colour, the palette's, or the default.
+
+    Colour tables without map_id hold for all maps.
+    """
+    key = lambda df: [c for c in ("map_id", "env") if c in df.columns]
+    ansi = env_colors.select(*key(env_colors), F.col("ansi").alias("_ansi"))
+    own = custom_colors.select(*key(custom_colors), F.col("rgb").alias("_rgb"))
+    out = rooms.join(ansi, key(env_colors), "left").join(own, key(custom_colors), "left")
     rgb = F.coalesce(F.col("_rgb"), palette_of(F.col("_ansi")), palette_of(F.col("env")), F.array(*map(F.lit, DEFAULT_COLOR)))
     return out.withColumn("rgb", rgb).drop("_ansi", "_rgb")
 
@@ -66,11 +70,11 @@ def bounds(rooms: DataFrame, by: list[str]) -> DataFrame:
 
 
 def raster_cells(rooms: DataFrame, kinds: DataFrame) -> DataFrame:
-    """map_id, area_id, z, x, y, layer (1 line, 2 room) and alpha: the cells of each plane.
+    """map_id, area_id, z, x, y, layer (1 line, 2 room), rgb and alpha: the cells of each plane; ``rooms`` have ``rgb``.
 
     ``kinds`` are the exits of ``exit_kinds``; those of kind line and oneway are drawn. A line's
     cells come from stepping its longer axis, rounded half up; a two-way exit is drawn
-    once, from the lower id. Rooms cover lines.
+    once, from the lower id. Rooms cover lines, and of rooms in one cell the last one is seen.
     """
     p = lambda n: rooms.select("map_id", F.col("id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("area_id", "x", "y", "z")))
     on_plane = kinds.filter(F.col("kind").isin("line", "oneway")).join(p("src"), ["map_id", "src"]).join(p("dst"), ["map_id", "dst"])
@@ -78,8 +82,9 @@ def raster_cells(rooms: DataFrame, kinds: DataFrame) -> DataFrame:
     n = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
     step = pairs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = lambda c: (F.col(f"{c}0") + F.floor((2 * F.col("i") * (F.col(f"{c}1") - F.col(f"{c}0")) + F.col("n")) / F.greatest(2 * F.col("n"), F.lit(1)))).cast("int").alias(c)
-    cells = step.select("map_id", "area_id", "z", at("x"), at("y"), F.lit(1).alias("layer")).unionByName(rooms.select("map_id", "area_id", "z", "x", "y", F.lit(2).alias("layer")))
-    top = cells.groupBy("map_id", "area_id", "z", "x", "y").agg(F.max("layer").alias("layer"))
+    cells = step.select("map_id", "area_id", "z", at("x"), at("y"), F.struct(F.lit(1).alias("layer"), F.lit(0).cast("long").alias("nth"), F.array(*map(F.lit, LINE_RGB)).alias("rgb")).alias("c"))
+    cells = cells.unionByName(rooms.select("map_id", "area_id", "z", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.struct(F.lit(2).alias("layer"), F.col("room_ord").cast("long").alias("nth"), "rgb").alias("c")))
+    top = cells.groupBy("map_id", "area_id", "z", "x", "y").agg(F.max("c").alias("c")).select("map_id", "area_id", "z", "x", "y", "c.layer", "c.rgb")
     return top.withColumn("alpha", F.when(F.col("layer") == 1, LINE_ALPHA).otherwise(ROOM_ALPHA))
 
 
@@ -90,7 +95,7 @@ def cross_area_exits(exits: DataFrame, rooms: DataFrame) -> DataFrame:
     return both.select("map_id", "src_area", "src", "dst_area", "dst", F.when(F.col("special"), 13).otherwise(direction_number(F.col("key"))).cast("int").alias("code"))
 
 
-def last_wins(cells: DataFrame) -> DataFrame:
-    """Of cells drawn more than once, the last."""
-    last = Window.partitionBy("map_id", "area_id", "z", "x", "y").orderBy(F.desc("layer"), F.desc("ord"))
-    return cells.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+def plane(rooms: DataFrame, area_id: int, z: int | None = None) -> DataFrame:
+    """The rooms of an area, or of one level of it; an absent z is 0."""
+    out = rooms.filter(F.col("area_id") == area_id)
+    return out if z is None else out.filter(F.coalesce("z", F.lit(0)) == z)

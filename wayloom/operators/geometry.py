@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.operators.display import contrast
 from wayloom.schema import DIRECTIONS, lookup
 
 # Fixed values of the drawing.
@@ -20,6 +21,15 @@ LINE_COLOR, UNKNOWN_COLOR = "rgb(225,225,225)", "#ff9f4a"
 DOOR_COLORS = {"open": "rgb(10,155,10)", "closed": "rgb(226,205,59)", "locked": "rgb(155,10,10)"}
 DARK_SYMBOL, LIGHT_SYMBOL, LIGHTNESS = "rgb(25,25,25)", "rgb(225,255,255)", 0.41
 FADED = 0.35
+OWN_LINE_COLOR, FILL_ALPHA = "#aaaaff", 0.6
+#: Pixels of dashes and gaps, times the zoom's step.
+DASHES = {"dash": (4, 2), "dot": (1, 1), "dash_dot": (8, 3, 1, 3), "dash_dot_dot": (8, 3, 1, 3, 1, 3)}
+#: Inner marks of an exit: offsets from the centre, in quarters of a room, and quarter turns.
+INNER = {"up": [(0, 1, 0)], "down": [(0, -1, 2)], "in": [(-1, 0, 1), (1, 0, 3)], "out": [(-1, 0, 3), (1, 0, 1)]}
+#: Shares of a room's size, with the least pixels: lengths and half widths of arrow heads, the tick of a cross-area arrow and its head, the offset of a shadow.
+HEAD_LONG, HEAD_WIDE, TICK, TICK_HEAD, SHADOW = (0.83, 6), (0.29, 3), (0.9, 4), (0.35, 1.5), (0.22, 2)
+#: The border of a room and the width of a line, times the zoom, with the least pixels.
+BORDER = (0.4875, 0.4)
 
 
 @dataclass
@@ -45,7 +55,11 @@ class Scale:
 
     @property
     def line_width(self) -> float:
-        return self.units(self.zoom * 0.4875, 0.4)
+        return self.units(self.zoom * BORDER[0], BORDER[1])
+
+    def share(self, of: tuple[float, float]) -> float:
+        """A share of the room's size, with the least pixels that it has."""
+        return self.units(self.room_px * of[0], of[1])
 
 
 def css(rgb: Column) -> Column:
@@ -79,7 +93,7 @@ def exit_lines(kinds: DataFrame, rooms: DataFrame, cell_px: float = CELL_PX) ->
     run, rise = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     far = F.sqrt(run * run + rise * rise)
     own = own.withColumns({"ux": F.when(far > 0, run / far).otherwise(1.0), "uy": F.when(far > 0, rise / far).otherwise(0.0), "mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
-    long, wide = s.units(s.room_px * 0.83, 6), s.units(s.room_px * 0.29, 3)
+    long, wide = s.share(HEAD_LONG), s.share(HEAD_WIDE)
     back_x, back_y = F.col("mx") - F.col("ux") * long, F.col("my") - F.col("uy") * long
     headed = F.col("one_way") & F.lit(s.zoom > 0.3)
     head_x = F.when(headed, F.array("mx", back_x - F.col("uy") * wide, back_x + F.col("uy") * wide))
@@ -104,12 +118,15 @@ def cross_arrows(exits: DataFrame, kinds: DataFrame, rooms: DataFrame, lines: Da
     run, rise = F.col("dst_x") - F.col("src_x"), F.col("src_y") - F.col("dst_y")
     special = special.withColumns({"run": run, "rise": rise}).withColumn("far", F.sqrt(F.col("run") * F.col("run") + F.col("rise") * F.col("rise"))).filter("far > 0")
     special = special.select("map_id", "src", "key", "dst", F.lit(True).alias("special"), "src_x", "src_y", "dst_rgb", (F.col("run") / F.col("far")).alias("vx"), (F.col("rise") / F.col("far")).alias("vy"))
-    half, tick = ROOM_SIZE / 2, s.units(s.room_px * 0.9, 4)
+    half, tick, head = ROOM_SIZE / 2, s.share(TICK), s.share(TICK_HEAD)
     both = normal.unionByName(special).filter(F.lit(s.zoom >= 0.25))
     both = both.withColumns({"x1": F.col("src_x") + F.col("vx") * half, "y1": F.col("src_y") + F.col("vy") * half})
     both = both.withColumns({"x2": F.col("x1") + F.col("vx") * tick, "y2": F.col("y1") + F.col("vy") * tick})
     color = F.coalesce(css(F.col("dst_rgb")), F.lit(UNKNOWN_COLOR))
-    return both.select("map_id", "src", "key", "dst", "special", "x1", "y1", "x2", "y2", F.lit(s.units(s.zoom, 1)).alias("width"), F.lit(s.units(s.room_px * 0.35, 1.5)).alias("head"), color.alias("color"))
+    vx, vy = F.col("vx") * head, F.col("vy") * head
+    head_x = F.array(F.col("x2") + vx * 1.2, F.col("x2") - vx - vy * 0.8, F.col("x2") - vx + vy * 0.8)
+    head_y = F.array(F.col("y2") + vy * 1.2, F.col("y2") - vy + vx * 0.8, F.col("y2") - vy - vx * 0.8)
+    return both.select("map_id", "src", "key", "dst", "special", "x1", "y1", "x2", "y2", F.lit(s.units(s.zoom, 1)).alias("width"), head_x.alias("head_x"), head_y.alias("head_y"), color.alias("color"))
 
 
 def stubs(rooms: DataFrame, cell_px: float = CELL_PX) -> DataFrame:
@@ -124,13 +141,90 @@ def stubs(rooms: DataFrame, cell_px: float = CELL_PX) -> DataFrame:
 def stack_shadows(exits: DataFrame, rooms: DataFrame, cell_px: float = CELL_PX) -> DataFrame:
     """Squares behind rooms that have a way up (to the upper right) or down (to the lower left)."""
     s = Scale(cell_px)
-    off, size = s.units(s.room_px * 0.22, 2), s.room_px / s.cell_px
+    off, size = s.share(SHADOW), s.room_px / s.cell_px
     own = exits.filter(~F.col("special") & F.col("key").isin("up", "down") & (F.col("dst") != 0) & F.lit(s.zoom > 0.3)).join(_place(rooms, "src"), ["map_id", "src"])
     way = F.when(F.col("key") == "up", 1.0).otherwise(-1.0)
     corner = lambda c, sign: F.col(c) - size / 2 + sign * way * off
     return own.select("map_id", F.col("src").alias("id"), "key", corner("src_x", 1.0).alias("x"), corner("src_y", -1.0).alias("y"), F.lit(size).alias("size"), F.lit(round(min(0.7, s.zoom * 0.5), 2)).alias("alpha"), F.lit(s.units(s.zoom * 0.7, 0.5)).alias("width"))
 
 
+def dash_pattern(style: Column, cell_px: float) -> Column:
+    """Dashes and gaps in map units; none for a solid line."""
+    s = Scale(cell_px)
+    step = s.units(max(1.0, s.zoom * 2))
+    out = F.array().cast("array<double>")
+    for name, parts in DASHES.items():
+        out = F.when(style == name, F.array(*(F.lit(p * step) for p in parts))).otherwise(out)
+    return out
+
+
+def custom_lines(lines: DataFrame, rooms: DataFrame, cell_px: float = CELL_PX) -> DataFrame:
+    """Custom lines from the room's centre through all their points; those without points aren't drawn.
+
+    ``lines`` have map_id, room_id, key, points, color, style and arrow, and may have ``door``. A door
+    is a square in the middle of the first stretch; an arrow's head spreads 30 degrees to either side.
+    """
+    s = Scale(cell_px)
+    doors = lines if "door" in lines.columns else lines.withColumn("door", F.lit(None).cast("string"))
+    own = doors.filter(F.size("points") > 0).join(_place(rooms, "room_id"), ["map_id", "room_id"])
+    along = lambda c, i, sign: F.concat(F.array(f"room_id_{c}"), F.transform("points", lambda p: p[i] if sign > 0 else F.lit(0.0) - p[i]))
+    own = own.withColumns({"xs": along("x", 0, 1), "ys": along("y", 1, -1)})
+    last = lambda c, k: F.element_at(c, F.lit(-k))
+    run, rise = last("xs", 1) - last("xs", 2), last("ys", 1) - last("ys", 2)
+    far = F.sqrt(run * run + rise * rise)
+    own = own.withColumns({"ux": F.when(far > 0, run / far).otherwise(1.0), "uy": F.when(far > 0, rise / far).otherwise(0.0)})
+    long, turn = s.units(s.zoom * 10, 8), 3**0.5 / 2
+    side = lambda k: (last("xs", 1) - (F.col("ux") * turn + F.col("uy") * (0.5 * k)) * long, last("ys", 1) - (F.col("uy") * turn - F.col("ux") * (0.5 * k)) * long)
+    (ax, ay), (bx, by) = side(1), side(-1)
+    headed, door = F.coalesce("arrow", F.lit(False)), F.col("door").isNotNull()
+    mid = lambda c: F.when(door, (F.element_at(c, 1) + F.element_at(c, 2)) / 2)
+    return own.select(
+        "map_id", "room_id", "key", "xs", "ys", F.coalesce(css(F.col("color")), F.lit(OWN_LINE_COLOR)).alias("color"), F.lit(s.units(s.zoom * 1.2, 1)).alias("width"), dash_pattern(F.col("style"), cell_px).alias("dash"),
+        mid("xs").alias("door_x"), mid("ys").alias("door_y"), F.when(door, F.lit(s.units(s.room_px / 2))).alias("door_side"), F.when(door, F.lit(s.units(s.zoom * 0.8, 1))).alias("door_width"), door_color(F.col("door")).alias("door_color"),
+        F.when(headed, F.array(last("xs", 1), ax, bx)).alias("head_x"), F.when(headed, F.array(last("ys", 1), ay, by)).alias("head_y"),
+    )
+
+
+def inner_marks(exits: DataFrame, rooms: DataFrame, cell_px: float = CELL_PX) -> DataFrame:
+    """Triangles within rooms for ways up, down, in and out, above a zoom of 0.25; ``rooms`` have ``rgb``, ``exits`` may have ``door``.
+
+    A triangle has radius a fifth of the room, stretched 1.4 by 0.8, and a turn of its own; its
+    outline has the door's colour or that of symbols.
+    """
+    s = Scale(cell_px)
+    size = s.room_px / s.cell_px
+    corners = [(0.0, -1.0), (3**0.5 / 2, 0.5), (-(3**0.5) / 2, 0.5)]
+    turned = {0: lambda x, y: (x, y), 1: lambda x, y: (-y, x), 2: lambda x, y: (-x, -y), 3: lambda x, y: (y, -x)}
+    rows = []
+    for key, marks in INNER.items():
+        for dx, dy, quarter in marks:
+            at = [turned[quarter](x * size / 5 * 1.4, y * size / 5 * 0.8) for x, y in corners]
+            rows.append((key, [dx * size / 4 + x for x, _ in at], [dy * size / 4 + y for _, y in at]))
+    shapes = exits.sparkSession.createDataFrame(rows, "key string, off_x array<double>, off_y array<double>")
+    doors = exits if "door" in exits.columns else exits.withColumn("door", F.lit(None).cast("string"))
+    own = doors.filter(~F.col("special") & F.lit(s.zoom > 0.25)).join(F.broadcast(shapes), "key").join(_place(rooms, "src", "rgb"), ["map_id", "src"])  # six rows
+    ink = symbol_color(F.col("src_rgb"))
+    fill = F.concat(F.regexp_replace(F.regexp_replace(ink, r"^rgb", "rgba"), r"\)$", f",{FILL_ALPHA})"))
+    moved = lambda off, c: F.transform(off, lambda v: v + F.col(c))
+    return own.select("map_id", F.col("src").alias("id"), "key", moved("off_x", "src_x").alias("xs"), moved("off_y", "src_y").alias("ys"), fill.alias("fill"), F.coalesce(door_color(F.col("door")), ink).alias("stroke"), F.lit(s.units(s.zoom * 0.6, 0.5)).alias("width"))
+
+
+def special_markers(exits: DataFrame, rooms: DataFrame, cell_px: float = CELL_PX) -> DataFrame:
+    """A mark at the upper right corner of rooms that have special exits, above a zoom of 0.5; ``rooms`` have ``rgb``."""
+    s = Scale(cell_px)
+    px = max(6.0, s.room_px * 0.44)
+    has = exits.filter(F.col("special") & F.lit(s.zoom > 0.5)).select("map_id", F.col("src").alias("id")).distinct()
+    own = rooms.join(has, ["map_id", "id"], "left_semi")
+    ink = contrast(F.col("rgb"))
+    halo = F.when(ink == "#fff", "rgba(0,0,0,0.7)").otherwise("rgba(255,255,255,0.5)")
+    return own.select("map_id", "id", (F.col("x").cast("double") + s.half).alias("x"), (F.lit(0.0) - F.col("y") - s.half).alias("y"), F.lit(s.units(float(int(px + 0.5)))).alias("size"), ink.alias("color"), halo.alias("halo"), F.lit(s.units(px * 0.15, 1)).alias("halo_width"))
+
+
+def grid_alpha(cell_px: Column) -> Column:
+    """The opacity of the grid's lines; none below four pixels a unit."""
+    return F.when(cell_px < 4, None).when(cell_px < 15, 0.025).when(cell_px < 30, 0.035).otherwise(0.045)
+
+
 def door_color(state: Column) -> Column:
     """Any state but open and closed counts as locked; null stays null."""
     return F.when(state.isNotNull(), F.coalesce(lookup(state, DOOR_COLORS), F.lit(DOOR_COLORS["locked"])))
@@ -174,8 +268,8 @@ def room_squares(rooms: DataFrame, cell_px: float = CELL_PX, hidden_mode: str =
     border = F.when(~given.rlike(parts), given).when(F.lower(alpha) == "ff", F.concat(F.lit("#"), color)).otherwise(F.concat(F.lit("#"), color, alpha))
     thick = F.regexp_extract(at("room.ui_borderThickness"), r"^\s*([+-]?[0-9]+)", 1).try_cast("double")
     thick = F.coalesce(F.least(F.greatest(thick, F.lit(1.0)), F.lit(10.0)), F.lit(1.0))
-    own_px = F.greatest(F.when(dashed, 1.3).otherwise(0.4), thick * (s.zoom * 0.4875))
-    px = F.when(given.isNotNull(), own_px).when(dashed, max(1.4, s.zoom * 1.4)).otherwise(max(0.4, s.zoom * 0.4875))
+    own_px = F.greatest(F.when(dashed, 1.3).otherwise(BORDER[1]), thick * (s.zoom * BORDER[0]))
+    px = F.when(given.isNotNull(), own_px).when(dashed, max(1.4, s.zoom * 1.4)).otherwise(max(BORDER[1], s.zoom * BORDER[0]))
     shown = rooms.filter(~hidden) if hidden_mode == "hide" else rooms
     opacity = F.when(hidden & F.lit(hidden_mode == "faded"), FADED).otherwise(1.0)
     return shown.select("map_id", "id", F.col("x").cast("double").alias("x"), (F.lit(0.0) - F.col("y")).alias("y"), F.lit(s.half).alias("half"), css(F.col("rgb")).alias("fill"), F.coalesce(border, F.lit(LINE_COLOR)).alias("border"), (px / s.cell_px).alias("border_width"), opacity.alias("alpha"), dashed.alias("dashed"))

@@ -7,6 +7,7 @@ is one grouping. The byte formats are fixed values of the map format.
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 
@@ -91,6 +92,39 @@ def file_bytes(d: dict) -> bytes:
     return b"f4" + _i32(len(env)) + b"".join(_i32(*p) for p in env) + _i32(len(own)) + b"".join(_i32(k) + bytes([len(v)]) + _i32(*v) for k, v in own) + _i32(len(hashes)) + b"".join(bytes.fromhex(h)[::-1] for h in hashes)
 
 
+def _value(v) -> bytes:
+    """A JSON value: a byte for its kind, then what it holds; keys in the order of their bytes."""
+    if v is None or isinstance(v, bool):
+        return bytes([0 if v is None else 1 + v])
+    if isinstance(v, (int, float)):
+        small = float(v).is_integer() and -(2**31) <= v < 2**31
+        return b"\x03" + _i32_signed(int(v)) if small else b"\x04" + _f64(float(v))
+    if isinstance(v, str):
+        return b"\x05" + _str(v)
+    if isinstance(v, list):
+        return b"\x06" + _i32(len(v)) + b"".join(map(_value, v))
+    return b"\x07" + _members(v)
+
+
+def _i32_signed(v: int) -> bytes:
+    return struct.pack("<i", v)
+
+
+def _members(v: dict) -> bytes:
+    return _i32(len(v)) + b"".join(_str(k) + _value(v[k]) for k in sorted(v, key=str.encode))
+
+
+def meta_bytes(r: dict) -> bytes:
+    """The canonical bytes of a document's meta object, given as JSON text; any that isn't an object counts as an empty one."""
+    v = json.loads(r["meta"]) if r["meta"] else {}
+    return b"m4" + _members(v if isinstance(v, dict) else {})
+
+
+def meta_checksums(metas: DataFrame) -> DataFrame:
+    """map_id, level (meta), id and hash of meta objects (map_id and ``meta``, JSON text)."""
+    return hashed(metas.select("map_id", "meta"), ["map_id"], meta_bytes).select("map_id", F.lit("meta").alias("level"), F.lit("").alias("id"), "hash")
+
+
 def hashed(df: DataFrame, keys: list[str], encode) -> DataFrame:
     """keys and ``hash``, the XXH3-64 of each row's canonical bytes as 16 hex digits."""
 
@@ -117,12 +151,12 @@ def checksums(documents: DataFrame) -> DataFrame:
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """Documents whose ``checksums`` hold the sums of what they have now."""
-    sums = checksums(documents)
+    """Documents whose ``checksums`` hold the sums of what they have now, of known meta fields too."""
+    sums = checksums(documents).unionByName(meta_checksums(documents.select("map_id", F.to_json("meta").alias("meta"))))
     entries = lambda level: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("level") == level, F.struct("id", "hash"))))).alias(f"{level}s")
-    by_map = sums.groupBy("map_id").agg(F.max(F.when(F.col("level") == "file", F.col("hash"))).alias("file"), entries("area"), entries("room"))
+    by_map = sums.groupBy("map_id").agg(F.max(F.when(F.col("level") == "file", F.col("hash"))).alias("file"), F.max(F.when(F.col("level") == "meta", F.col("hash"))).alias("meta_sum"), entries("area"), entries("room"))
     both = documents.join(by_map.withColumnsRenamed({"areas": "areas_sums", "rooms": "rooms_sums"}), "map_id")
-    return both.withColumn("checksums", F.struct(F.lit("v4").alias("alg"), F.col("file").alias("file"), F.lit(None).cast("string").alias("meta"), F.col("areas_sums").alias("areas"), F.col("rooms_sums").alias("rooms"))).drop("file", "areas_sums", "rooms_sums")
+    return both.withColumn("checksums", F.struct(F.lit("v4").alias("alg"), F.col("file").alias("file"), F.col("meta_sum").alias("meta"), F.col("areas_sums").alias("areas"), F.col("rooms_sums").alias("rooms"))).drop("file", "meta_sum", "areas_sums", "rooms_sums")
 
 
 def stored_checksums(documents: DataFrame) -> DataFrame:

@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from wayloom.operators.ordering import numbered
 
 
-def sessions(log: DataFrame) -> DataFrame:
-    """log (log_id, seq, key, type, before, after) with ``session``: a deletion ends a key's chain, an addition begins one."""
-    own = Window.partitionBy("log_id", "key").orderBy("seq")
-    opens = (F.col("type") == "add") | F.coalesce(F.lag("type").over(own) == "delete", F.lit(False))
-    return log.withColumn("_new", opens.cast("int")).withColumn("session", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("_new")
+def sessions(log: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """log (log_id, seq, key, type, before, after) with ``session``: a deletion ends a key's chain, an addition begins one.
 
-
-def folded(log: DataFrame) -> DataFrame:
+    So does ``blocks`` (log_id, key, seq): at seq an operation on something else refers to the key,
+    and what comes later must not be drawn before it.
+    """
+    rows = log.withColumn("_block", F.lit(False))
+    if blocks is not None:
+        only = {"log_id", "key", "seq"}
+        stops = blocks.select("log_id", "key", "seq").distinct().select(*(F.col(c) if c in only else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns), F.lit(True).alias("_block"))
+        rows = rows.unionByName(stops)
+    own = Window.partitionBy("log_id", "key").orderBy("seq", "_block")
+    opens = F.col("_block") | (F.col("type") == "add") | F.coalesce(F.lag("type").over(own) == "delete", F.lit(False))
+    rows = rows.withColumn("_new", opens.cast("int")).withColumn("session", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+    return rows.filter(~F.col("_block")).drop("_new", "_block")
+
+
+def folded(log: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """One operation for each chain: an addition with the last state, or first before and last after.
 
-    A chain from an addition to a deletion vanishes, as does an edit that ends where it began.
+    A chain from an addition to a deletion vanishes, as does an edit that ends where it began;
+    moves, colours and paint (type move, color or paint) keep their first before and last after
+    even if these are equal.
     """
-    chain = sessions(log).groupBy("log_id", "key", "session").agg(
+    chain = sessions(log, blocks).groupBy("log_id", "key", "session").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"), F.min_by("type", "seq").alias("first_type"), F.max_by("type", "seq").alias("last_type"),
         F.min_by("before", "seq").alias("before"), F.max_by("after", "seq").alias("after"),
     )
@@ -58,16 +70,21 @@ def sequence_errors(log: DataFrame) -> DataFrame:
     return numbered(log, ["log_id"], ["pos"], "expected").filter(~F.col("seq").eqNullSafe(F.col("expected")))
 
 
+def _met(rooms: DataFrame, ops: DataFrame) -> DataFrame:
+    """Rooms and folded operations by id, with ``code`` where the operation doesn't fit: it changes nothing then."""
+    last = ops.select(F.col("log_id").alias("map_id"), F.col("key").alias("id"), "seq", "type", "after")
+    both = rooms.withColumn("there", F.lit(True)).join(last, ["map_id", "id"], "full_outer")
+    code = F.when((F.col("type") != "add") & F.col("there").isNull(), "ROOM_MISSING").when((F.col("type") == "add") & F.col("there"), "ROOM_EXISTS")
+    return both.withColumn("code", code)
+
+
 def applied(rooms: DataFrame, ops: DataFrame) -> DataFrame:
-    """Rooms (map_id, id, and ``state``) after folded operations on them: added, replaced or gone."""
-    last = ops.select(F.col("log_id").alias("map_id"), F.col("key").alias("id"), "type", "after")
-    both = rooms.join(last, ["map_id", "id"], "full_outer")
-    return both.filter("type is null or type <> 'delete'").select("map_id", "id", F.when(F.col("type").isNull(), F.col("state")).otherwise(F.col("after")).alias("state"))
+    """Rooms (map_id, id, and ``state``) after folded operations on them: added, replaced or gone. Typed deltas are ``apply``'s."""
+    both = _met(rooms, ops)
+    gone = (F.col("code").isNull() & (F.col("type") == "delete")) | F.col("there").isNull() & F.col("code").isNotNull()
+    return both.filter(~F.coalesce(gone, F.lit(False))).select("map_id", "id", F.when(F.col("type").isNull() | F.col("code").isNotNull(), F.col("state")).otherwise(F.col("after")).alias("state"))
 
 
 def skipped(rooms: DataFrame, ops: DataFrame) -> DataFrame:
     """Operations that meet no room to edit or delete, or one that is there to add, with a code."""
-    there = rooms.select("map_id", "id", F.lit(True).alias("there"))
-    both = ops.select(F.col("log_id").alias("map_id"), F.col("key").alias("id"), "seq", "type").join(there, ["map_id", "id"], "left")
-    code = F.when((F.col("type") != "add") & F.col("there").isNull(), "ROOM_MISSING").when((F.col("type") == "add") & F.col("there"), "CELL_OCCUPIED")
-    return both.withColumn("code", code).filter("code is not null").drop("there")
+    return _met(rooms, ops).filter("code is not null").select("map_id", "id", "seq", "type", "code")

@@ -20,9 +20,8 @@ def rooms_like(rooms: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
 
 def tokens(rooms: DataFrame) -> DataFrame:
     """map_id, token, id, kind (n name, a area): distinct lower-case words of names."""
-    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), ""))
-    of = lambda c, kind: rooms.select("map_id", "id", F.explode(words(c)).alias("token"), F.lit(kind).alias("kind"))
-    return of("name", "n").unionByName(of("area_title", "a"))
+    words = lambda c, kind: F.transform(F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), "")), lambda w: F.struct(w.alias("token"), F.lit(kind).alias("kind")))
+    return rooms.select("map_id", "id", F.inline(F.concat(words("name", "n"), words("area_title", "a"))))
 
 
 def scored(rooms: DataFrame, query: str, limit: int | None = LIMIT) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Transport lines: checks of their documents, and virtual edges from timed legs."""
+"""Transport lines: checks of their documents, sums, and virtual edges from timed legs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.functions.text import json_hash
+from wayloom.operators.rules import each
+
 # Fixed values of the cost model: a ride costs its time by the ratio, and the penalty once.
 PENALTY = {"normal": 30.0, "aggressive": 10.0}
 RATIO = {"normal": 0.5, "aggressive": 0.1}
 DEFAULT_TIME = 60.0
-TRANSPORTS_FORMAT, TRANSPORTS_VERSION = "arkmap-transports", 1
+TRANSPORTS_VERSION = 1
 
 
 def normalized(tuples: DataFrame) -> DataFrame:
@@ -23,44 +26,78 @@ def edges(legs: DataFrame, rooms: DataFrame, mode: str = "normal") -> DataFrame:
 
     A ride goes on along the legs, around the end to the first, while each starts where the one
     before ended; it ends before the room that it began in and before a room outside the map.
-    An unknown mode has no edges.
+    An unknown mode has no edges. How far each ride goes is found before its legs are laid out:
+    each leg knows the next leg that breaks the line, and the next that comes back to where it began.
     """
     known = rooms.select("map_id", F.col("id").alias("room")).distinct()
     n = legs.groupBy("map_id", "line").agg(F.count("*").alias("n"))
     time = F.when(F.col("time") > 0, F.col("time")).otherwise(DEFAULT_TIME)
-    first = legs.join(n, ["map_id", "line"]).join(known.withColumnRenamed("room", "src"), ["map_id", "src"]).select("map_id", "line", "board", "exit_command", "n", F.col("pos").alias("begin"), F.col("src").alias("origin"))
-    turn = first.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).withColumn("pos", F.pmod(F.col("begin") + F.col("off"), F.col("n")).cast("int"))
-    ride = turn.join(legs.select("map_id", "line", "pos", "src", "dst", time.alias("time"), "label"), ["map_id", "line", "pos"])
-    ride = ride.join(known.select("map_id", F.col("room").alias("dst"), F.lit(True).alias("known")), ["map_id", "dst"], "left")
-    own = Window.partitionBy("map_id", "line", "begin").orderBy("off")
-    whole = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = (F.col("src") == F.coalesce(F.lag("dst").over(own), F.col("origin"))) & (F.col("dst") != F.col("origin")) & F.coalesce("known", F.lit(False))
-    ride = ride.withColumn("ok", ok.cast("int"))
-    ride = ride.select("*", F.min("ok").over(whole).alias("all_ok"), F.sum("time").over(whole).alias("ride_time"), F.collect_list(F.struct("label")).over(own.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    known_mode = F.lit(mode in PENALTY)
-    cost = F.col("ride_time") * RATIO.get(mode, 0.0) + PENALTY.get(mode, 0.0)
-    return ride.filter(known_mode & (F.col("all_ok") == 1)).select("map_id", "line", "board", "exit_command", F.col("origin").alias("src"), "dst", cost.alias("cost"), F.col("ride_time").alias("time"), "label", F.transform("before", lambda x: x["label"]).alias("via"))
+    line = Window.partitionBy("map_id", "line").orderBy("pos")
+    own = legs.join(n, ["map_id", "line"]).join(known.select("map_id", F.col("room").alias("dst"), F.lit(True).alias("known")), ["map_id", "dst"], "left")
+    own = own.withColumn("before", F.coalesce(F.lag("dst").over(line), F.last("dst").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    # two rounds of the line, so that a ride around its end is a run of rows
+    twice = own.withColumn("round", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("pos") + F.col("round") * F.col("n"))
+    along = Window.partitionBy("map_id", "line").orderBy("at")
+    later, now_on = along.rowsBetween(1, Window.unboundedFollowing), along.rowsBetween(0, Window.unboundedFollowing)
+    dead = F.when(F.col("known").isNull(), F.col("at"))
+    torn = F.when(F.col("src") != F.col("before"), F.col("at"))
+    twice = twice.withColumns({"dead": F.min(dead).over(now_on), "torn": F.min(torn).over(later), "leg_time": time})
+    begin = twice.filter("round = 0").join(known.withColumnRenamed("room", "src"), ["map_id", "src"])
+    home = twice.select("map_id", "line", F.col("dst").alias("src"), F.col("at").alias("home"))
+    end = F.least(F.col("at") + F.col("n"), F.coalesce("dead", F.col("at") + F.col("n")), F.coalesce("torn", F.col("at") + F.col("n")))
+    begin = begin.select("map_id", "line", "board", "exit_command", "src", F.col("at").alias("begin"), end.alias("end"))
+    back = begin.join(home, ["map_id", "line", "src"]).filter("home >= begin").groupBy("map_id", "line", "begin").agg(F.min("home").alias("home"))
+    begin = begin.join(back, ["map_id", "line", "begin"], "left").withColumn("end", F.least("end", F.coalesce("home", "end"))).filter("end > begin")
+    ride = begin.withColumn("at", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
+    ride = ride.join(twice.select("map_id", "line", "at", "dst", "leg_time", "label"), ["map_id", "line", "at"])
+    labels = twice.groupBy("map_id", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))  # as long as the line
+    upto = Window.partitionBy("map_id", "line", "begin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ride = ride.join(labels, ["map_id", "line"]).withColumn("time", F.sum("leg_time").over(upto))
+    cost = F.col("time") * RATIO.get(mode, 0.0) + PENALTY.get(mode, 0.0)
+    via = F.slice("labels", (F.col("begin") + 1).cast("int"), (F.col("at") - F.col("begin")).cast("int"))
+    return ride.filter(F.lit(mode in PENALTY)).select("map_id", "line", "board", "exit_command", "src", "dst", cost.alias("cost"), "time", "label", via.alias("via"))
+
+
+def document_problems(documents: DataFrame, format_name: str) -> DataFrame:
+    """map_id, path and code of faults of transport documents (map_id, format, version, lines) as a whole."""
+    wrong = lambda c, want: ~F.coalesce(F.col(c) == want, F.lit(False))
+    return each(documents, [(wrong("format", format_name), F.lit("transports.format"), "INVALID_FORMAT"), (wrong("version", TRANSPORTS_VERSION), F.lit("transports.version"), "INVALID_FORMAT_VERSION"), (F.col("lines").isNull(), F.lit("transports.lines"), "MUST_BE_ARRAY")])
 
 
 def problems(lines: DataFrame) -> DataFrame:
-    """map_id, path and message of each fault in lines (map_id, pos, name, board, exit, legs)."""
-    at = F.concat(F.lit("transports.lines["), F.col("pos").cast("string"), F.lit("]"))
-    again = F.row_number().over(Window.partitionBy("map_id", "name").orderBy("pos")) > 1
+    """map_id, path and code of each fault in lines (map_id, pos, name, board, exit, legs)."""
+    at = lambda f: F.concat(F.lit("transports.lines["), F.col("pos").cast("string"), F.lit(f"].{f}"))
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    again = F.row_number().over(Window.partitionBy("map_id", "name").orderBy("pos")) > 1
+    none = lambda c: F.coalesce(F.size(c), F.lit(-1)) < 1
     lines = lines.withColumn("again", again)
-    of_line = lines.select("map_id", F.explode(F.filter(F.array(
-        F.when(blank("name"), F.struct(F.concat(at, F.lit(".name")).alias("path"), F.lit("must be a non-empty string").alias("message"))),
-        F.when(~blank("name") & F.col("again"), F.struct(F.concat(at, F.lit(".name")).alias("path"), F.lit("duplicate line name").alias("message"))),
-        F.when(F.coalesce(F.size("board"), F.lit(0)) < 1, F.struct(F.concat(at, F.lit(".board")).alias("path"), F.lit("must be a non-empty array of strings").alias("message"))),
-        F.when(blank("exit"), F.struct(F.concat(at, F.lit(".exit")).alias("path"), F.lit("must be a non-empty string").alias("message"))),
-        F.when(F.coalesce(F.size("legs"), F.lit(0)) < 1, F.struct(F.concat(at, F.lit(".legs")).alias("path"), F.lit("must be a non-empty array").alias("message"))),
-    ), lambda x: x.isNotNull())).alias("e")).select("map_id", "e.*")
-    leg = lines.select("map_id", at.alias("at"), F.posexplode("legs").alias("j", "g"))
-    leg_at = F.concat(F.col("at"), F.lit(".legs["), F.col("j").cast("string"), F.lit("]"))
+    of_line = each(lines, [
+        (blank("name"), at("name"), "MUST_BE_NONEMPTY_STRING"), (~blank("name") & F.col("again"), at("name"), "DUPLICATE_LINE_NAME"), (none("board") | F.exists("board", lambda c: c.isNull()), at("board"), "MUST_BE_NONEMPTY_STRINGS"),
+        (blank("exit"), at("exit"), "MUST_BE_NONEMPTY_STRING"), (none("legs"), at("legs"), "MUST_BE_NONEMPTY_ARRAY"),
+    ])
+    leg = lines.select("map_id", "pos", F.posexplode("legs").alias("j", "g"))
+    on = lambda f: F.concat(at("legs["), F.col("j").cast("string"), F.lit(f"].{f}"))
     bad = lambda c: F.col(f"g.{c}").isNull() | (F.col(f"g.{c}") <= 0)
-    of_leg = leg.select("map_id", F.explode(F.filter(F.array(
-        F.when(bad("from"), F.struct(F.concat(leg_at, F.lit(".from")).alias("path"), F.lit("must be a positive integer room id").alias("message"))),
-        F.when(bad("to"), F.struct(F.concat(leg_at, F.lit(".to")).alias("path"), F.lit("must be a positive integer room id").alias("message"))),
-        F.when(F.col("g.time") <= 0, F.struct(F.concat(leg_at, F.lit(".time")).alias("path"), F.lit("must be a positive number, null or omitted").alias("message"))),
-    ), lambda x: x.isNotNull())).alias("e")).select("map_id", "e.*")
+    of_leg = each(leg, [(bad("from"), on("from"), "MUST_BE_POSITIVE_INTEGER"), (bad("to"), on("to"), "MUST_BE_POSITIVE_INTEGER"), (F.col("g.time") <= 0, on("time"), "MUST_BE_POSITIVE_NUMBER")])
     return of_line.unionByName(of_leg)
+
+
+def line_json(line: Column) -> Column:
+    """The JSON text of a line that its sum covers: absent fields are left out, legs keep their order."""
+    leg = lambda g: F.struct(g["from"].alias("from"), g["to"].alias("to"), g["time"].alias("time"), g["label"].alias("label"))
+    return F.to_json(F.struct(line["name"].alias("name"), line["board"].alias("board"), line["exit"].alias("exit"), F.transform(line["legs"], leg).alias("legs")))
+
+
+def checksums(documents: DataFrame, format_name: str) -> DataFrame:
+    """map_id, level (line, document), id and hash of the transports of map documents; lines count by name."""
+    own = documents.filter("transports is not null").select("map_id", F.explode("transports.lines").alias("l")).select("map_id", F.col("l.name").alias("id"), line_json(F.col("l")).alias("text"))
+    whole = own.groupBy("map_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), ",").alias("texts"))  # as many as a document has lines
+    text = F.concat(F.lit('{"format":"' + format_name + f'","version":{TRANSPORTS_VERSION},"lines":['), F.coalesce("texts", F.lit("")), F.lit("]}"))
+    every = documents.filter("transports is not null").select("map_id").join(whole, "map_id", "left").select("map_id", F.lit("document").alias("level"), F.lit("").alias("id"), json_hash(text).alias("hash"))
+    return own.select("map_id", F.lit("line").alias("level"), "id", json_hash("text").alias("hash")).unionByName(every)
+
+
+def stored_checksums(documents: DataFrame) -> DataFrame:
+    """The sums of transports that documents bring with them, in the same shape."""
+    lines = documents.select("map_id", F.lit("line").alias("level"), F.explode("checksums.transports.lines").alias("id", "hash"))
+    return lines.unionByName(documents.filter("checksums.transports.hash is not null").select("map_id", F.lit("document").alias("level"), F.lit("").alias("id"), F.col("checksums.transports.hash").alias("hash")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import codes
-from wayloom.operators import canonical, diff, display, geometry, graph, integrity, oplog, routing, rules, search, transports
+from wayloom.operators import apply, canonical, diff, display, geometry, graph, integrity, oplog, routing, rules, search, transports
 from wayloom.plans import grid
 from wayloom.schema import DIRECTIONS
 
@@ -209,7 +210,7 @@ def _ridden(spark, sf):
     return routing.with_rides(_walk(spark, sf).withColumn("map_id", one), _rides(spark, sf, "normal").withColumn("hop", F.col("line")), rooms)
 
 
-_RIDDEN = f"SELECT 0 AS map_id, src, dst, w, NULL AS hop FROM adj WHERE NOT lk AND NOT dst_locked UNION ALL SELECT 0, src, dst, cost, line FROM ({_RIDES.format(ratio=0.5, penalty=30)}) t JOIN rooms r ON r.id = t.dst AND NOT r.locked"
+_RIDDEN = f"SELECT 0 AS map_id, src, dst, w, NULL::BIGINT AS hop FROM adj WHERE NOT lk AND NOT dst_locked UNION ALL SELECT 0, src, dst, cost, line FROM ({_RIDES.format(ratio=0.5, penalty=30)}) t JOIN rooms r ON r.id = t.dst AND NOT r.locked"
 
 
 @query(None, source="long", id="long", cost="double")
@@ -450,7 +451,7 @@ def op_apply(spark, sf):
     return oplog.applied(_base(spark, sf), _last_ops(spark, sf))
 
 
-SQL["op_apply"] = grid.SQL.rstrip() + ",\n" + _CHAINS + ",\n" + _LAST + "\nSELECT log_id::BIGINT AS map_id, key::BIGINT AS id, CASE WHEN type IS NULL THEN state ELSE after END::BIGINT AS state FROM base FULL JOIN last USING (log_id, key) WHERE type IS NULL OR type <> 'delete'"
+SQL["op_apply"] = grid.SQL.rstrip() + ",\n" + _CHAINS + ",\n" + _LAST + "\nSELECT log_id::BIGINT AS map_id, key::BIGINT AS id, CASE WHEN type IS NULL OR (type = 'add' AND state IS NOT NULL) THEN state ELSE after END::BIGINT AS state FROM base FULL JOIN last USING (log_id, key) WHERE CASE WHEN state IS NULL THEN type = 'add' ELSE type IS NULL OR type <> 'delete' END"
 
 
 @query(None, map_id="long", id="long", seq="long", code="string")
@@ -458,7 +459,37 @@ def op_apply_skipped(spark, sf):
     return oplog.skipped(_base(spark, sf), _last_ops(spark, sf))
 
 
-SQL["op_apply_skipped"] = grid.SQL.rstrip() + ",\n" + _CHAINS + ",\n" + _LAST + "\nSELECT log_id::BIGINT AS map_id, key::BIGINT AS id, last_seq AS seq, CASE WHEN type <> 'add' AND state IS NULL THEN 'ROOM_MISSING' WHEN type = 'add' AND state IS NOT NULL THEN 'CELL_OCCUPIED' END AS code FROM last LEFT JOIN base USING (log_id, key) WHERE (type <> 'add' AND state IS NULL) OR (type = 'add' AND state IS NOT NULL)"
+SQL["op_apply_skipped"] = grid.SQL.rstrip() + ",\n" + _CHAINS + ",\n" + _LAST + "\nSELECT log_id::BIGINT AS map_id, key::BIGINT AS id, last_seq AS seq, CASE WHEN type <> 'add' AND state IS NULL THEN 'ROOM_MISSING' WHEN type = 'add' AND state IS NOT NULL THEN 'ROOM_EXISTS' END AS code FROM last LEFT JOIN base USING (log_id, key) WHERE (type <> 'add' AND state IS NULL) OR (type = 'add' AND state IS NOT NULL)"
+
+
+# ---- deltas on maps ----
+
+
+@functools.lru_cache(maxsize=1)
+def _applied(application: str, spark: SparkSession, sf: str) -> apply.State:
+    """The state that the delta leaves; its tables are checkpointed, and the queries of a run share them."""
+    return apply.applied(grid.delta_state(spark, sf), grid.delta_ops(spark, sf))
+
+
+def _delta_query(table: str, sql: str, **kinds: str):
+    """Registers the query of one table of the state that a delta leaves."""
+
+    @query(None, **kinds)
+    def run(spark, sf):
+        state = _applied(spark.sparkContext.applicationId, spark, sf)
+        return apply.skipped(state) if table == "skipped" else getattr(state, table)
+
+    QUERIES[f"delta_{table}"] = QUERIES.pop("run")
+    names = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    SQL[f"delta_{table}"] = grid.SQL.rstrip() + grid.DELTA_SQL.rstrip() + ", result AS (" + sql + ") SELECT " + ", ".join(f"{c}::{names[k]} AS {c}" for c, k in kinds.items()) + " FROM result"
+
+
+_delta_query("rooms", "SELECT * FROM r6", id="long", area_id="long", x="long", y="long", env="long", symbol="string", name="string")
+_delta_query("exits", "SELECT * FROM x5", src="long", key="string", dst="long", special="boolean")
+_delta_query("lines", "SELECT * FROM l7", room_id="long", key="string", line="string")
+_delta_query("labels", "SELECT * FROM b2", area_id="long", id="long", x="double", y="double")
+_delta_query("areas", "SELECT * FROM areas2", id="long", name="string")
+_delta_query("skipped", "SELECT e + 1 AS seq, code FROM skips", seq="long", code="string")
 
 
 # ---- integrity ----
@@ -498,11 +529,9 @@ _PALETTE = "pal AS (SELECT i, CASE WHEN i < 16 THEN [[0,0,0],[128,0,0],[0,128,0]
 
 
 def _colored(spark, sf):
-    rooms = grid.rooms(spark, sf)
     ansi = spark.createDataFrame([(e, (e * 3) % 256) for e in range(0, 300, 2)], "env long, ansi int")
     own = spark.createDataFrame([(e, [e % 256, 10, 20]) for e in range(257, 262, 2)], "env long, rgb array<int>")
-    maps = rooms.select("map_id").distinct()
-    return display.colored(rooms, ansi.crossJoin(F.broadcast(maps)), own.crossJoin(F.broadcast(maps)))
+    return display.colored(grid.rooms(spark, sf), ansi, own)
 
 
 @query(None, id="long", r="long", g="long", b="long", ink="string")
@@ -556,12 +585,25 @@ def inter_area_exits(spark, sf):
     return display.cross_area_exits(grid.exits(spark, sf), grid.rooms(spark, sf))
 
 
-@query(f"""WITH kinds AS ({_KINDS}) SELECT map_id, area_id, z, x, y, max(layer) AS layer FROM (SELECT map_id, area_id, z, x, y, 2 AS layer FROM rooms UNION ALL
-    SELECT map_id, area_id, z, CAST(x0 + floor((2 * i * (x1 - x0) + n) / greatest(2 * n, 1)) AS BIGINT), CAST(y0 + floor((2 * i * (y1 - y0) + n) / greatest(2 * n, 1)) AS BIGINT), 1 FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM (
+@query(f"""WITH kinds AS ({_KINDS}) SELECT map_id, area_id, z, x, y, max(layer) AS layer, arg_max(red, layer * 1000000000000 + nth) AS red FROM (SELECT map_id, area_id, z, x, y, 2 AS layer, room_ord AS nth, env % 256 AS red FROM rooms UNION ALL
+    SELECT map_id, area_id, z, CAST(x0 + floor((2 * i * (x1 - x0) + n) / greatest(2 * n, 1)) AS BIGINT), CAST(y0 + floor((2 * i * (y1 - y0) + n) / greatest(2 * n, 1)) AS BIGINT), 1, 0, 225 FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM (
     SELECT DISTINCT e.map_id, a.area_id, a.z, CASE WHEN e.src < e.dst THEN a.x ELSE b.x END AS x0, CASE WHEN e.src < e.dst THEN a.y ELSE b.y END AS y0, CASE WHEN e.src < e.dst THEN b.x ELSE a.x END AS x1, CASE WHEN e.src < e.dst THEN b.y ELSE a.y END AS y1
-    FROM kinds e JOIN rooms a ON a.map_id = e.map_id AND a.id = e.src JOIN rooms b ON b.map_id = e.map_id AND b.id = e.dst WHERE kind IN ('line', 'oneway'))))) GROUP BY ALL""", map_id="long", area_id="long", z="long", x="long", y="long", layer="long")
+    FROM kinds e JOIN rooms a ON a.map_id = e.map_id AND a.id = e.src JOIN rooms b ON b.map_id = e.map_id AND b.id = e.dst WHERE kind IN ('line', 'oneway'))))) GROUP BY ALL""", map_id="long", area_id="long", z="long", x="long", y="long", layer="long", red="long")
 def raster_cells(spark, sf):
-    return display.raster_cells(grid.rooms(spark, sf), _kinds(spark, sf))
+    return display.raster_cells(_tinted(spark, sf), _kinds(spark, sf)).withColumn("red", F.col("rgb")[0])
+
+
+@query("SELECT map_id, id FROM rooms WHERE area_id = 7 AND z = 0", map_id="long", id="long")
+def plane_rooms(spark, sf):
+    return display.plane(grid.rooms(spark, sf), 7, 0)
+
+
+@query("SELECT c_custkey AS id, '#' || lpad(lower(hex(c_custkey % 256)), 2, '0') || '0aff' AS color, c_custkey % 256 AS r, 255 AS b FROM customer", id="long", color="string", r="long", b="long")
+def hex_colors(spark, sf):
+    k = F.col("c_custkey")
+    hexed = grid.table(spark, sf, "customer").select(k.alias("id"), codes.rgb_to_hex(F.array(k % 256, F.lit(10).cast("long"), F.lit(300).cast("long"))).alias("color"))
+    rgb = codes.hex_to_rgb(F.col("color"))
+    return hexed.select("id", "color", rgb[0].alias("r"), rgb[2].alias("b"))
 
 
 # ---- geometry ----
@@ -627,3 +669,37 @@ def room_squares(spark, sf):
     border = F.when(k == 0, "#80aabbcc").when(k == 1, "#FFaabbcc").when(k == 2, "red").otherwise("")
     data = F.create_map(F.lit("system.fallback_hidden"), F.when(F.col("id") % 10 == 0, "True").otherwise("no"), F.lit("room.ui_borderColor"), border, F.lit("room.ui_borderThickness"), (F.col("id") % 15).cast("string"))
     return geometry.room_squares(_tinted(spark, sf).withColumn("user_data", data), _AT.cell_px)
+
+
+def _drawn(spark, sf):
+    """Custom lines with colours, styles, arrows and doors, by room."""
+    k = F.col("room_id")
+    lines = grid.lines(spark, sf).filter(F.size("points") > 0)
+    return lines.select("map_id", "room_id", "key", F.array(F.array(k % 40 + 1.5, F.lit(2.5)), F.array(k % 40 + 4.5, F.lit(6.5))).alias("points"), F.when(k % 2 == 0, F.array((k % 256).cast("int"), F.lit(10), F.lit(20))).alias("color"), F.when(k % 3 == 0, "dash_dot").when(k % 3 == 1, "dash").alias("style"), (k % 4 == 0).alias("arrow"), F.when(k % 5 == 0, "open").when(k % 5 == 1, "jammed").alias("door"))
+
+
+@query(f"""SELECT l.map_id, room_id, l.key, 1 + 2 AS n_points, x::DOUBLE AS x0, 0e0 - y AS y0, CASE WHEN room_id % 2 = 0 THEN 'rgb(' || room_id % 256 || ',10,20)' ELSE '#aaaaff' END AS color, CASE room_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 0 END AS n_dash, CASE room_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 END * ({_AT.zoom * 2 / 30!r}e0) AS dash,
+    CASE WHEN room_id % 5 <= 1 THEN (x::DOUBLE + room_id % 40 + 1.5e0) / 2 END AS door_x, CASE room_id % 5 WHEN 0 THEN 'rgb(10,155,10)' WHEN 1 THEN 'rgb(155,10,10)' END AS door_color, CASE WHEN room_id % 4 = 0 THEN room_id % 40 + 4.5e0 - (0.6e0 * {3**0.5 / 2!r}e0 + -0.8e0 * 0.5e0) * {_AT.units(_AT.zoom * 10, 8)!r}e0 END AS left_x,
+    CASE WHEN room_id % 4 = 0 THEN -6.5e0 - (-0.8e0 * {3**0.5 / 2!r}e0 + 0.6e0 * 0.5e0) * {_AT.units(_AT.zoom * 10, 8)!r}e0 END AS right_y FROM lines l JOIN rooms r ON r.map_id = l.map_id AND r.id = room_id WHERE drawn""",
+    map_id="long", room_id="long", key="string", n_points="long", x0="double", y0="double", color="string", n_dash="long", dash="double", door_x="double", door_color="string", left_x="double", right_y="double")
+def custom_lines(spark, sf):
+    out = geometry.custom_lines(_drawn(spark, sf), grid.rooms(spark, sf), _AT.cell_px)
+    return out.select("*", F.size("xs").alias("n_points"), F.col("xs")[0].alias("x0"), F.col("ys")[0].alias("y0"), F.size("dash").alias("n_dash"), F.get("dash", F.lit(0)).alias("dash1"), F.get("head_x", F.lit(1)).alias("left_x"), F.get("head_y", F.lit(2)).alias("right_y")).drop("dash").withColumnRenamed("dash1", "dash")
+
+
+@query(f"""SELECT map_id, src AS id, key, x::DOUBLE AS x, (0e0 - y) + {_AT.room_px / 30 / 4!r}e0 - {_AT.room_px / 30 / 5 * 0.8!r}e0 AS top_y, CASE WHEN (greatest(env % 256, 20) / 255e0 + least(env % 256, 10) / 255e0) / 2 > 0.41e0 THEN 'rgba(25,25,25,0.6)' ELSE 'rgba(225,255,255,0.6)' END AS fill
+    FROM (SELECT e.map_id, src, key, x, y, env FROM exits e JOIN rooms r ON r.map_id = e.map_id AND r.id = src WHERE NOT special AND key = 'up')""", map_id="long", id="long", key="string", x="double", top_y="double", fill="string")
+def inner_marks(spark, sf):
+    out = geometry.inner_marks(grid.exits(spark, sf), _tinted(spark, sf), _AT.cell_px)
+    return out.select("*", F.col("xs")[0].alias("x"), F.col("ys")[0].alias("top_y"))
+
+
+@query(f"""SELECT map_id, id, x::DOUBLE + {_AT.half!r}e0 AS x, (0e0 - y) - {_AT.half!r}e0 AS y, CASE WHEN env % 256 * 0.299e0 + 10 * 0.587e0 + 20 * 0.114e0 > 140 THEN '#111' ELSE '#fff' END AS color FROM rooms r WHERE EXISTS (SELECT 1 FROM exits e WHERE e.map_id = r.map_id AND e.src = r.id AND special)""", map_id="long", id="long", x="double", y="double", color="string")
+def special_markers(spark, sf):
+    return geometry.special_markers(grid.exits(spark, sf), _tinted(spark, sf), _AT.cell_px)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 40 < 4 THEN NULL WHEN c_custkey % 40 < 15 THEN 0.025 WHEN c_custkey % 40 < 30 THEN 0.035 ELSE 0.045 END AS alpha FROM customer", id="long", alpha="double")
+def grid_alpha(spark, sf):
+    k = F.col("c_custkey")
+    return grid.table(spark, sf, "customer").select(k.alias("id"), geometry.grid_alpha(k % 40).alias("alpha"))

@@ -117,6 +117,96 @@ def colors(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
     return base.select(F.lit(0).cast("long").alias("map_id"), k.alias("env"), F.array(red, F.lit(10).cast("long"), F.lit(20).cast("long")).alias("rgb"))
 
 
+def delta_state(spark: SparkSession, sf_dir: str):
+    """One map to which a delta is applied: customers as rooms, nations as areas, parts as labels."""
+    from wayloom.operators.apply import State
+
+    k, zero = F.col("c_custkey"), F.lit(0).cast("long")
+    cust = table(spark, sf_dir, "customer")
+    rooms = cust.select(zero.alias("map_id"), (k + 1).alias("id"), F.col("c_nationkey").cast("long").alias("area_id"), (k % ROW).alias("x"), F.expr(f"c_custkey div {ROW}").alias("y"), zero.alias("z"), (k % 9).alias("env"), F.substring("c_mktsegment", 1, 1).alias("symbol"), F.col("c_name").alias("name"))
+    exits = cust.select(zero.alias("map_id"), (k + 1).alias("src"), F.explode(F.array(F.struct(F.lit("n").alias("key"), (k + 2).alias("dst"), F.lit(False).alias("special")), F.struct(F.lit("e").alias("key"), (k + 11).alias("dst"), F.lit(False).alias("special")), F.struct(F.lit("climb").alias("key"), (k + 3).alias("dst"), F.lit(True).alias("special")))).alias("e")).select("map_id", "src", "e.*")
+    lines = cust.filter(k % 2 == 0).select(zero.alias("map_id"), (k + 1).alias("room_id"), F.lit("n").alias("key"), F.lit("old").alias("line"))
+    areas = table(spark, sf_dir, "nation").select(zero.alias("map_id"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    p = F.col("p_partkey")
+    labels = table(spark, sf_dir, "part").select(zero.alias("map_id"), (p % 25).alias("area_id"), p.alias("id"), (p % 50).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(2.0).alias("width"), F.lit(1.0).alias("height"), F.col("p_name").alias("text"))
+    colors = table(spark, sf_dir, "supplier").select(zero.alias("map_id"), F.col("s_suppkey").alias("env"), F.array(F.col("s_suppkey") % 256, F.lit(1).cast("long"), F.lit(2).cast("long")).alias("rgb"))
+    return State(areas, rooms, exits, lines, labels, colors)
+
+
+DELTA_TYPES = ["ADD_ROOM", "DELETE_ROOM", "MOVE_ROOM_TO_AREA", "MOVE_ROOM", "EDIT_ROOM", "ADD_EXIT", "DELETE_EXIT", "DELETE_SPECIAL_EXIT", "PAINT_BATCH", "ADD_CL", "EDIT_CL", "DELETE_CL", "MOVE_LABEL", "DELETE_LABEL", "EDIT_ENV_COLOR", "ADD_AREA", "EDIT_AREA"]
+
+
+def delta_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as operations on that map; rooms that move are every third, and targets keep clear of these."""
+    from wayloom.operators.apply import OPERATIONS
+    from wayloom.schema import lookup
+
+    e, n = F.col("event_id"), table(spark, sf_dir, "customer").count()
+    kind = F.element_at(F.array(*map(F.lit, DELTA_TYPES)), (e % len(DELTA_TYPES) + 1).cast("int"))
+    y = e % (n // ROW + 1)
+    x = F.when((e % 45 < ROW) & ((e % 45 + y + 1) % 3 == 0), 44).otherwise(e % 45)
+    room = F.when(e % 10 == 0, 1_000_000_000).when(F.col("type") == "MOVE_ROOM", F.floor((e * 7 % n) / 3) * 3 + 3).otherwise(e * 7 % n + 1)
+    new = F.col("type") == "ADD_ROOM"
+    of = {
+        "map_id": F.lit(0), "seq": e + 1, "type": F.col("type"), "room": F.when(new, F.concat(F.lit("d:"), (e + 1).cast("string"))).otherwise(room.cast("string")), "area": F.when(F.col("type") == "ADD_AREA", F.concat(F.lit("d:"), (e + 1).cast("string"))).otherwise((e % 30).cast("string")),
+        "to_area": (e * 3 % 30).cast("string"), "dst": F.when(e % 37 == 0, "d:999999999").otherwise((e * 13 % n + 1).cast("string")), "label": (e * 5 % 500).cast("string"), "key": F.when(F.col("type") == "DELETE_SPECIAL_EXIT", "climb").otherwise(lookup(e % 4, {0: "n", 1: "e", 2: "s", 3: "up"})),
+        "x": x, "y": y, "z": F.lit(0), "env": F.when(F.col("type") == "EDIT_ENV_COLOR", e % 50).otherwise(e % 9), "symbol": F.when(F.col("type") == "PAINT_BATCH", F.when(e % 2 == 0, "s").otherwise("")), "name": F.concat(F.lit("new "), e.cast("string")),
+        "line": F.lit("new"), "rgb": F.when(e % 4 > 0, F.array(*[F.lit(9).cast("long")] * 3)),
+    }
+    kinds = dict(c.strip().rsplit(" ", 1) for c in OPERATIONS.split(","))
+    base = table(spark, sf_dir, "events").select(e, kind.alias("type"))
+    return base.select(*(of.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+
+
+#: The state after those operations and the skipped ones, as SQL to stand before a query.
+DELTA_SQL = f""" , cn AS (SELECT count(*) AS n FROM customer),
+ev AS (SELECT event_id AS e, ['{"', '".join(DELTA_TYPES)}'][event_id % {len(DELTA_TYPES)} + 1] AS type, event_id % (n // {ROW} + 1) AS y, CASE WHEN e % 45 < {ROW} AND (e % 45 + y + 1) % 3 = 0 THEN 44 ELSE e % 45 END AS x,
+  CASE WHEN e % 10 = 0 THEN 1000000000 WHEN type = 'MOVE_ROOM' THEN (e * 7 % n) // 3 * 3 + 3 ELSE e * 7 % n + 1 END AS room, e % 30 AS area, e * 3 % 30 AS to_area, e * 13 % n + 1 AS dst, e % 37 = 0 AS lost, e * 5 % 500 AS label, ['n', 'e', 's', 'up'][e % 4 + 1] AS key FROM events, cn),
+skip0 AS (SELECT e, 'SID_LEFTOVER' AS code FROM ev WHERE lost), todo AS (SELECT * FROM ev WHERE NOT lost),
+areas0 AS (SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation), areas1 AS (SELECT * FROM areas0 UNION ALL SELECT (SELECT max(id) FROM areas0) + row_number() OVER (ORDER BY e), 'new ' || e FROM todo WHERE type = 'ADD_AREA'),
+ea AS (SELECT * FROM todo WHERE type = 'EDIT_AREA' QUALIFY row_number() OVER (PARTITION BY area ORDER BY e DESC) = 1), areas2 AS (SELECT a.id, CASE WHEN ea.e IS NOT NULL THEN 'new ' || ea.e ELSE a.name END AS name FROM areas1 a LEFT JOIN ea ON ea.area = a.id),
+colors1 AS (SELECT s_suppkey AS env, [s_suppkey % 256, 1, 2] AS rgb FROM supplier), ec AS (SELECT *, e % 50 AS env FROM todo WHERE type = 'EDIT_ENV_COLOR' QUALIFY row_number() OVER (PARTITION BY e % 50 ORDER BY e DESC) = 1),
+colors2 AS (SELECT * FROM colors1 WHERE env NOT IN (SELECT env FROM ec) UNION ALL SELECT env, [9, 9, 9] FROM ec WHERE e % 4 > 0),
+r0 AS (SELECT c_custkey + 1 AS id, c_nationkey::BIGINT AS area_id, c_custkey % {ROW} AS x, c_custkey // {ROW} AS y, c_custkey % 9 AS env, left(c_mktsegment, 1) AS symbol, c_name AS name FROM customer),
+ar AS (SELECT e, area, x, y, CASE WHEN area NOT IN (SELECT id FROM areas2) THEN 'AREA_MISSING' WHEN EXISTS (SELECT 1 FROM r0 WHERE r0.area_id = t.area AND r0.x = t.x AND r0.y = t.y) OR row_number() OVER (PARTITION BY area, x, y ORDER BY e) > 1 THEN 'CELL_OCCUPIED' END AS code FROM todo t WHERE type = 'ADD_ROOM'),
+r1 AS (SELECT * FROM r0 UNION ALL SELECT (SELECT n FROM cn) + row_number() OVER (ORDER BY e), area, x, y, e % 9, NULL, 'new ' || e FROM ar WHERE code IS NULL),
+ma AS (SELECT e, room, to_area, CASE WHEN r.id IS NULL THEN 'ROOM_MISSING' WHEN to_area NOT IN (SELECT id FROM areas2) THEN 'TARGET_AREA_MISSING' WHEN r.area_id = to_area THEN 'ALREADY_IN_AREA' END AS code FROM (SELECT * FROM todo WHERE type = 'MOVE_ROOM_TO_AREA' QUALIFY row_number() OVER (PARTITION BY room ORDER BY e DESC) = 1) t LEFT JOIN r1 r ON r.id = t.room),
+r2 AS (SELECT r.* REPLACE (coalesce(m.to_area, r.area_id) AS area_id) FROM r1 r LEFT JOIN ma m ON m.room = r.id AND m.code IS NULL),
+dr AS (SELECT e, room, CASE WHEN room NOT IN (SELECT id FROM r2) THEN 'ROOM_MISSING' END AS code FROM todo WHERE type = 'DELETE_ROOM' QUALIFY row_number() OVER (PARTITION BY room ORDER BY e DESC) = 1), gone AS (SELECT room AS id FROM dr WHERE code IS NULL),
+r3 AS (SELECT * FROM r2 WHERE id NOT IN (SELECT id FROM gone)),
+x0 AS (SELECT c_custkey + 1 AS src, unnest(['n', 'e', 'climb']) AS key, unnest([c_custkey + 2, c_custkey + 11, c_custkey + 3]) AS dst, unnest([false, false, true]) AS special FROM customer),
+x3 AS (SELECT * FROM x0 WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)),
+l3 AS (SELECT c_custkey + 1 AS room_id, 'n' AS key, 'old' AS line FROM customer WHERE c_custkey % 2 = 0 AND c_custkey + 1 NOT IN (SELECT id FROM gone) AND c_custkey + 2 NOT IN (SELECT id FROM gone)),
+mr0 AS (SELECT t.*, r.id, r.area_id AS a, r.x AS rx, r.y AS ry FROM (SELECT * FROM todo WHERE type = 'MOVE_ROOM' QUALIFY row_number() OVER (PARTITION BY room ORDER BY e DESC) = 1) t LEFT JOIN r3 r ON r.id = t.room),
+mr1 AS (SELECT *, CASE WHEN id IS NULL THEN 'ROOM_MISSING' WHEN x = rx AND y = ry THEN 'ALREADY_THERE' WHEN EXISTS (SELECT 1 FROM r3 o WHERE o.area_id = m.a AND o.x = m.x AND o.y = m.y AND o.id <> m.id) THEN 'CELL_OCCUPIED' END AS c0 FROM mr0 m),
+mr AS (SELECT *, coalesce(c0, CASE WHEN row_number() OVER (PARTITION BY a, x, y, c0 ORDER BY e) > 1 THEN 'CELL_OCCUPIED' END) AS code FROM mr1),
+r4 AS (SELECT r.* REPLACE (coalesce(m.x, r.x) AS x, coalesce(m.y, r.y) AS y) FROM r3 r LEFT JOIN mr m ON m.room = r.id AND m.code IS NULL),
+er AS (SELECT e, room, CASE WHEN room NOT IN (SELECT id FROM r4) THEN 'ROOM_MISSING' END AS code FROM todo WHERE type = 'EDIT_ROOM' QUALIFY row_number() OVER (PARTITION BY room ORDER BY e DESC) = 1),
+r5 AS (SELECT r.* REPLACE (CASE WHEN t.e IS NOT NULL THEN 'new ' || t.e ELSE r.name END AS name, coalesce(t.e % 9, r.env) AS env) FROM r4 r LEFT JOIN er t ON t.room = r.id),
+dx AS (SELECT e, room, key, CASE WHEN NOT EXISTS (SELECT 1 FROM x3 WHERE src = room AND x3.key = t.key AND NOT special) THEN 'EXIT_MISSING' END AS code FROM todo t WHERE type = 'DELETE_EXIT' QUALIFY row_number() OVER (PARTITION BY room, key ORDER BY e DESC) = 1),
+ds AS (SELECT e, room, CASE WHEN NOT EXISTS (SELECT 1 FROM x3 WHERE src = room AND special) THEN 'SPECIAL_EXIT_MISSING' END AS code FROM todo t WHERE type = 'DELETE_SPECIAL_EXIT' QUALIFY row_number() OVER (PARTITION BY room ORDER BY e DESC) = 1),
+x4 AS (SELECT * FROM x3 WHERE NOT EXISTS (SELECT 1 FROM dx WHERE room = src AND dx.key = x3.key AND NOT special) AND NOT EXISTS (SELECT 1 FROM ds WHERE room = src AND special)),
+l4 AS (SELECT * FROM l3 WHERE NOT EXISTS (SELECT 1 FROM dx WHERE code IS NULL AND room = room_id AND dx.key = l3.key)),
+ax0 AS (SELECT t.*, h.dst AS has, room IN (SELECT id FROM r5) AND t.dst IN (SELECT id FROM r5) AS fine FROM todo t LEFT JOIN x4 h ON h.src = t.room AND h.key = t.key AND NOT h.special WHERE type = 'ADD_EXIT'),
+ax AS (SELECT *, CASE WHEN NOT fine THEN 'SRC_OR_TGT_MISSING' WHEN coalesce(has, first_value(dst) OVER (PARTITION BY room, key, fine ORDER BY e)) <> dst THEN 'DIR_OCCUPIED' END AS code FROM ax0),
+x5 AS (SELECT * FROM x4 UNION ALL SELECT DISTINCT room, key, dst, false FROM ax WHERE code IS NULL AND has IS NULL),
+ac AS (SELECT e, room, key, CASE WHEN room NOT IN (SELECT id FROM r5) THEN 'ROOM_MISSING' END AS code FROM todo WHERE type = 'ADD_CL' QUALIFY row_number() OVER (PARTITION BY room, key ORDER BY e DESC) = 1),
+l5 AS (SELECT * FROM l4 WHERE NOT EXISTS (SELECT 1 FROM ac WHERE code IS NULL AND room = room_id AND ac.key = l4.key) UNION ALL SELECT room, key, 'new' FROM ac WHERE code IS NULL),
+ed AS (SELECT e, room, key, CASE WHEN room NOT IN (SELECT id FROM r5) THEN 'ROOM_MISSING' WHEN NOT EXISTS (SELECT 1 FROM l5 WHERE room_id = room AND l5.key = t.key) THEN 'CL_MISSING' END AS code FROM todo t WHERE type = 'EDIT_CL' QUALIFY row_number() OVER (PARTITION BY room, key ORDER BY e DESC) = 1),
+l6 AS (SELECT * REPLACE (CASE WHEN EXISTS (SELECT 1 FROM ed WHERE code IS NULL AND room = room_id AND ed.key = l5.key) THEN 'new' ELSE line END AS line) FROM l5),
+dc AS (SELECT e, room, key, CASE WHEN NOT EXISTS (SELECT 1 FROM l6 WHERE room_id = room AND l6.key = t.key) THEN 'CL_MISSING' END AS code FROM todo t WHERE type = 'DELETE_CL' QUALIFY row_number() OVER (PARTITION BY room, key ORDER BY e DESC) = 1),
+l7 AS (SELECT * FROM l6 WHERE NOT EXISTS (SELECT 1 FROM dc WHERE code IS NULL AND room = room_id AND dc.key = l6.key)),
+pb AS (SELECT e, room, CASE WHEN room NOT IN (SELECT id FROM r5) THEN 'NO_ROOM_EXISTS' END AS code FROM todo WHERE type = 'PAINT_BATCH'), pl AS (SELECT * FROM pb WHERE code IS NULL QUALIFY row_number() OVER (PARTITION BY room ORDER BY e DESC) = 1),
+r6 AS (SELECT r.* REPLACE (coalesce(p.e % 9, r.env) AS env, CASE WHEN p.e IS NULL THEN r.symbol WHEN p.e % 2 = 0 THEN 's' END AS symbol) FROM r5 r LEFT JOIN pl p ON p.room = r.id),
+b0 AS (SELECT p_partkey % 25 AS area_id, p_partkey AS id, (p_partkey % 50)::DOUBLE AS x, 0::DOUBLE AS y FROM part),
+ml AS (SELECT e, area, label, x, y, CASE WHEN NOT EXISTS (SELECT 1 FROM b0 WHERE area_id = area AND id = label) THEN 'LABEL_MISSING' END AS code FROM todo WHERE type = 'MOVE_LABEL' QUALIFY row_number() OVER (PARTITION BY area, label ORDER BY e DESC) = 1),
+b1 AS (SELECT b.* REPLACE (coalesce(m.x, b.x) AS x, coalesce(m.y, b.y) AS y) FROM b0 b LEFT JOIN ml m ON m.area = b.area_id AND m.label = b.id),
+dl AS (SELECT e, area, label, CASE WHEN NOT EXISTS (SELECT 1 FROM b1 WHERE area_id = area AND id = label) THEN 'LABEL_MISSING' END AS code FROM todo WHERE type = 'DELETE_LABEL' QUALIFY row_number() OVER (PARTITION BY area, label ORDER BY e DESC) = 1),
+b2 AS (SELECT b.* FROM b1 b LEFT JOIN dl d ON d.area = b.area_id AND d.label = b.id WHERE d.e IS NULL),
+skips AS (SELECT * FROM skip0 UNION ALL SELECT e, 'AREA_MISSING' FROM ea WHERE area NOT IN (SELECT id FROM areas1) {"".join(f" UNION ALL SELECT e, code FROM {t} WHERE code IS NOT NULL" for t in ("ar", "ma", "dr", "mr", "er", "dx", "ds", "ax", "ac", "ed", "dc", "pb", "ml", "dl"))})
+"""
+
+
 def _arrays(*pairs) -> Column:
     """The values whose condition holds, in order."""
     return F.filter(F.array(*(F.when(on, F.lit(v)) for v, on in pairs)), lambda v: v.isNotNull())

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayloom.functions.text import canonical_json
+from wayloom.operators.canonical import stripped_struct
 from wayloom.schema import FORMAT_VERSION, MAP
 
 
@@ -34,9 +36,22 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.col("_metadata.file_name").alias("map_id"), "*")
 
 
+def canonical_documents(documents: DataFrame) -> DataFrame:
+    """map_id and text: each document in its canonical text.
+
+    Areas, rooms and labels stand in the order of their ids, and fields of rooms that equal their
+    defaults are left out, as are absent fields.
+    """
+    by_id = lambda xs: F.array_sort(xs, lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    bare = lambda r: stripped_struct(r)
+    areas = F.transform(by_id(F.col("areas")), lambda a: a.withField("rooms", F.transform(by_id(a["rooms"]), bare)).withField("labels", by_id(a["labels"])))
+    out = documents.withColumn("areas", areas)
+    return out.select("map_id", canonical_json(F.to_json(F.struct(*(c for c in documents.columns if c != "map_id")))).alias("text"))
+
+
 def write_maps(documents: DataFrame, path: str) -> None:
-    """Documents as JSON lines, absent fields left out."""
-    documents.drop("map_id").write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    """Documents in canonical text, a file for each partition; one document a file needs as many partitions."""
+    canonical_documents(documents).select("text").write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def empty_map(spark: SparkSession, format_name: str, name: str = "New map") -> DataFrame:
