@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.llm import embedding_dedup
+from wayloom.llm.components import components
 
 
 @pytest.mark.parametrize("block", [4096, 64])
@@ -37,5 +38,14 @@ def test_odd_columns_and_ids(spark):
     assert got == sorted([(None, 1, 7, False), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)], key=repr)
 
 
+def test_components_of_chains_rings_and_odd_links(spark):
+    chain = [(i, i + 1) for i in range(60)]
+    ring = [(100 + i, 100 + (i + 7) % 30) for i in range(30)]
+    odd = [(200, 200), (300, 301), (301, 300), (300, 301), (400, None)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain + ring + odd, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(61), 0) | dict.fromkeys(range(100, 130), 100) | {300: 300, 301: 300}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_empty(spark):
     assert embedding_dedup.clustered(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -316,6 +316,31 @@ def test_language_model(spark, docs):
     assert language_model.scored(empty(spark).withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_language_model_scores_step_by_step(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{min(r.randrange(1, 400), r.randrange(1, 400))}" for _ in range(r.randrange(0, 60))), i % 4 == 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    chunks = language_model.chunks(df).cache()
+    each, counts, v = language_model.counted(chunks)
+    ready = language_model.symbolic(chunks, each, counts, v).cache()
+    w = language_model.trained(ready.repartition(1), v)
+    other = language_model.trained(ready.repartition(3), v)
+    assert all(np.allclose(w[k], other[k], atol=1e-5) for k in w)  # the tasks don't matter
+    got = {x.doc_id: x.score for x in language_model.scored(df).collect()}
+    end = v.symbols.end
+    for part in ready.toPandas().itertuples():
+        tokens, at = np.frombuffer(part.tokens, np.uint16).astype(int), 0
+        for doc_id, n, outside in zip(part.ids, part.lengths, part.outside):
+            h, before, total = np.zeros((1, gru.HIDDEN), np.float32), end, outside
+            for k, symbol in enumerate(tokens[at : at + n].tolist()):
+                h = gru.run(w, np.array([[before]]), np.array([[k == 0]]), h)[-1]
+                every = gru.log_p(w, v.symbols, np.repeat(h, len(v.mass), 0), np.arange(len(v.mass)))
+                assert abs(np.exp(every.astype(float)).sum() - 1) < 1e-3
+                total, before = total + every[symbol] / math.log(10), symbol
+            assert abs(total - got[doc_id]) < 1e-2 * max(1, n / 10)
+            at += n
+
+
 def test_language_model_rare_words_have_symbols(spark):
     times = {f"w{i}": 1 + i % 7 for i in range(5000)}
     text = " ".join(w for w, n in times.items() for _ in range(n))

@@ -27,6 +27,7 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches, table
 
@@ -195,7 +196,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         _, encode = encoder(path)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def digested(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -214,7 +215,7 @@ def digested(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             by_text.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

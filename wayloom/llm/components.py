@@ -4,6 +4,9 @@ In each round every node moves to the least of its neighbours and itself, and th
 with their nodes; rounds end when no link joins two nodes. Nodes, links and moves stay tables;
 what is grouped is reduced by min before the shuffle, so a node with very many links is no
 hot spot. Links that come as stars around their least member need a round or two.
+
+Edge cases: a link from a node to itself, repeated links and either direction count once; links with
+a null end are left out; without links there are no rows.
 """
 
 from __future__ import annotations

@@ -5,6 +5,9 @@ in classes of equal mass, then the hashed symbols of all other words, in classes
 probability of a symbol is that of its class times its own within the class. Documents stand one
 after another in lanes; the state is set back where a document begins and is carried from one
 window to the next otherwise, so windows bound the memory and not the context.
+
+Edge cases: every document has at least its end, so none is empty; a symbol alone in its class has
+the class's probability; no documents give no scores.
 """
 
 from __future__ import annotations

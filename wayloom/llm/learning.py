@@ -1,4 +1,9 @@
-"""What the two classifiers share: word hashes, the labelled sample and the path of a model."""
+"""What the two classifiers share: word hashes, the labelled sample and the path of a model.
+
+Edge cases: labels without an id or a label are left out, of repeated labels the largest counts, and
+of documents with one id the one with the least features; texts without words have no hashes; an
+empty sample gives no model (None).
+"""
 
 from __future__ import annotations
 
