@@ -6,7 +6,7 @@ import json
 import xxhash
 
 from wayloom.functions import text
-from wayloom.operators import apply, canonical, delta
+from wayloom.operators import apply, canonical, delta, oplog
 from wayloom.streaming import logs
 
 
@@ -131,3 +131,25 @@ def test_apply_by_type(spark):
     assert {(r.area_id, r.id, r.x) for r in out.labels.collect()} == {(1, 5, 0.0), (1, 6, 5.0)} and out.colors.collect() == [(0, 4, [7, 7, 7])]
     some = apply.applied(apply.State(areas, rooms, exits, lines, labels, colors), ops, only_seq=[20])
     assert apply.skipped(some).count() == 0 and some.colors.count() == 0 and some.rooms.count() == 6
+
+
+def test_written_deltas_pass_the_gates(spark, tmp_path):
+    rows = [("a", 4, "MOVE_ROOM", "two", '{"roomId": 2}', '{"toX":1,"toY":2,"toZ":0}'), ("a", 2, "ADD_AREA", 'na"me', '{"areaId":"d:1"}', '{"area":{"name":"x"}}'), ("a", 3, "NOTE", "", "{}", "{}"), ("b", 1, "DELETE_AREA", None, '{"areaId":5}', None)]
+    ops = spark.createDataFrame(rows, "delta_id string, seq long, type string, label string, target string, payload string")
+    metas = spark.createDataFrame([("a", '{"author": "me"}'), ("b", "{}"), ("none", "{}")], "delta_id string, meta string")
+    for r in delta.texts(ops, metas, "lanes-delta").collect():
+        write(tmp_path, r.delta_id, r.text)
+        assert r.text == text.canonical(json.loads(r.text))
+    files = delta.read(spark, str(tmp_path))
+    assert delta.gates(files, "lanes-delta").count() == 0
+    read = delta.operations(files)
+    assert {(r.delta_id, r.seq, r.type, r.label) for r in read.collect()} == {("a", 1, "ADD_AREA", 'na"me'), ("a", 2, "MOVE_ROOM", "two"), ("b", 1, "DELETE_AREA", "")}
+    assert delta.problems(read).count() == 0 and delta.reference_problems(read).count() == 0
+
+
+def test_chains_stop_where_something_else_refers_to_them(spark):
+    log = spark.createDataFrame([(0, 1, 1, "edit", 0, 1), (0, 3, 1, "edit", 1, 2), (0, 4, 1, "edit", 2, 3), (0, 5, 2, "move", 7, 8), (0, 6, 2, "move", 8, 7), (0, 7, 3, "edit", 4, 5), (0, 8, 3, "edit", 5, 4)], "log_id long, seq long, key long, type string, before long, after long")
+    blocks = spark.createDataFrame([(0, 1, 2)], "log_id long, key long, seq long")
+    got = {(r.key, r.first_seq, r.last_seq, r.before, r.after) for r in oplog.folded(log, blocks).collect()}
+    assert got == {(1, 1, 1, 0, 1), (1, 3, 4, 1, 3), (2, 5, 6, 7, 7)}
+    assert {(r.key, r.n) for r in oplog.folded(log).collect()} == {(1, 3), (2, 2)}

@@ -7,8 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayloom.functions import codes
-from wayloom.operators import diff, display, graph, integrity, oplog, routing, rules, search, transports
+from wayloom.functions import codes, text
+from wayloom.operators import delta, diff, display, graph, integrity, oplog, routing, rules, search, transports
 from wayloom.sources import json_map
 
 ROOMS = [
@@ -97,6 +97,49 @@ def test_transport_rides_wrap_and_stop(spark):
     assert transports.edges(legs, rooms.filter("id <> 3")).count() == 1
 
 
+def test_rides_end_where_the_line_breaks(spark):
+    rows = [("a", 0, 1, 2, 0.1), ("a", 1, 2, 3, 0.2), ("a", 2, 9, 4, 0.3), ("a", 3, 4, 2, 0.4), ("b", 0, 5, 5, 1.0), ("b", 1, 5, 6, 2.0)]
+    legs = spark.createDataFrame([(0, line, ["on"], "off", k, a, b, t, f"{line}{k}") for line, k, a, b, t in rows], "map_id long, line string, board array<string>, exit_command string, pos int, src int, dst int, time double, label string")
+    rooms = spark.createDataFrame([(0, i) for i in range(1, 7)], "map_id long, id int")
+    got = {(r.line, r.src, r.dst): (r.time, r.label, r.via) for r in transports.edges(legs, rooms).collect()}
+    assert got == {("a", 1, 2): (0.1, "a0", []), ("a", 1, 3): (0.1 + 0.2, "a1", ["a0"]), ("a", 2, 3): (0.2, "a1", []), ("a", 4, 2): (0.4, "a3", []), ("b", 5, 6): (2.0, "b1", [])}
+
+
+def test_transport_documents_and_their_sums(spark, maps):
+    tuples = spark.createDataFrame([(0, "ship", ["board"], "leave", [(1, 2, 5, "pier"), (2, 1, None, None)])], "map_id long, name string, board array<string>, exit_command string, stops array<struct<from:int,to:int,time:int,label:string>>")
+    assert [(r.line, r.pos, r.src, r.dst, r.time, r.label) for r in transports.normalized(tuples).collect()] == [("ship", 0, 1, 2, 5.0, "pier"), ("ship", 1, 2, 1, None, None)]
+    lines = [{"name": "b", "board": ["x"], "exit": "y", "legs": [{"from": 1, "to": 2, "time": 1.5}]}, {"name": "a", "board": ["x"], "exit": "y", "legs": [{"from": 2, "to": 1, "label": "l"}]}]
+    sums = {(r.level, r.id): r.hash for r in transports.checksums(maps(document(transports={"format": "rides", "version": 1, "lines": lines})), "rides").collect()}
+    own = lambda v: xxhash.xxh3_64_hexdigest(text.canonical(v).encode())
+    assert sums == {("line", "a"): own(lines[1]), ("line", "b"): own(lines[0]), ("document", ""): own({"format": "rides", "version": 1, "lines": lines[::-1]})}
+    signed = maps(document(transports={"format": "rides", "version": 1, "lines": lines}, checksums={"transports": {"hash": "0", "lines": {"a": own(lines[1]), "gone": "1"}}}), "s.json")
+    found = integrity.verified(transports.stored_checksums(signed), transports.checksums(signed, "rides"), ["map_id", "level", "id"])
+    assert {(r.level, r.id, r.verdict) for r in found.collect()} == {("document", "", "bad"), ("line", "b", "missing"), ("line", "gone", "extra")}
+    docs = spark.createDataFrame([(0, "rides", 1, [1]), (1, "x", 2, None)], "map_id long, format string, version int, lines array<int>")
+    assert {(r.map_id, r.code) for r in transports.document_problems(docs, "rides").collect()} == {(1, "INVALID_FORMAT"), (1, "INVALID_FORMAT_VERSION"), (1, "MUST_BE_ARRAY")}
+
+
+def test_canonical_documents(spark, maps, tmp_path):
+    doc = document([dict(ROOMS[1], weight=1, locked=False, tags=[]), ROOMS[0]])
+    found = json_map.canonical_documents(maps(doc)).first().text
+    rooms = [ROOMS[0], ROOMS[1] | {"exit_weights": {"e": 4.0}}]
+    assert found == text.canonical(document(rooms))
+    json_map.write_maps(maps(doc), str(tmp_path / "out"))
+    assert json_map.exploded(json_map.read_maps(spark, str(tmp_path / "out"))).rooms.count() == 2
+
+
+def test_base_identity_and_meta_sums(maps):
+    docs = maps(document() | {"meta": {"map_name": "t", "user_data": {"version": "7", "revision": ""}}})
+    sums = integrity.checksums(docs)
+    by = {(r.level, r.id): r.hash for r in sums.collect()}
+    row = delta.base_identity(sums, docs).first()
+    assert (row.crc, row.areas, row.version, row.revision) == (by["file", ""], {"7": by["area", "7"]}, "7", None)
+    # fixed values: the sums of an empty meta object and of one whole number
+    assert xxhash.xxh3_64_hexdigest(integrity.meta_bytes({"meta": "{}"})) == "684c9486d36b49e6"
+    assert xxhash.xxh3_64_hexdigest(integrity.meta_bytes({"meta": '{"a": 1}'})) == "b23e7391a781579c"
+    assert integrity.meta_checksums(docs.selectExpr("map_id", "'{}' as meta")).first().hash == "684c9486d36b49e6"
+
+
 def test_transport_problems(spark):
     lines = spark.createDataFrame([(0, 0, "a", ["b"], "x", [(1, 2, 1.0, None)]), (0, 1, "a", [], " ", [(0, 2, -1.0, None)])], "map_id long, pos int, name string, board array<string>, exit string, legs array<struct<from:int,to:int,time:double,label:string>>")
     assert sorted(r.path for r in transports.problems(lines).collect()) == ["transports.lines[1].board", "transports.lines[1].exit", "transports.lines[1].legs[0].from", "transports.lines[1].legs[0].time", "transports.lines[1].name"]
