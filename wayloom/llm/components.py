@@ -1,7 +1,8 @@
 """Connected components of a table of links, by contraction.
 
-In each round every node moves to the least of its neighbours and itself, and the links move
-with their nodes; rounds end when no link joins two nodes. Nodes, links and moves stay tables;
+In each round every node moves to the least of its neighbours and itself, moves are followed to
+their ends by doubling, and the links move with their nodes; rounds end when no link joins two
+nodes, so a long chain needs as many joins as its length has bits. Nodes, links and moves stay tables;
 what is grouped is reduced by min before the shuffle, so a node with very many links is no
 hot spot. Links that come as stars around their least member need a round or two.
 
@@ -26,6 +27,12 @@ def components(links: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
         move = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to")))
+        while True:
+            onward = move.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            jumped = cut(move.join(onward, "to").select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("on")))
+            if jumped.filter("on").isEmpty():
+                break
+            move = jumped.drop("on")
         if roots is None:
             roots = move.withColumnRenamed("to", "root")
         else:
