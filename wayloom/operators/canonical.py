@@ -29,17 +29,18 @@ def stripped(rooms: DataFrame) -> DataFrame:
     return rooms.withColumns(out)
 
 
-def stripped_struct(room: Column) -> Column:
-    """The same for one room of a nested document."""
-    line = lambda _, v: v.withField("style", F.nullif(v["style"], F.lit("solid"))).withField("arrow", F.when(v["arrow"], F.lit(True)))
-    for c in [*MAPS, *LISTS]:
-        kept = F.transform_values(room[c], line) if c == "custom_lines" else room[c]
-        room = room.withField(c, F.when(F.size(room[c]) > 0, kept))
-    for c in TEXTS:
-        room = room.withField(c, F.nullif(room[c], F.lit("")))
-    for c in FLAGS:
-        room = room.withField(c, F.when(room[c], F.lit(True)))
-    return room.withField("weight", F.nullif(room["weight"], F.lit(1)))
+def stripped_struct(room: Column, fields: list[str]) -> Column:
+    """The same for one room of a nested document, which has these fields."""
+    line = lambda _, v: F.struct(v["points"].alias("points"), v["color"].alias("color"), F.nullif(v["style"], F.lit("solid")).alias("style"), F.when(v["arrow"], F.lit(True)).alias("arrow"))
+
+    def bare(c: str) -> Column:
+        if c in [*MAPS, *LISTS]:
+            return F.when(F.size(room[c]) > 0, F.transform_values(room[c], line) if c == "custom_lines" else room[c])
+        if c in TEXTS:
+            return F.nullif(room[c], F.lit(""))
+        return F.when(room[c], F.lit(True)) if c in FLAGS else F.nullif(room[c], F.lit(1)) if c == "weight" else room[c]
+
+    return F.struct(*(bare(c).alias(c) for c in fields))
 
 
 def comparable(rooms: DataFrame) -> DataFrame:

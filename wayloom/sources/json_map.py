@@ -43,8 +43,10 @@ def canonical_documents(documents: DataFrame) -> DataFrame:
     defaults are left out, as are absent fields.
     """
     by_id = lambda xs: F.array_sort(xs, lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    bare = lambda r: stripped_struct(r)
-    areas = F.transform(by_id(F.col("areas")), lambda a: a.withField("rooms", F.transform(by_id(a["rooms"]), bare)).withField("labels", by_id(a["labels"])))
+    area = documents.schema["areas"].dataType.elementType
+    fields = area["rooms"].dataType.elementType.fieldNames()
+    part = {"rooms": lambda a: F.transform(by_id(a["rooms"]), lambda r: stripped_struct(r, fields)), "labels": lambda a: by_id(a["labels"])}
+    areas = F.transform(by_id(F.col("areas")), lambda a: F.struct(*((part[c](a) if c in part else a[c]).alias(c) for c in area.fieldNames())))
     out = documents.withColumn("areas", areas)
     return out.select("map_id", canonical_json(F.to_json(F.struct(*(c for c in documents.columns if c != "map_id")))).alias("text"))
 
